@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from shelfmark.session import cut, width
 
 #: Unicode White_Space (fixed values of the standard).
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _WS = re.compile(f"[{WHITE_SPACE}]+")
 
 #: Separators of the dialects: name and pattern.
@@ -48,7 +48,7 @@ SEPARATORS = (
     ("/", rf"(?<=[{WHITE_SPACE}])/(?=[{WHITE_SPACE}])"),
     ("·", rf"(?<=[{WHITE_SPACE}])·(?=[{WHITE_SPACE}])"),
     ("•", "•"),
-    ("\n", "\r\n|[\n\r\x85  ]"),
+    ("\n", "\r\n|[\n\r\x85\u2028\u2029]"),
     ("\t", r"\t"),
 )
 _ANY = {name: re.compile(p) for name, p in SEPARATORS}
