@@ -106,14 +106,21 @@ def _patterns(seps: frozenset) -> tuple[re.Pattern | None, re.Pattern]:
     return _ENDS[seps]
 
 
-def read_plain(raw: str, seps: frozenset) -> list[tuple[str, bool]]:
+Value = tuple[str, bool, int]  # the folded value, whether it was enclosed, how many separators stand in it unprotected
+
+
+def _bare(part: str) -> Value:
+    return fold(part), False, sum(len(p.findall(part)) for p in _ANY.values())
+
+
+def read_plain(raw: str, seps: frozenset) -> list[Value]:
     """The values of ``raw`` between ``seps``; no enclosure."""
     split, _ = _patterns(seps)
     parts = split.split(raw) if split else [raw]
-    return [(v, False) for v in map(fold, parts) if v]
+    return [v for v in map(_bare, parts) if v[0]]
 
 
-def read_enclosed(raw: str, seps: frozenset) -> list[tuple[str, bool]]:
+def read_enclosed(raw: str, seps: frozenset) -> list[Value]:
     """As ``read_plain``, where a value may stand in double quotes; a comma separates after a closing quote."""
     split, ends = _patterns(seps)
     out, i, n = [], 0, len(raw)
@@ -124,7 +131,7 @@ def read_enclosed(raw: str, seps: frozenset) -> list[tuple[str, bool]]:
         if j < n and raw[j] == '"' and (got := _enclosed(raw, j, '"', ends)):
             value, j = got
             if value := fold(value):
-                out.append((value, True))
+                out.append((value, True, 0))
             m = ends.match(raw, j)
             i = m.end() if m.end() > j or m.end() < n else n + 1
             if m.end() >= n:
@@ -132,15 +139,15 @@ def read_enclosed(raw: str, seps: frozenset) -> list[tuple[str, bool]]:
             continue
         m = split.search(raw, i) if split else None
         end = m.start() if m else n
-        if value := fold(raw[i:end]):
-            out.append((value, False))
+        if (bare := _bare(raw[i:end]))[0]:
+            out.append(bare)
         if not m:
             break
         i = m.end()
     return out
 
 
-def read_json(raw: str) -> list[tuple[str, bool]] | None:
+def read_json(raw: str) -> list[Value] | None:
     """The strings of a JSON array, or None where ``raw`` is no such array."""
     s = raw.strip()
     if not (s.startswith("[") and s.endswith("]")):
@@ -151,10 +158,10 @@ def read_json(raw: str) -> list[tuple[str, bool]] | None:
         return None
     if not isinstance(got, list) or not all(v is None or isinstance(v, str) for v in got):
         return None
-    return [(v, True) for v in (fold(x or "") for x in got) if v]
+    return [(v, True, 0) for v in (fold(x or "") for x in got) if v]
 
 
-def readings(raw: str | None) -> list[list[tuple[str, bool]]]:
+def readings(raw: str | None) -> list[list[Value]]:
     """The different readings of a field, one for each set of values that a dialect gives."""
     if raw is None or not fold(raw):
         return []
@@ -179,11 +186,10 @@ def spelled_bits(value: str) -> float:
     return VALUE_BITS + LETTER_BITS * len(value) + (OTHER_BITS - LETTER_BITS) * len(_OTHER.findall(value))
 
 
-def extra_bits(value: str, enclosed: bool) -> float:
+def extra_bits(value: str, enclosed: bool, separators: int) -> float:
     """Code length of what must be escaped in a value."""
-    bits = 0.0
+    bits = ESCAPE_BITS * separators
     if not enclosed:
-        bits += ESCAPE_BITS * sum(len(_ANY[n].findall(value)) for n, _ in SEPARATORS if n not in "/·" or f" {n} " in value)
         if value[:1] == '"' or value[-1:] == '"':
             bits += STRAY_BITS * ((value[:1] == '"') + (value[-1:] == '"'))
             if value.count('"') % 2 == 0:
@@ -214,12 +220,13 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(all_readings)
             held: dict[str, int] = {}
             for r in all_readings:
-                for v in {v for v, _ in r}:
+                for v in {x[0] for x in r}:
                     held[v] = held.get(v, 0) + 1
             voted: set[str] = set()
             for k, r in enumerate(all_readings):
-                for p, (v, enclosed) in enumerate(r, 1):
-                    rows.append((field, raw_id, k, n, p, v, v not in voted, held[v] / n, spelled_bits(v), extra_bits(v, enclosed)))
+                for p, (v, enclosed, inside) in enumerate(r, 1):
+                    bits = extra_bits(v, enclosed, inside)
+                    rows.append((field, raw_id, k, n, p, v, v not in voted, held[v] / n, spelled_bits(v), bits))
                     voted.add(v)
             if len(rows) >= 20_000:
                 yield pa.record_batch(list(map(list, zip(*rows))), schema=_SCHEMA)
