@@ -11,6 +11,7 @@ from shelfmark.llm.frequencies import term_frequencies
 from shelfmark.llm.leaks import leaks
 from shelfmark.llm.pieces import split_texts
 from shelfmark.llm.tokens import encode
+from shelfmark.llm.variants import variant_pairs
 from shelfmark.llm.visual import look_alike_pairs
 from shelfmark.operators.packed import fold_column, split_packed
 from shelfmark.session import table
@@ -24,6 +25,11 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).filter("name IS NOT NULL AND name != ''")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different names of one person or body."""
+    return variant_pairs(names(spark, sf_dir), "name")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every subject, bookshelf and language tag with its occurrences, its texts and its mark."""
     catalog = table(spark, sf_dir, "gutenberg_catalog")
@@ -67,6 +73,6 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents"), "doc_id", "text").drop("ids")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_pieces": p8_pieces}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}
 MODULES = [sys.modules[__name__]]
