@@ -51,7 +51,7 @@ def catalog_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point lookup: every row of one text number."""
     c = table(spark, sf_dir, "gutenberg_catalog")
-    return c.filter("text_num = 10005").select("row_id", "text_num", "title")
+    return c.filter("text_num = 10035").select("row_id", "text_num", "title")
 
 
 def catalog_split_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,7 @@ def search_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked search of parts: a name before a brand before a type."""
     p = table(spark, sf_dir, "part")
-    hits = search.ranked(p, "steel", "p_partkey", "p_name", F.array("p_brand"), F.array("p_type"))
+    hits = search.ranked(p, "bolt", "p_partkey", "p_name", F.array("p_brand"), F.array("p_type"))
     return search.page(hits.select("rank", "p_partkey", "p_name"), [F.col("rank"), F.col("p_partkey")], 15, 10)
 
 
@@ -184,7 +184,7 @@ SQL = {
     "catalog_ranked": f"SELECT * FROM (SELECT row_id, {_RANK.format(q='lamp')} AS rank FROM ({_CATALOG})) WHERE rank IS NOT NULL",
     "catalog_page": f"WITH h AS (SELECT * FROM (SELECT row_id, text_num, title, {_RANK.format(q='harvest')} AS rank FROM ({_CATALOG})) WHERE rank IS NOT NULL) "
                     "SELECT *, (SELECT count(*) FROM h) AS total FROM h ORDER BY rank, text_num NULLS LAST, row_id LIMIT 10 OFFSET 5",
-    "catalog_lookup": "SELECT row_id, text_num, title FROM gutenberg_catalog WHERE text_num = 10005",
+    "catalog_lookup": "SELECT row_id, text_num, title FROM gutenberg_catalog WHERE text_num = 10035",
     "catalog_split_lists": f"SELECT row_id, CAST(len({_split('subjects', ';')}) AS BIGINT) AS n_subjects, array_to_string({_CODES}, '+') AS codes, "
                            f"array_to_string({_split('locc', ';')}, '+') AS classes FROM ({_LANG_X})",
     "catalog_language_base": f"WITH l(form, base) AS (VALUES {_LANG_ROWS}), t AS (SELECT unnest({_CODES}) AS tag FROM ({_LANG_X})), g AS (SELECT tag, count(*) AS n FROM t GROUP BY tag) "
@@ -202,7 +202,7 @@ SQL = {
     "search_sources": "SELECT 'part' AS source, row_number() OVER (ORDER BY p_partkey) AS pos, p_partkey AS id, p_name AS title FROM part WHERE contains(lower(p_name), 'green') QUALIFY pos <= 7 "
                       "UNION ALL SELECT 'supplier', row_number() OVER (ORDER BY s_suppkey) AS pos, s_suppkey, s_name FROM supplier QUALIFY pos <= 7 "
                       "UNION ALL SELECT 'customer', row_number() OVER (ORDER BY c_custkey) AS pos, c_custkey, c_name FROM customer WHERE contains(lower(c_mktsegment), 'build') QUALIFY pos <= 7",
-    "part_search_page": "SELECT * FROM (SELECT CASE WHEN contains(lower(p_name), 'steel') THEN 0 WHEN contains(lower(p_brand), 'steel') THEN 1 WHEN contains(lower(p_type), 'steel') THEN 2 END AS rank, p_partkey, p_name FROM part) WHERE rank IS NOT NULL ORDER BY rank, p_partkey LIMIT 15 OFFSET 10",
+    "part_search_page": "SELECT * FROM (SELECT CASE WHEN contains(lower(p_name), 'bolt') THEN 0 WHEN contains(lower(p_brand), 'bolt') THEN 1 WHEN contains(lower(p_type), 'bolt') THEN 2 END AS rank, p_partkey, p_name FROM part) WHERE rank IS NOT NULL ORDER BY rank, p_partkey LIMIT 15 OFFSET 10",
     "isbn_forms": f"SELECT p_partkey, {_D10} AS ok10, CASE WHEN {_D10} THEN '978' || x[1:9] || CAST((10 - {_S12} % 10) % 10 AS VARCHAR) END AS isbn13, "
                   f"CASE WHEN y LIKE '%X%' THEN false ELSE {_S13.replace('CAST(y[i] AS INTEGER)', 'TRY_CAST(y[i] AS INTEGER)')} END AS ok13 "
                   "FROM (SELECT *, '9780' || x[2:10] AS y FROM (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '0123456789X'[CAST(p_partkey % 11 + 1 AS INTEGER)] AS x FROM part))",
