@@ -15,11 +15,11 @@ def full_diff(before: DataFrame, after: DataFrame, key: str, value: str) -> Data
     return j.select(key, change.alias("change"))
 
 
-def retained_order(before: DataFrame, after: DataFrame, key: str, pos: str) -> DataFrame:
-    """Keys of both selections whose place among the retained ones differs."""
-    both = before.select(key, F.col(pos).alias("p1")).join(after.select(key, F.col(pos).alias("p2")), key)
-    n = lambda c: F.row_number().over(Window.orderBy(c, key))
-    return both.select(key, n("p1").alias("before_at"), n("p2").alias("after_at")).filter("before_at != after_at")
+def retained_order(before: DataFrame, after: DataFrame, group: str, key: str, pos: str) -> DataFrame:
+    """Keys of both selections of a group whose place among the retained ones differs."""
+    both = before.select(group, key, F.col(pos).alias("p1")).join(after.select(group, key, F.col(pos).alias("p2")), [group, key])
+    n = lambda c: F.row_number().over(Window.partitionBy(group).orderBy(c, key))
+    return both.select(group, key, n("p1").alias("before_at"), n("p2").alias("after_at")).filter("before_at != after_at")
 
 
 def audit(baseline: DataFrame, current: DataFrame, key: str, size: str, digest: str) -> DataFrame:

@@ -6,6 +6,7 @@ in the JVM.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -14,33 +15,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import col, pause_class
+from shelfmark.operators.packed import WHITE_SPACE
 
 
 def locate(df: DataFrame, key: str, text: str, needle: str) -> DataFrame:
-    """Leftmost, non-overlapping occurrences of a literal: ``key, ord, start_byte, end_byte``."""
-    if not needle:
-        raise ValueError("the needle is empty")
-    size = len(needle.encode())
-    quoted = r"\Q" + needle.replace(r"\E", r"\E\\E\Q") + r"\E"
-    hits = df.filter(F.contains(F.col(text), F.lit(needle))).select(key, F.split(F.col(text), quoted, -1).alias("parts"))
-    p = hits.select(key, F.posexplode(F.slice("parts", F.lit(1), F.size("parts") - 1)).alias("i", "part"))
-    before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.sum(F.octet_length("part")).over(before) + F.col("i") * size
-    return p.select(key, (F.col("i") + 1).alias("ord"), start.cast("long").alias("start_byte"), (start + size).cast("long").alias("end_byte"))
-
+    """Leftmost, non-overlapping occurrences of a literal: ``key, ord, start_byte, end_byte``; ``key`` is unique.
 
-def locate_each(df: DataFrame, key: str, text: str, needle: str) -> DataFrame:
-    """As ``locate`` by one array expression for each row, so that a long text is not shuffled by occurrence."""
+    Only sizes in bytes leave the row that holds the text, so a long text costs its number of occurrences.
+    """
     if not needle:
         raise ValueError("the needle is empty")
     size = len(needle.encode())
     quoted = r"\Q" + needle.replace(r"\E", r"\E\\E\Q") + r"\E"
     sizes = F.transform(F.split(F.col(text), quoted, -1), lambda p: F.octet_length(p).cast("long"))
-    starts = F.aggregate(
-        F.slice("sizes", F.lit(1), F.size("sizes") - 1), F.expr("named_struct('at', 0L, 'out', array_repeat(0L, 0))"),
-        lambda a, s: F.struct((a["at"] + s + size).alias("at"), F.concat(a["out"], F.array(a["at"] + s)).alias("out")), lambda a: a["out"])
-    hits = df.filter(F.contains(F.col(text), F.lit(needle))).select(key, sizes.alias("sizes")).select(key, F.posexplode(starts).alias("i", "start_byte"))
-    return hits.select(key, (F.col("i") + 1).alias("ord"), "start_byte", (F.col("start_byte") + size).alias("end_byte"))
+    hits = df.filter(F.contains(F.col(text), F.lit(needle))).select(key, sizes.alias("sizes"))
+    p = hits.select(key, F.posexplode(F.slice("sizes", F.lit(1), F.size("sizes") - 1)).alias("i", "n"))
+    before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.sum("n").over(before) + F.col("i") * size
+    return p.select(key, (F.col("i") + 1).alias("ord"), start.alias("start_byte"), (start + size).alias("end_byte"))
 
 
 def read_range(text: Column | str, start: int, limit: int) -> Column:
@@ -59,14 +51,32 @@ def _whole(hexed: Column) -> Column:
 
 
 def words_with_offsets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Words between white space with byte offsets and pause: ``key, ord, word, start_byte, pause``."""
-    parts = F.regexp_extract_all(F.col(text), F.lit(r"(?U)\S+|\s+"), 0)
-    flat = F.aggregate(
-        parts, F.expr("named_struct('at', 0L, 'out', array_repeat(named_struct('at', 0L, 'w', ''), 0))"),
-        lambda a, p: F.struct((a["at"] + F.octet_length(p)).alias("at"), F.when(p.rlike(r"(?U)^\S"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), p.alias("w"))))).otherwise(a["out"]).alias("out")),
-        lambda a: a["out"])
-    w = df.select(key, F.posexplode(flat).alias("i", "x"))
-    return w.select(key, (F.col("i") + 1).alias("ord"), F.col("x.w").alias("word"), F.col("x.at").alias("start_byte"), pause_class("x.w").alias("pause"))
+    """Words between white space with byte offsets and pause: ``key, ord, word, start_byte, pause``. One pass over each text, no shuffle."""
+    kind = df.schema[key].dataType.simpleString()
+    words = re.compile(f"[^{WHITE_SPACE}]+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = last = 0
+                for n, m in enumerate(words.finditer(t or ""), 1):
+                    at += len(t[last : m.start()].encode())
+                    last = m.start()
+                    rows.append((k, n, m[0], at))
+                if len(rows) > 20_000:
+                    yield batch(b, rows)
+                    rows = []
+            if rows:
+                yield batch(b, rows)
+
+    def batch(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        c = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(c[0], b.column(0).type), pa.array(c[1], pa.int32()), pa.array(c[2], pa.string()), pa.array(c[3], pa.int64())],
+                                          names=[key, "ord", "word", "start_byte"])
+
+    found = df.select(key, F.col(text).alias("t")).mapInArrow(run, f"{key} {kind}, ord int, word string, start_byte long")
+    return found.withColumn("pause", pause_class("word"))
 
 
 def word_stats(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -82,7 +92,7 @@ def word_stats(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def line_breaks(df: DataFrame, key: str, text: str, start: int, end: int) -> DataFrame:
     """Byte places of line feeds within ``[start, end)``."""
-    found = locate_each(df, key, text, "\n")
+    found = locate(df, key, text, "\n")
     return found.filter((F.col("start_byte") >= start) & (F.col("start_byte") < end)).select(key, F.col("start_byte").alias("at"))
 
 
@@ -133,7 +143,7 @@ class _Reader(HTMLParser):
         if self.open is None:
             self.open = ("text", self.size)
         glue = " " if self.size > self.open[1] and data[:1].isspace() else ""
-        self.add(glue + " ".join(words) + (" " if data[-1:].isspace() and False else ""))
+        self.add(glue + " ".join(words))
 
 
 MARKUP = "text string, n_chars long, parts array<struct<kind:string,start:long,end:long>>, gaps array<struct<kind:string,at:long,alt:string>>, links array<struct<href:string,at:long>>"

@@ -254,12 +254,12 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a literal in every document, by byte places."""
-    return text.locate_each(table(spark, sf_dir, "documents"), "doc_id", "text", "the ")
+    return text.locate(table(spark, sf_dir, "documents"), "doc_id", "text", "the ")
 
 
 def locate_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 100 occurrences in order of document and place."""
-    found = text.locate_each(table(spark, sf_dir, "documents"), "doc_id", "text", "lamp")
+    found = text.locate(table(spark, sf_dir, "documents"), "doc_id", "text", "lamp")
     return found.orderBy("doc_id", "start_byte").limit(100)
 
 
