@@ -12,6 +12,7 @@ from urllib.parse import unquote, urlsplit
 import pandas as pd
 import regex
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class DuplicateKey(ValueError):
@@ -125,26 +126,26 @@ def grapheme_chunks(word: str, width: int) -> list[str]:
     return ["".join(parts[k : k + width]) for k in range(0, len(parts), width)]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_digest_udf(x: pd.Series) -> pd.Series:
     return x.map(canonical_digest)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_canonical_udf(x: pd.Series) -> pd.Series:
     return x.map(is_canonical)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def visible_escapes_udf(x: pd.Series) -> pd.Series:
     return x.map(visible_escapes, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def graphemes_udf(x: pd.Series) -> pd.Series:
     return x.map(lambda w: regex.findall(r"\X", w), na_action="ignore")
 
 
-@F.pandas_udf("struct<member:string,fragment:string,status:string>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("member", "fragment", "status")]))
 def resolve_href_udf(base: pd.Series, href: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([resolve_href(b, h) for b, h in zip(base, href)], columns=["member", "fragment", "status"])

@@ -202,8 +202,9 @@ def roman(n: Column | str) -> Column:
 
 def scaled_ms(units: Column | str, scale: Column | str) -> Column:
     """Units of a time scale as whole milliseconds, saturating; 0 for scale 0."""
-    wide = F.floor(col(units).cast("decimal(38,0)") * 1000 / F.nullif(col(scale).cast("decimal(20,0)"), F.lit(0)))
-    return F.coalesce(F.least(wide, F.lit(9223372036854775807).cast("decimal(20,0)")).cast("long"), F.lit(0).cast("long"))
+    most = F.lit(9223372036854775807).cast("decimal(38,0)")
+    wide = F.floor(col(units).cast("decimal(38,0)") * 1000 / F.nullif(col(scale).cast("decimal(20,0)"), F.lit(0))).cast("decimal(38,0)")
+    return F.when(col(scale) == 0, F.lit(0).cast("long")).otherwise(F.least(wide, most).cast("long"))
 
 
 def packed_language(code: Column | str) -> Column:

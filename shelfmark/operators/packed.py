@@ -54,6 +54,7 @@ SEPARATORS = (
 _ANY = {name: re.compile(p) for name, p in SEPARATORS}
 
 _OTHER = re.compile(r"[^\w ]|[\d_]")
+_NOTHING = re.compile(f"[{WHITE_SPACE};；|/·•,]*")
 LETTER_BITS = 5.0
 OTHER_BITS = 6.0
 VALUE_BITS = 6.0
@@ -163,7 +164,7 @@ def read_json(raw: str) -> list[Value] | None:
 
 def readings(raw: str | None) -> list[list[Value]]:
     """The different readings of a field, one for each set of values that a dialect gives."""
-    if raw is None or not fold(raw):
+    if raw is None or _NOTHING.fullmatch(raw):
         return []
     out: dict[tuple, list] = {}
     present = [n for n, _ in SEPARATORS if _ANY[n].search(raw)]

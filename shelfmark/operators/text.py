@@ -107,6 +107,7 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.text, self.parts, self.gaps, self.links, self.hidden, self.size = [], [], [], [], 0, 0
         self.open: tuple[str, int] | None = None
+        self.space = False  # white space stands between the last words and the next
 
     def add(self, s: str) -> None:
         self.text.append(s)
@@ -139,11 +140,13 @@ class _Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         words = data.split()
         if self.hidden or not words:
+            self.space |= bool(data)
             return
         if self.open is None:
             self.open = ("text", self.size)
-        glue = " " if self.size > self.open[1] and data[:1].isspace() else ""
+        glue = " " if self.size > self.open[1] and (self.space or data[:1].isspace()) else ""
         self.add(glue + " ".join(words))
+        self.space = data[-1:].isspace()
 
 
 MARKUP = "text string, n_chars long, parts array<struct<kind:string,start:long,end:long>>, gaps array<struct<kind:string,at:long,alt:string>>, links array<struct<href:string,at:long>>"

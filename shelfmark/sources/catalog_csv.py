@@ -11,6 +11,7 @@ import stat
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions.scalars import date_shape, split_codes, split_list
 from shelfmark.operators.packed import fold_column
@@ -28,7 +29,7 @@ def check_local(path: str, most: int = MOST_BYTES) -> None:
         raise ValueError("not a regular file of an allowed size")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _row_digest(row: pd.DataFrame) -> pd.Series:
     """SHA-256 of a row written again as CSV, quoted only where needed."""
 
@@ -42,6 +43,8 @@ def _row_digest(row: pd.DataFrame) -> pd.Series:
 
 def read_catalog(spark: SparkSession, path: str, unique: bool = True) -> DataFrame:
     """Typed records of the catalogue. Header, field count, numbers, dates and uniqueness are all enforced."""
+    if (found := spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns) != HEADER:
+        raise ValueError(f"the header is {found}")
     schema = ", ".join(f"`{c}` string" for c in HEADER)
     raw = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
            .option("mode", "FAILFAST").csv(path))

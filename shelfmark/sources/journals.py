@@ -9,6 +9,7 @@ import os
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from shelfmark.functions.codecs import is_canonical_udf, strict_json
@@ -17,7 +18,7 @@ from shelfmark.sources.catalog_csv import check_local
 MOST_TAIL = 64 << 10
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _lines(content: pd.Series) -> pd.Series:
     """Whole lines; a last line without a line feed was never committed, one above the limit is an error."""
 
