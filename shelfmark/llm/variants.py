@@ -293,8 +293,8 @@ def entities(names: DataFrame, column: str) -> DataFrame:
     near = near.join(word_keys, ["sur", "g1"]).join(
         word_keys.select(F.col("sur").alias("y"), "g1", F.col("bag").alias("to_bag")), ["y", "g1"]).join(counts, "bag")
     near = near.join(counts.select(F.col("bag").alias("to_bag"), F.col("n").alias("to_n")), "to_bag")
-    near = near.filter(F.struct("to_n", "to_bag") > F.struct("n", "bag")).groupBy("bag").agg(F.max_by("to_bag", F.struct("to_n", "to_bag")).alias("to_bag"))
-    body = bags.filter("hyp = 0").join(near, "bag", "left").select("name", "form", F.concat(F.lit("body|"), F.coalesce("to_bag", "bag")).alias("entity"))
+    near = cut(near).filter(F.struct("to_n", "to_bag") > F.struct("n", "bag")).groupBy("bag").agg(F.max_by("to_bag", F.struct("to_n", "to_bag")).alias("to_bag"))
+    body = cut(bags.filter("hyp = 0").join(near, "bag", "left").select("name", "form", F.concat(F.lit("body|"), F.coalesce("to_bag", "bag")).alias("entity")))
 
     # people: which readings are sure, and what they show
     people = recs.filter("kind IN ('person', 'initial')")
@@ -323,14 +323,14 @@ def entities(names: DataFrame, column: str) -> DataFrame:
     # without years: a missing or shortened second name joins the one full form it fits
     longest = free.filter("length(g2) > 1").withColumn("entity", F.concat_ws("|", F.lit("p"), *key, "g2"))
     short = _attach(free.filter("length(g2) <= 1"), longest, key).withColumn("entity", F.coalesce("entity", F.concat_ws("|", F.lit("p"), *key, F.lit(""))))
-    undated = tied.filter("entity IS NOT NULL").unionByName(longest).unionByName(short)
+    undated = cut(tied.filter("entity IS NOT NULL").unionByName(longest).unionByName(short))
     keep = ["name", "form", "entity", "own_sur", "own_i", "g2", "birth"]
     a = chosen.filter("kind = 'person' AND birth > 0").withColumn("entity", F.concat_ws("|", F.lit("p"), *key, "birth")).select(keep)
     b = chosen.filter("kind = 'person' AND birth = 0").join(undated, [*key, "g2"]).select(keep)
     # initials: the one person of the surname (as spelled there) with such given names (and year of birth, if there is one)
-    people_of = a.unionByName(b).groupBy(F.col("own_sur").alias("sur"), F.col("own_i").alias("g1"), "entity").agg(
+    ab = cut(a.unionByName(b))
+    people_of = ab.groupBy(F.col("own_sur").alias("sur"), F.col("own_i").alias("g1"), "entity").agg(
         F.max_by("g2", F.struct(F.length("g2"), "g2")).alias("g2"), F.max("birth").alias("birth"))
-    a, b = a.select("name", "form", "entity"), b.select("name", "form", "entity")
     initials = chosen.filter("kind = 'initial'")
     by_year = initials.filter("birth > 0").select("sur", "g1", "birth", "g2").distinct()
     with_year = _attach(by_year, people_of.filter("birth > 0"), ["sur", "g1", "birth"])
@@ -338,7 +338,7 @@ def entities(names: DataFrame, column: str) -> DataFrame:
     own = F.concat_ws("|", F.lit("i"), "sur", "g1", "g2", "birth")
     c = initials.join(with_year.unionByName(without), ["sur", "g1", "g2", "birth"]).select("name", "form", F.coalesce("entity", own).alias("entity"))
     rest = recs.filter("kind = 'none'").select("name", "form", F.concat(F.lit("n|"), F.col("form")).alias("entity"))
-    return body.unionByName(a).unionByName(b).unionByName(c).unionByName(rest).select("name", "entity")
+    return body.unionByName(ab.select("name", "form", "entity")).unionByName(c).unionByName(rest).select("name", "entity")
 
 
 def variant_pairs(names: DataFrame, column: str) -> DataFrame:
