@@ -80,14 +80,14 @@ def words_with_offsets(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def word_stats(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Words and pauses of each text, counted in the row itself: ``key, words, sentences, clauses``."""
-    w = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\x0b\x0c\r]+"), lambda x: x != "")
-    d = df.select(key, w.alias("w"))
-    last = lambda x: F.regexp_replace(x, "[\"'”’»)\\]]+$", "")
-    return d.select(
-        key, F.size("w").cast("long").alias("words"),
-        F.size(F.filter("w", lambda x: last(x).rlike("[.!?…。！？]$"))).cast("long").alias("sentences"),
-        F.size(F.filter("w", lambda x: last(x).rlike("[,;:—、，；：]$"))).cast("long").alias("clauses"))
+    """Words and pauses of each text, counted in place: ``key, words, sentences, clauses``.
+
+    A pause is a mark at the end of a word, closing quotes and brackets aside.
+    """
+    ws, close = r"[ \t\n\x0b\x0c\r]", "[\"'”’»)\\]]*"
+    n = lambda pattern: F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(pattern)).cast("long")
+    ends = lambda marks: n(f"[{marks}]{close}(?={ws}|\\z)")
+    return df.select(key, n(f"[^{ws[1:]}+").alias("words"), ends(".!?…。！？").alias("sentences"), ends(",;:—、，；：").alias("clauses"))
 
 
 def line_breaks(df: DataFrame, key: str, text: str, start: int, end: int) -> DataFrame:
