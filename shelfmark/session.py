@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +38,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of the session, once; they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shelfmark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="shelfmark-ship-")  # the driver's own; Spark serves the file to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/shelfmark.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.join("shelfmark", os.path.relpath(os.path.join(at, n), root)))
+    sc.addPyFile(f"{folder}/shelfmark.zip")
+    sc._shelfmark_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared checkpoint folder and read again; its lineage is cut.
 
