@@ -43,6 +43,8 @@ from shelfmark.session import cut, width
 K = 2
 #: Given names and surnames that occur with this many partners are taken as real, not as slips of others.
 REAL = 3
+#: ... unless one of two similar ones is so many times as frequent as the other: then the rare one is a slip of it.
+GIVEN_RATIO, SUR_RATIO = 20, 6
 
 #: Pet names and the names they stand for (fixed values).
 PET_NAMES = """abby abigail; alec alexander; alex alexander alexandra; andy andrew; annie anna anne; archie archibald; art arthur;
@@ -250,11 +252,12 @@ def _corrections(keys: DataFrame, births: DataFrame) -> DataFrame:
     to_dated = dated.select(F.col("sur").alias("to_sur"), F.col("g1").alias("to_g1"), F.col("dated").alias("to_dated"))
     links = links.join(common, pair, "left").join(dated, ["sur", "g1"], "left").join(to_dated, ["to_sur", "to_g1"], "left")
     links = links.fillna(False, ["common", "dated", "to_dated"])
-    real = F.when(F.col("part") == "sur", (F.col("sur_real") >= REAL) & (F.col("to_sur_real") >= REAL)).when(
-        F.col("part") == "g1", (F.col("g1_real") >= REAL) & (F.col("to_g1_real") >= REAL)).otherwise(F.lit(False))
+    # both are real where both are well attested and neither is rare beside the other
+    both = lambda a, b, ratio: (F.col(a) >= REAL) & (F.col(b) >= REAL) & (F.greatest(a, b) < ratio * F.least(a, b))
+    real = F.when(F.col("part") == "sur", both("sur_real", "to_sur_real", SUR_RATIO)).when(F.col("part") == "g1", both("g1_real", "to_g1_real", GIVEN_RATIO)).otherwise(F.lit(False))
     # the target must be the better attested of the two: a real name before a slip, then years, then the number of spellings
-    rank = F.struct(F.when(F.col("part") == "sur", F.col("sur_real")).otherwise(F.least("g1_real", F.lit(20))), F.col("dated"), F.col("n"), F.col("sur"), F.col("g1"))
-    to_rank = F.struct(F.when(F.col("part") == "sur", F.col("to_sur_real")).otherwise(F.least("to_g1_real", F.lit(20))), F.col("to_dated"), F.col("to_n"), F.col("to_sur"), F.col("to_g1"))
+    rank = F.struct(F.when(F.col("part") == "sur", F.col("sur_real")).otherwise(F.col("g1_real")), F.col("dated"), F.col("n"), F.col("sur"), F.col("g1"))
+    to_rank = F.struct(F.when(F.col("part") == "sur", F.col("to_sur_real")).otherwise(F.col("to_g1_real")), F.col("to_dated"), F.col("to_n"), F.col("to_sur"), F.col("to_g1"))
     ok = F.when(F.col("part") == "pet", ~F.col("dated") | ~F.col("to_dated") | F.col("common")).otherwise(
         (to_rank > rank) & (F.col("common") | (~real & ~(F.col("dated") & F.col("to_dated")))))
     links = links.filter(ok)
