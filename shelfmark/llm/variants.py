@@ -219,39 +219,35 @@ def similar(keys: DataFrame, column: str, other: str) -> DataFrame:
     index = rows.mapInArrow(_keys(lambda s: {(len(s), i, seg) for i, _, seg in segments(s)}, column, other), shape)
     probe = rows.mapInArrow(_keys(lookups, column, other), shape)
     pairs = probe.select(F.col("s").alias("x"), "o", "seg").join(index.select(F.col("s").alias("y"), "o", "seg"), ["o", "seg"])
-    near = pairs.filter((F.col("x") != F.col("y")) & (F.levenshtein("x", "y", K) >= 0)).select("o", "x", "y").distinct()
+    # strings of one length look each other up: one direction is enough
+    once = (F.length("x") > F.length("y")) | (F.col("x") < F.col("y"))
+    near = pairs.filter(once & (F.levenshtein("x", "y", K) >= 0)).select("o", "x", "y").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([one_error(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]))
+            b = b.filter(pa.array([one_error(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.bool_()))
+            yield b
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1)], names=["o", "x", "y"])
 
-    found = near.mapInArrow(verify, "o string, x string, y string")
-    return found.unionByName(found.select("o", F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    return near.mapInArrow(verify, "o string, x string, y string")
 
 
-def _corrections(keys: DataFrame, births: DataFrame) -> DataFrame:
+def _corrections(nodes: DataFrame, births: DataFrame) -> DataFrame:
     """For a key ``(sur, g1)`` that is a slip or a pet form of another key, that key: ``sur, g1, to_sur, to_g1``.
 
-    ``keys`` has ``sur, g1, n`` (spellings that surely read so; 0 for possible readings only); ``births`` has the sure ``sur, g1, birth``.
+    ``nodes`` has ``sur, g1, n`` (spellings that surely read so; 0 for possible readings only), whether one is ``dated``,
+    and how many partners the parts have, ``sur_real`` and ``g1_real``; ``births`` has the sure ``sur, g1, birth``.
     """
-    surs = keys.filter("n > 0").groupBy("sur").agg(F.count(F.lit(1)).alias("sur_real"))
-    givens = keys.filter("n > 0").groupBy("g1").agg(F.count(F.lit(1)).alias("g1_real"))
-    a = similar(keys, "sur", "g1").select(F.col("x").alias("sur"), F.col("o").alias("g1"), F.col("y").alias("to_sur"), F.col("o").alias("to_g1"), F.lit("sur").alias("part"))
-    b = similar(keys.filter("g1 != ''"), "g1", "sur").select(F.col("o").alias("sur"), F.col("x").alias("g1"), F.col("o").alias("to_sur"), F.col("y").alias("to_g1"), F.lit("g1").alias("part"))
-    pets = keys.sparkSession.createDataFrame([(p, f) for p, fs in PETS.items() for f in fs], "g1 string, to_g1 string")
-    c = keys.join(F.broadcast(pets), "g1").select("sur", "g1", F.col("sur").alias("to_sur"), "to_g1", F.lit("pet").alias("part"))
-    to = keys.filter("n > 0").select(F.col("sur").alias("to_sur"), F.col("g1").alias("to_g1"), F.col("n").alias("to_n"))
-    links = a.unionByName(b).unionByName(c).join(to, ["to_sur", "to_g1"]).join(keys, ["sur", "g1"])
-    links = links.join(surs, "sur", "left").join(givens, "g1", "left").fillna(0, ["sur_real", "g1_real"])
-    links = cut(links.join(givens.select(F.col("g1").alias("to_g1"), F.col("g1_real").alias("to_g1_real")), "to_g1", "left").join(
-        surs.select(F.col("sur").alias("to_sur"), F.col("sur_real").alias("to_sur_real")), "to_sur", "left"))
+    a = similar(nodes, "sur", "g1").select(F.col("x").alias("sur"), F.col("o").alias("g1"), F.col("y").alias("to_sur"), F.col("o").alias("to_g1"), F.lit("sur").alias("part"))
+    b = similar(nodes.filter("g1 != ''"), "g1", "sur").select(F.col("o").alias("sur"), F.col("x").alias("g1"), F.col("o").alias("to_sur"), F.col("y").alias("to_g1"), F.lit("g1").alias("part"))
+    pets = nodes.sparkSession.createDataFrame([(p, f) for p, fs in PETS.items() for f in fs], "g1 string, to_g1 string")
+    c = nodes.join(F.broadcast(pets), "g1").select("sur", "g1", F.col("sur").alias("to_sur"), "to_g1", F.lit("pet").alias("part"))
     pair = ["sur", "g1", "to_sur", "to_g1"]
+    to = nodes.filter("n > 0").select(*[F.col(x).alias(f"to_{x}") for x in nodes.columns])
+    links = cut(a.unionByName(b).unionByName(c).join(to, ["to_sur", "to_g1"]).join(nodes, ["sur", "g1"]))
     to_births = births.select(F.col("sur").alias("to_sur"), F.col("g1").alias("to_g1"), "birth")
-    common = links.select(*pair).join(births, ["sur", "g1"]).join(to_births, ["to_sur", "to_g1", "birth"]).select(*pair).distinct().withColumn("common", F.lit(True))
-    dated = births.select("sur", "g1").distinct().withColumn("dated", F.lit(True))
-    to_dated = dated.select(F.col("sur").alias("to_sur"), F.col("g1").alias("to_g1"), F.col("dated").alias("to_dated"))
-    links = links.join(common, pair, "left").join(dated, ["sur", "g1"], "left").join(to_dated, ["to_sur", "to_g1"], "left")
-    links = links.fillna(False, ["common", "dated", "to_dated"])
+    common = links.filter("dated AND to_dated").select(*pair).join(births, ["sur", "g1"]).join(to_births, ["to_sur", "to_g1", "birth"]).select(*pair).distinct()
+    links = links.join(common.withColumn("common", F.lit(True)), pair, "left").fillna(False, ["common"])
     # both are real where both are well attested and neither is rare beside the other
     both = lambda a, b, ratio: (F.col(a) >= REAL) & (F.col(b) >= REAL) & (F.greatest(a, b) < ratio * F.least(a, b))
     real = F.when(F.col("part") == "sur", both("sur_real", "to_sur_real", SUR_RATIO)).when(F.col("part") == "g1", both("g1_real", "to_g1_real", GIVEN_RATIO)).otherwise(F.lit(False))
@@ -302,15 +298,19 @@ def entities(names: DataFrame, column: str) -> DataFrame:
     # people: which readings are sure, and what they show
     people = recs.filter("kind IN ('person', 'initial')")
     sure = people.filter("n_hyp = 1 AND kind = 'person'")
-    n = sure.groupBy("sur", "g1").agg(F.count_distinct("form").alias("n"))
-    keys = cut(people.filter("kind = 'person'").select("sur", "g1").distinct().join(n, ["sur", "g1"], "left").fillna(0, ["n"]))
-    births = sure.filter("birth > 0").select("sur", "g1", "birth").distinct()
-    fix = cut(_corrections(keys, births))
+    is_sure = F.col("n_hyp") == 1
+    keys = cut(people.filter("kind = 'person'").groupBy("sur", "g1").agg(
+        F.count_distinct(F.when(is_sure, F.col("form"))).alias("n"), F.bool_or(is_sure & (F.col("birth") > 0)).alias("dated")))
+    surs = cut(keys.filter("n > 0").groupBy("sur").agg(F.count(F.lit(1)).alias("sur_real")))
+    givens = keys.filter("n > 0").groupBy("g1").agg(F.count(F.lit(1)).alias("g1_real"))
+    nodes = cut(keys.join(surs, "sur", "left").join(givens, "g1", "left").fillna(0, ["sur_real", "g1_real"]).select("sur", "g1", "n", "dated", "sur_real", "g1_real"))
+    births = cut(sure.filter("birth > 0").select("sur", "g1", "birth").distinct())
+    fix = cut(_corrections(nodes, births))
     again = fix.select(F.col("sur").alias("to_sur"), F.col("g1").alias("to_g1"), F.col("to_sur").alias("sur2"), F.col("to_g1").alias("g12"))
     fix = fix.join(again, ["to_sur", "to_g1"], "left").select("sur", "g1", F.coalesce("sur2", "to_sur").alias("to_sur"), F.coalesce("g12", "to_g1").alias("to_g1"))
-    real = n.select("sur").distinct().withColumn("known_sur", F.lit(1))
-    read = people.join(fix, ["sur", "g1"], "left").join(n, ["sur", "g1"], "left").join(real, "sur", "left").fillna(0, ["n", "known_sur"])
-    score = F.when(F.col("n") > 0, 3).when(F.col("to_sur").isNotNull(), 2).when(F.col("known_sur") > 0, 1).otherwise(0)
+    known = cut(keys.select("sur", "g1", "n").join(fix, ["sur", "g1"], "left"))
+    read = people.join(known, ["sur", "g1"], "left").join(surs, "sur", "left").fillna(0, ["n", "sur_real"])
+    score = F.when(F.col("n") > 0, 3).when(F.col("to_sur").isNotNull(), 2).when(F.col("sur_real") > 0, 1).otherwise(0)
     order = Window.partitionBy("name").orderBy(score.desc(), "hyp")
     chosen = read.withColumn("r", F.row_number().over(order)).filter("r = 1").select(
         "name", "form", "kind", F.coalesce("to_sur", "sur").alias("sur"), F.coalesce("to_g1", "g1").alias("g1"), "g2", "birth",
