@@ -208,6 +208,9 @@ SQL = {
                   "FROM (SELECT *, '9780' || x[2:10] AS y FROM (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '0123456789X'[CAST(p_partkey % 11 + 1 AS INTEGER)] AS x FROM part))",
     "identifier_grammar": "SELECT resource_no, regexp_matches(res_id, '^[a-z0-9][a-z0-9._-]{0,100}$') AS resource_id, regexp_matches('gutenberg:' || CAST(text_num AS VARCHAR), '^gutenberg:[1-9][0-9]{0,7}$') AS text_id, "
                           "'10.1234/' || lower(res_id) AS doi, NOT regexp_matches(res_id, '[<>:\"\\\\|?*/]|[. ]$') AS portable FROM discovery_validation",
+    "number_labels": "SELECT p_partkey, repeat('m', CAST(n // 1000 AS INTEGER)) || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][CAST(n // 100 % 10 AS INTEGER) + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][CAST(n // 10 % 10 AS INTEGER) + 1] "
+                     "|| ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][CAST(n % 10 AS INTEGER) + 1] AS roman, repeat(chr(CAST(97 + (n - 1) % 26 AS INTEGER)), CAST((n - 1) // 26 + 1 AS INTEGER)) AS letters, CAST(p_partkey * 1000 // n AS BIGINT) AS ms, "
+                     "repeat(chr(CAST(97 + n % 26 AS INTEGER)), 3) AS lang, CAST((p_partkey * 128 & 127) + ((p_partkey * 128 >> 8) & 127) * 128 + ((p_partkey * 128 >> 16) & 127) * 16384 + ((p_partkey * 128 >> 24) & 127) * 2097152 AS BIGINT) AS syncsafe FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS n FROM part)",
     "seconds_parse": "SELECT track_id, CAST(encoded_duration_ms // 1000 AS DOUBLE) AS seconds FROM audio_tracks",
     "title_slugs": "SELECT row_id, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:60] || '-' || sha256(title)[1:8] AS slug, "
                    "strlen(title) BETWEEN 1 AND 200 AND NOT regexp_matches(title, '[\\x00\\r\\n]') AS one_line FROM gutenberg_catalog WHERE title IS NOT NULL",

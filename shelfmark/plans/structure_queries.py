@@ -143,6 +143,9 @@ SQL = {
                      "r AS (SELECT CASE WHEN m IS NULL THEN 'missing_member' WHEN f = '' THEN 'resolved' WHEN n IS NULL THEN 'missing_fragment' WHEN n > 1 THEN 'ambiguous_fragment' ELSE 'resolved' END AS status, o FROM l LEFT JOIN m USING (recording_id, track_id) LEFT JOIN t USING (recording_id, track_id, f)) "
                      "SELECT status, count(*) AS n, CAST(sum(CASE WHEN status = 'resolved' THEN coalesce(o, 0) END) AS BIGINT) AS offsets FROM r GROUP BY 1",
     "link_cycles": "WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM customer JOIN supplier ON c_custkey = s_suppkey), w(s, t) AS (SELECT a, b FROM e UNION SELECT s, b FROM w JOIN e ON t = a) SELECT DISTINCT s AS nation FROM w WHERE s = t",
+    "packed_ranges": "WITH RECURSIVE o AS (SELECT track_id, region_row, region_end - region_start AS size, row_number() OVER (PARTITION BY track_id ORDER BY region_row) AS n FROM audio_regions WHERE track_id IS NOT NULL AND region_end > region_start), "
+                     "r AS (SELECT track_id, n, region_row, size AS total, 1 AS no FROM o WHERE n = 1 UNION ALL SELECT o.track_id, o.n, o.region_row, CASE WHEN r.total + o.size > 4000000 THEN o.size ELSE r.total + o.size END, CASE WHEN r.total + o.size > 4000000 THEN no + 1 ELSE no END FROM r JOIN o ON o.track_id = r.track_id AND o.n = r.n + 1) "
+                     "SELECT track_id, no AS range_no, min(region_row) AS first, max(region_row) AS last, max(total) AS bytes FROM r GROUP BY track_id, no",
     "appended_ranges": "WITH c AS (SELECT DISTINCT track_id, start_ms, end_ms FROM audio_chapters WHERE track_id IS NOT NULL AND end_ms > start_ms), b AS (SELECT *, lag(end_ms) OVER (PARTITION BY track_id ORDER BY start_ms, end_ms) AS p FROM c) SELECT CASE WHEN p IS NULL OR p = start_ms THEN 'ok' WHEN start_ms > p THEN 'skip' ELSE 'repeat' END AS status, count(*) AS n FROM b GROUP BY 1",
     "parts_in_range": "SELECT region_row, greatest(region_start, 0) AS from_at, least(region_end, 1000000) AS to_at, region_start >= 0 AND region_end <= 1000000 AS whole FROM audio_regions WHERE region_end > region_start AND region_start < 1000000 AND region_end > 0",
     "format_tallies": f"SELECT {_KIND} AS kind, lower(a.format) AS format, count(*) AS n, count(DISTINCT a.name) AS names FROM ({_ASSETS}) GROUP BY 1, 2",
