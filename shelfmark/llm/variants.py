@@ -195,29 +195,25 @@ def one_error(a: str, b: str) -> bool:
     return False
 
 
-def _keys(of, column: str, other: str):
+def _keys(of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            at, ot = b.schema.get_field_index(column), b.schema.get_field_index(other)
-            for s, o, n in zip(b.column(at).to_pylist(), b.column(ot).to_pylist(), b.column(b.schema.get_field_index("n")).to_pylist()):
-                rows += [(s, o, n, f"{length}|{i}|{seg}") for length, i, seg in of(s)]
+            rows = [(s, o, f"{length}|{i}|{seg}") for s, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for length, i, seg in of(s)]
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.string()))], names=["s", "o", "n", "seg"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["s", "o", "seg"])
 
     return run
 
 
-def similar(keys: DataFrame, column: str, other: str) -> DataFrame:
-    """Pairs ``x``, ``y`` of strings of ``column`` with one error between them and the same ``other``: the segment join.
+def similar(rows: DataFrame) -> DataFrame:
+    """Pairs ``x``, ``y`` of strings ``s`` with one error between them and the same ``o``, in both orders: the segment join.
 
-    ``keys`` has distinct (``column``, ``other``); an index of segments is joined with shifted substrings of strings of the same or greater length.
+    ``rows`` has distinct ``s, o``; an index of segments is joined with shifted substrings of strings of the same or greater length.
     """
-    shape = "s string, o string, n long, seg string"
-    rows = keys.select(column, other, F.lit(0).cast("long").alias("n")).repartition(width(keys.sparkSession))
-    index = rows.mapInArrow(_keys(lambda s: {(len(s), i, seg) for i, _, seg in segments(s)}, column, other), shape)
-    probe = rows.mapInArrow(_keys(lookups, column, other), shape)
+    shape = "s string, o string, seg string"
+    rows = rows.select("s", "o").repartition(width(rows.sparkSession))
+    index = rows.mapInArrow(_keys(lambda s: {(len(s), i, seg) for i, _, seg in segments(s)}), shape)
+    probe = rows.mapInArrow(_keys(lookups), shape)
     pairs = probe.select(F.col("s").alias("x"), "o", "seg").join(index.select(F.col("s").alias("y"), "o", "seg"), ["o", "seg"])
     # strings of one length look each other up: one direction is enough
     once = (F.length("x") > F.length("y")) | (F.col("x") < F.col("y"))
@@ -232,14 +228,16 @@ def similar(keys: DataFrame, column: str, other: str) -> DataFrame:
     return near.mapInArrow(verify, "o string, x string, y string")
 
 
-def _corrections(nodes: DataFrame, births: DataFrame) -> DataFrame:
+def _corrections(nodes: DataFrame, births: DataFrame, near: DataFrame) -> DataFrame:
     """For a key ``(sur, g1)`` that is a slip or a pet form of another key, that key: ``sur, g1, to_sur, to_g1``.
 
     ``nodes`` has ``sur, g1, n`` (spellings that surely read so; 0 for possible readings only), whether one is ``dated``,
-    and how many partners the parts have, ``sur_real`` and ``g1_real``; ``births`` has the sure ``sur, g1, birth``.
+    and how many partners the parts have, ``sur_real`` and ``g1_real``; ``births`` has the sure ``sur, g1, birth``;
+    ``near`` has the similar strings: surnames under ``s|`` and the given name, given names under ``g|`` and the surname.
     """
-    a = similar(nodes, "sur", "g1").select(F.col("x").alias("sur"), F.col("o").alias("g1"), F.col("y").alias("to_sur"), F.col("o").alias("to_g1"), F.lit("sur").alias("part"))
-    b = similar(nodes.filter("g1 != ''"), "g1", "sur").select(F.col("o").alias("sur"), F.col("x").alias("g1"), F.col("o").alias("to_sur"), F.col("y").alias("to_g1"), F.lit("g1").alias("part"))
+    other = F.substring("o", 3, 1 << 30)
+    a = near.filter("o LIKE 's|%'").select(F.col("x").alias("sur"), other.alias("g1"), F.col("y").alias("to_sur"), other.alias("to_g1"), F.lit("sur").alias("part"))
+    b = near.filter("o LIKE 'g|%'").select(other.alias("sur"), F.col("x").alias("g1"), other.alias("to_sur"), F.col("y").alias("to_g1"), F.lit("g1").alias("part"))
     pets = nodes.sparkSession.createDataFrame([(p, f) for p, fs in PETS.items() for f in fs], "g1 string, to_g1 string")
     c = nodes.join(F.broadcast(pets), "g1").select("sur", "g1", F.col("sur").alias("to_sur"), "to_g1", F.lit("pet").alias("part"))
     pair = ["sur", "g1", "to_sur", "to_g1"]
@@ -283,18 +281,6 @@ def entities(names: DataFrame, column: str) -> DataFrame:
     distinct = names.select(F.col(column).alias("name")).filter(F.col("name").isNotNull()).distinct().repartition(width(spark))
     recs = cut(distinct.mapInArrow(_records, RECORD))
 
-    # bodies: the bag of words is the key; slips in one word lead to the better attested bag
-    bodies = recs.filter("kind = 'body'")
-    bags = bodies.withColumn("bag", F.array_join(F.array_sort(F.split(F.concat_ws(" ", "sur", "g1"), " ")), " "))
-    counts = bags.filter("hyp = 0").groupBy("bag").agg(F.count_distinct("form").alias("n"))
-    word_keys = bags.select("sur", "g1", "bag").distinct()
-    near = similar(word_keys.filter(F.length("sur") >= 5), "sur", "g1").select(F.col("x").alias("sur"), F.col("o").alias("g1"), "y")
-    near = near.join(word_keys, ["sur", "g1"]).join(
-        word_keys.select(F.col("sur").alias("y"), "g1", F.col("bag").alias("to_bag")), ["y", "g1"]).join(counts, "bag")
-    near = near.join(counts.select(F.col("bag").alias("to_bag"), F.col("n").alias("to_n")), "to_bag")
-    near = cut(near).filter(F.struct("to_n", "to_bag") > F.struct("n", "bag")).groupBy("bag").agg(F.max_by("to_bag", F.struct("to_n", "to_bag")).alias("to_bag"))
-    body = cut(bags.filter("hyp = 0").join(near, "bag", "left").select("name", "form", F.concat(F.lit("body|"), F.coalesce("to_bag", "bag")).alias("entity")))
-
     # people: which readings are sure, and what they show
     people = recs.filter("kind IN ('person', 'initial')")
     sure = people.filter("n_hyp = 1 AND kind = 'person'")
@@ -305,7 +291,13 @@ def entities(names: DataFrame, column: str) -> DataFrame:
     givens = keys.filter("n > 0").groupBy("g1").agg(F.count(F.lit(1)).alias("g1_real"))
     nodes = cut(keys.join(surs, "sur", "left").join(givens, "g1", "left").fillna(0, ["sur_real", "g1_real"]).select("sur", "g1", "n", "dated", "sur_real", "g1_real"))
     births = cut(sure.filter("birth > 0").select("sur", "g1", "birth").distinct())
-    fix = cut(_corrections(nodes, births))
+    # one segment join for all: surnames of a given name, given names of a surname, words of a body
+    bodies = recs.filter("kind = 'body'").withColumn("bag", F.array_join(F.array_sort(F.split(F.concat_ws(" ", "sur", "g1"), " ")), " "))
+    words = cut(bodies.filter(F.length("sur") >= 5).select("sur", "g1", "bag").distinct())
+    tag = lambda t, c: F.concat(F.lit(t), c).alias("o")
+    rows = nodes.select(F.col("sur").alias("s"), tag("s|", F.col("g1"))).unionByName(nodes.filter("g1 != ''").select(F.col("g1").alias("s"), tag("g|", F.col("sur"))))
+    near = cut(similar(rows.unionByName(words.select(F.col("sur").alias("s"), tag("b|", F.col("g1"))))))
+    fix = cut(_corrections(nodes, births, near))
     again = fix.select(F.col("sur").alias("to_sur"), F.col("g1").alias("to_g1"), F.col("to_sur").alias("sur2"), F.col("to_g1").alias("g12"))
     fix = fix.join(again, ["to_sur", "to_g1"], "left").select("sur", "g1", F.coalesce("sur2", "to_sur").alias("to_sur"), F.coalesce("g12", "to_g1").alias("to_g1"))
     known = cut(keys.select("sur", "g1", "n").join(fix, ["sur", "g1"], "left"))
@@ -340,6 +332,13 @@ def entities(names: DataFrame, column: str) -> DataFrame:
     without = _attach(initials.filter("birth = 0").select("sur", "g1", "g2").distinct(), people_of, ["sur", "g1"]).withColumn("birth", F.lit(0))
     own = F.concat_ws("|", F.lit("i"), "sur", "g1", "g2", "birth")
     c = initials.join(with_year.unionByName(without), ["sur", "g1", "g2", "birth"]).select("name", "form", F.coalesce("entity", own).alias("entity"))
+    # bodies: the bag of words is the key; a slip in one word leads to the better attested bag
+    counts = cut(bodies.filter("hyp = 0").groupBy("bag").agg(F.count_distinct("form").alias("n")))
+    slips = near.filter("o LIKE 'b|%'").select(F.col("x").alias("sur"), F.substring("o", 3, 1 << 30).alias("g1"), "y")
+    slips = slips.join(words, ["sur", "g1"]).join(words.select(F.col("sur").alias("y"), "g1", F.col("bag").alias("to_bag")), ["y", "g1"])
+    slips = slips.join(counts, "bag").join(counts.select(F.col("bag").alias("to_bag"), F.col("n").alias("to_n")), "to_bag")
+    slips = slips.filter(F.struct("to_n", "to_bag") > F.struct("n", "bag")).groupBy("bag").agg(F.max_by("to_bag", F.struct("to_n", "to_bag")).alias("to_bag"))
+    body = bodies.filter("hyp = 0").join(cut(slips), "bag", "left").select("name", "form", F.concat(F.lit("body|"), F.coalesce("to_bag", "bag")).alias("entity"))
     rest = recs.filter("kind = 'none'").select("name", "form", F.concat(F.lit("n|"), F.col("form")).alias("entity"))
     return body.unionByName(ab.select("name", "form", "entity")).unionByName(c).unionByName(rest).select("name", "entity")
 
