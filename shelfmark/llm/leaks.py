@@ -242,17 +242,26 @@ _LISTS = ["held", "q", "i", "j", "code", "ends", "ids"]
 
 
 def _near(q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which hits (sorted by passage and place) have another one of their passage close by."""
-    ok = np.zeros(len(q), bool)
-    for s in range(1, 3 * NEAR):
-        if s >= len(q):
-            break
-        same = (q[s:] == q[:-s]) & (j[s:] - j[:-s] <= NEAR)
-        if not same.any():
-            break
-        pair = same & (np.abs((j[s:] - i[s:]) - (j[:-s] - i[:-s])) <= SHIFT) & ((j[s:] != j[:-s]) | (i[s:] != i[:-s]))
-        ok[s:] |= pair
-        ok[:-s] |= pair
+    """Which hits have another one of their passage close by; every pair counts, however often a shingle stands in the passage."""
+    if not len(q):
+        return np.zeros(0, bool)
+    # diagonals (passage, j - i), with room for SHIFT between the passages, and the hits of each in the order of their place
+    off = j - i
+    off = off - off.min() + SHIFT
+    diagonal = q.astype(np.int64) * (off.max() + SHIFT + 1) + off
+    known, own = np.unique(diagonal, return_inverse=True)
+    width = j.max() + 2 * NEAR + 1
+    place = own * width + j + NEAR
+    ordered = np.sort(place)
+    beside = np.diff(ordered) <= NEAR
+    ok = np.concatenate(([False], beside)) | np.concatenate((beside, [False]))
+    ok = ok[np.searchsorted(ordered, place)]
+    for shift in range(-SHIFT, SHIFT + 1):
+        if shift:
+            at = np.minimum(np.searchsorted(known, diagonal + shift), len(known) - 1)
+            first = at * width + j  # the least place there within NEAR
+            nearest = ordered[np.minimum(np.searchsorted(ordered, first), len(ordered) - 1)]
+            ok |= (known[at] == diagonal + shift) & (nearest >= first) & (nearest <= first + 2 * NEAR)
     return ok
 
 
@@ -368,12 +377,14 @@ def _verify(passages, prefix, kind: str):
             keys, found, lengths = [], [], []
             for key, q, i, j, code, ends, ids in zip(batch.column(0), *(batch.column(n).to_pylist() for n in _LISTS[1:])):
                 bounds = [0, *ends]
-                done, last = -1, None
+                done, own, last = -1, -1, {}
                 for a, x, y, c in zip(q, i, j, code):
                     if a == done or not starts[c]:
                         continue
-                    run_on = last is not None and last == (a, x - 1, y - 1)  # the same exact run as the hit before
-                    last = (a, x, y)
+                    if a != own:
+                        own, last = a, {}
+                    run_on = last.get(y - x) == x - 1  # the same exact run as the hit before on its diagonal
+                    last[y - x] = x
                     if run_on:
                         continue
                     k = bisect.bisect_right(bounds, y) - 1

@@ -1,6 +1,8 @@
 import random
 
-from shelfmark.llm.leaks import ERROR_EVERY, MIN_WORDS, leaks, words
+import numpy as np
+
+from shelfmark.llm.leaks import ERROR_EVERY, MIN_WORDS, NEAR, SHIFT, _near, leaks, words
 
 
 def brute(doc, passage):
@@ -63,3 +65,21 @@ def test_forms_copies_nulls_and_shared_passages(spark):
     assert got == {(k, n) for k in (1, 2, 7, 8, 9, 10) for n in (1, 2)}
     assert leaks(d, "doc_id", "text", i.filter("item_id > 2"), "item_id", "passage").count() == 0
     assert leaks(d.limit(0), "doc_id", "text", i, "item_id", "passage").count() == 0
+
+
+def test_near_is_exact():
+    rng = random.Random(5)
+    for spread in (6, 40, 400):
+        hits = sorted({(rng.randrange(3), rng.randrange(spread), rng.randrange(60)) for _ in range(300)}, key=lambda h: (h[0], h[2], h[1]))
+        q, i, j = (np.array(x) for x in zip(*hits))
+        want = [any(h != o and h[0] == o[0] and abs(h[2] - o[2]) <= NEAR and abs((h[2] - h[1]) - (o[2] - o[1])) <= SHIFT for o in hits) for h in hits]
+        assert _near(q.astype(np.int32), i.astype(np.int64), j).tolist() == want
+
+
+def test_refrains(spark):
+    passages = [" ".join([f"{w}{k}" for k in range(period)] * times) for w, period, times in [("a", 1, 90), ("b", 3, 40), ("c", 4, 34), ("d", 4, 40), ("e", 8, 60)]]
+    docs = [(n, f"before {p} after") for n, p in enumerate(passages)] + [(9, "e7 " + " ".join(f"e{k}" for k in range(5)))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(list(enumerate(passages)), "item_id long, passage string")
+    got = {(r.doc_id, r.item_id): r.n_words for r in leaks(d, "doc_id", "text", i, "item_id", "passage").collect()}
+    assert set(got) == {(n, n) for n in range(5)} and all(v >= MIN_WORDS for v in got.values())
