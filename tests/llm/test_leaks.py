@@ -83,3 +83,45 @@ def test_refrains(spark):
     i = spark.createDataFrame(list(enumerate(passages)), "item_id long, passage string")
     got = {(r.doc_id, r.item_id): r.n_words for r in leaks(d, "doc_id", "text", i, "item_id", "passage").collect()}
     assert set(got) == {(n, n) for n in range(5)} and all(v >= MIN_WORDS for v in got.values())
+
+
+def trimmed(doc, passage):
+    """Longest allowed stretch that begins and ends with words found in the document, by edit distance over rows."""
+    best = 0
+    for i in range(len(passage)):
+        row = None  # least errors of passage[i:x] against a range that ends at each place of the document
+        for x in range(i, len(passage)):
+            same = [passage[x] == w for w in doc]
+            if row is None:
+                ends = [float("inf"), *(0 if s else float("inf") for s in same)]
+                row = ends
+                continue
+            new, ends = [row[0] + 1], [float("inf")]
+            for j in range(1, len(doc) + 1):
+                ends.append(row[j - 1] if same[j - 1] else float("inf"))
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (not same[j - 1])))
+            row = new
+            n = x - i + 1
+            if n >= MIN_WORDS and min(ends) * ERROR_EVERY <= n:
+                best = max(best, n)
+    return best
+
+
+def test_misses_are_exactly_the_stretches_that_end_in_an_error(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(60)]
+    passages = [[rng.choice(vocabulary) for _ in range(rng.choice([20, 40]))] for _ in range(6)]
+    docs = []
+    for k in range(120):
+        p = rng.choice(passages)
+        n = rng.choice([14, 15, 16, 17, 18, 20])
+        a = rng.randrange(0, len(p) - n + 1)
+        part = p[a : a + n]
+        for at in rng.choice([[], [0], [n - 1], [0, n - 1], [1], [n // 2], [n // 2, n - 1]]):
+            part[at] = "zz"
+        docs.append([f"x{k}" for k in range(rng.randrange(9))] + part + ["y"] * rng.randrange(9))
+    d = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(docs)], "doc_id long, text string")
+    i = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(passages)], "item_id long, passage string")
+    got = {(r.doc_id, r.item_id) for r in leaks(d, "doc_id", "text", i, "item_id", "passage").collect()}
+    assert got == {(a, b) for a, x in enumerate(docs) for b, p in enumerate(passages) if trimmed(x, p)}
+    assert got < {(a, b) for a, x in enumerate(docs) for b, p in enumerate(passages) if brute(x, p)}
