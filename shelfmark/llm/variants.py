@@ -275,6 +275,38 @@ def _attach(loose: DataFrame, fixed: DataFrame, on: list[str]) -> DataFrame:
     return loose.join(one, [*on, "g2"], "left")
 
 
+def _second_names(chosen: DataFrame, givens: DataFrame) -> DataFrame:
+    """``chosen`` with the slips in second given names of people put right; ``own_g2`` is the second name as spelled.
+
+    Judged under the corrected surname and first name, by the rules of first names; ``givens`` has how many surnames a first name has.
+    """
+    key = F.concat_ws("|", "sur", "g1")
+    full = chosen.filter("kind = 'person' AND length(g2) > 1").groupBy(key.alias("o"), "g2").agg(
+        F.count_distinct("form").alias("n"), F.bool_or(F.col("birth") > 0).alias("dated"), F.collect_set(F.when(F.col("birth") > 0, F.col("birth"))).alias("births"))
+    full = cut(full)
+    near = similar(full.select(F.col("g2").alias("s"), "o")).select("o", F.col("x").alias("g2"), F.col("y").alias("to_g2"))
+    real = full.groupBy("g2").agg(F.count(F.lit(1)).alias("k")).join(givens.withColumnRenamed("g1", "g2"), "g2", "left").select("g2", (F.col("k") + F.coalesce("g1_real", F.lit(0))).alias("real"))
+    nodes = full.join(real, "g2")
+    links = near.join(nodes, ["o", "g2"]).join(nodes.select("o", *[F.col(x).alias(f"to_{x}") for x in nodes.columns if x != "o"]), ["o", "to_g2"])
+    common = F.arrays_overlap("births", "to_births")
+    both = (F.least("real", "to_real") >= REAL) & (F.greatest("real", "to_real") < GIVEN_RATIO * F.least("real", "to_real"))
+    rank = [F.struct(*[F.col(p + x) for x in ("real", "dated", "n", "g2")]) for p in ("", "to_")]
+    links = links.withColumn("common", common).filter((rank[1] > rank[0]) & (common | (~both & ~(F.col("dated") & F.col("to_dated")))))
+    picked = links.groupBy("o", "g2").agg(F.max_by("to_g2", F.struct("common", "to_dated", "to_n", "to_g2")).alias("to_g2"), F.count_distinct("to_g2").alias("c"), F.bool_or("common").alias("sure"))
+    fix = cut(picked.filter("sure OR c = 1").select("o", "g2", "to_g2"))
+    again = fix.select("o", F.col("g2").alias("to_g2"), F.col("to_g2").alias("g22"))
+    fix = fix.join(again, ["o", "to_g2"], "left").select("o", "g2", F.coalesce("g22", "to_g2").alias("to_g2"))
+    # an initial and a person of one key have keys of their own: the first name of an initial is one letter
+    out = chosen.withColumn("o", F.when(F.col("kind") == "person", key)).join(fix, ["o", "g2"], "left")
+    return out.withColumn("own_g2", F.col("g2")).withColumn("g2", F.coalesce("to_g2", "g2")).drop("o", "to_g2")
+
+
+def _shown(df: DataFrame, on: list[str]) -> DataFrame:
+    """The second given name of each ``on``: a full one before an initial before none, then the one of most spellings."""
+    each = df.groupBy(*on, "g2").agg(F.count_distinct("form").alias("n"))
+    return each.groupBy(*on).agg(F.max_by("g2", F.struct(F.least(F.length("g2"), F.lit(2)), "n", F.length("g2"), "g2")).alias("g2"))
+
+
 def entities(names: DataFrame, column: str) -> DataFrame:
     """``name, entity`` of the distinct names."""
     spark = names.sparkSession
@@ -293,7 +325,7 @@ def entities(names: DataFrame, column: str) -> DataFrame:
     births = cut(sure.filter("birth > 0").select("sur", "g1", "birth").distinct())
     # one segment join for all: surnames of a given name, given names of a surname, words of a body
     bodies = recs.filter("kind = 'body'").withColumn("bag", F.array_join(F.array_sort(F.split(F.concat_ws(" ", "sur", "g1"), " ")), " "))
-    words = cut(bodies.filter(F.length("sur") >= 5).select("sur", "g1", "bag").distinct())
+    words = cut(bodies.filter(F.length("sur") >= 2).select("sur", "g1", "bag").distinct())
     tag = lambda t, c: F.concat(F.lit(t), c).alias("o")
     rows = nodes.select(F.col("sur").alias("s"), tag("s|", F.col("g1"))).unionByName(nodes.filter("g1 != ''").select(F.col("g1").alias("s"), tag("g|", F.col("sur"))))
     near = cut(similar(rows.unionByName(words.select(F.col("sur").alias("s"), tag("b|", F.col("g1"))))))
@@ -307,10 +339,10 @@ def entities(names: DataFrame, column: str) -> DataFrame:
     chosen = read.withColumn("r", F.row_number().over(order)).filter("r = 1").select(
         "name", "form", "kind", F.coalesce("to_sur", "sur").alias("sur"), F.coalesce("to_g1", "g1").alias("g1"), "g2", "birth",
         F.col("sur").alias("own_sur"), F.substring("g1", 1, 1).alias("own_i"))
-    chosen = cut(chosen)
+    chosen = cut(_second_names(cut(chosen), givens))
 
     key = ["sur", "g1"]
-    dated = chosen.filter("kind = 'person' AND birth > 0").groupBy(*key, "birth").agg(F.max_by("g2", F.struct(F.length("g2"), "g2")).alias("g2"))
+    dated = _shown(chosen.filter("kind = 'person' AND birth > 0"), [*key, "birth"])
     dated = dated.withColumn("entity", F.concat_ws("|", F.lit("p"), *key, "birth"))
     loose = chosen.filter("kind = 'person' AND birth = 0").select(*key, "g2").distinct()
     tied = cut(_attach(loose, dated, key))
@@ -319,13 +351,15 @@ def entities(names: DataFrame, column: str) -> DataFrame:
     longest = free.filter("length(g2) > 1").withColumn("entity", F.concat_ws("|", F.lit("p"), *key, "g2"))
     short = _attach(free.filter("length(g2) <= 1"), longest, key).withColumn("entity", F.coalesce("entity", F.concat_ws("|", F.lit("p"), *key, F.lit(""))))
     undated = cut(tied.filter("entity IS NOT NULL").unionByName(longest).unionByName(short))
-    keep = ["name", "form", "entity", "own_sur", "own_i", "g2", "birth"]
+    keep = ["name", "form", "entity", "own_sur", "own_i", "g2", "own_g2", "birth"]
     a = chosen.filter("kind = 'person' AND birth > 0").withColumn("entity", F.concat_ws("|", F.lit("p"), *key, "birth")).select(keep)
     b = chosen.filter("kind = 'person' AND birth = 0").join(undated, [*key, "g2"]).select(keep)
     # initials: the one person of the surname (as spelled there) with such given names (and year of birth, if there is one)
     ab = cut(a.unionByName(b))
-    people_of = ab.groupBy(F.col("own_sur").alias("sur"), F.col("own_i").alias("g1"), "entity").agg(
-        F.max_by("g2", F.struct(F.length("g2"), "g2")).alias("g2"), F.max("birth").alias("birth"))
+    spelled = ab.withColumnsRenamed({"own_sur": "sur", "own_i": "g1"})
+    one = ["sur", "g1", "entity"]
+    shown = _shown(spelled, one).unionByName(spelled.filter("own_g2 != g2").select(*one, F.col("own_g2").alias("g2"))).distinct()
+    people_of = cut(shown.join(spelled.groupBy(*one).agg(F.max("birth").alias("birth")), one))
     initials = chosen.filter("kind = 'initial'")
     by_year = initials.filter("birth > 0").select("sur", "g1", "birth", "g2").distinct()
     with_year = _attach(by_year, people_of.filter("birth > 0"), ["sur", "g1", "birth"])
@@ -335,6 +369,10 @@ def entities(names: DataFrame, column: str) -> DataFrame:
     # bodies: the bag of words is the key; a slip in one word leads to the better attested bag
     counts = cut(bodies.filter("hyp = 0").groupBy("bag").agg(F.count_distinct("form").alias("n")))
     slips = near.filter("o LIKE 'b|%'").select(F.col("x").alias("sur"), F.substring("o", 3, 1 << 30).alias("g1"), "y")
+    # a slip in a word of under five letters is one only where the other word is well attested and the own one is not
+    forms = cut(bodies.groupBy("sur").agg(F.count_distinct("form").alias("forms")))
+    slips = slips.join(forms, "sur").join(forms.select(F.col("sur").alias("y"), F.col("forms").alias("to_forms")), "y").filter(
+        (F.least(F.length("sur"), F.length("y")) >= 5) | ((F.col("to_forms") >= REAL) & ((F.col("forms") < REAL) | (F.col("forms") * SUR_RATIO <= F.col("to_forms")))))
     slips = slips.join(words, ["sur", "g1"]).join(words.select(F.col("sur").alias("y"), "g1", F.col("bag").alias("to_bag")), ["y", "g1"])
     slips = slips.join(counts, "bag").join(counts.select(F.col("bag").alias("to_bag"), F.col("n").alias("to_n")), "to_bag")
     slips = slips.filter(F.struct("to_n", "to_bag") > F.struct("n", "bag")).groupBy("bag").agg(F.max_by("to_bag", F.struct("to_n", "to_bag")).alias("to_bag"))

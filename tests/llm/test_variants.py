@@ -48,3 +48,14 @@ def test_variants(spark):
 def test_doubtful_names_join_nobody(spark):
     names = ["Hakofeho, Henry, 1793-1854", "Hakofeho, Henry, 1838-1889", "H. Hakofeho", "Hakofeho, Henry", "Vinfin, Kate", "Vinfin, Katharine, 1800-1850", "Vinfin, Catherine, 1810-1850"]
     assert variant_pairs(spark.createDataFrame([(n,) for n in names], "name string"), "name").collect() == []
+
+
+def test_slips_in_second_names_and_short_body_words(spark):
+    groups = [
+        ["Lultahanar, Felix Samuel, 1739-1818", "LULTAHANAR, Felix Samuel (1739-1818)", "Lultahanar, Felix Samuell, 1739-1818", "Felix Samuel Lultahanar", "Felix Samuol Lultahanar", "F. S. Lultahanar"],
+        ["Lultahanar, Felix Robert, 1839-1918"], ["Hakofeho, Henry Martin", "Henry Martin Hakofeho", "Hakofeho, Henry Marton"],
+        ["Darfathinko Sea Institute", "The Darfathinko Sea Institute", "Darfathinko Sea Inst.", "Darfathinko Sae Institute"], ["A. Harvepene & Sons", "Messrs. A. Harvepene and Sons"], ["B. Harvepene & Sons"],
+    ]
+    rows = [(n,) for g in groups for n in g]
+    got = {(r.name_a, r.name_b) for r in variant_pairs(spark.createDataFrame(rows, "name string"), "name").collect()}
+    assert got == {(a, b) for g in groups for a in g for b in g if a < b}
