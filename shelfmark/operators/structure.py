@@ -10,22 +10,31 @@ from pyspark.sql import functions as F
 
 from shelfmark.session import cut
 
-#: Levels of nesting that a document may have; more are reported, not followed.
-MOST_LEVELS = 64
-
-
-def ancestors(df: DataFrame, doc: str, node: str, parent: str, most: int = MOST_LEVELS) -> DataFrame:
-    """Every ancestor of every node: ``doc, node, ancestor, distance``. One equi-join a level, until no chain grows."""
-    edges = df.select(F.col(doc).alias("doc"), F.col(node).alias("node"), F.col(parent).alias("ancestor")).filter("ancestor IS NOT NULL AND ancestor != 0")
-    up = edges.select("doc", F.col("node").alias("ancestor"), F.col("ancestor").alias("higher"))
-    level, out = cut(edges.withColumn("distance", F.lit(1))), None
-    for _ in range(most):
-        out = level if out is None else out.unionByName(level)
-        nxt = level.join(up, ["doc", "ancestor"]).select("doc", "node", F.col("higher").alias("ancestor"), F.col("distance") + 1)
-        level = cut(nxt.toDF("doc", "node", "ancestor", "distance").filter("node != ancestor"))
-        if level.isEmpty():
-            break
-    return out.select(F.col("doc").alias(doc), F.col("node").alias(node), "ancestor", "distance")
+#: Rounds in which on_cycle sheds nodes without a way in or out, to save work; the result does not depend on it.
+PRUNE_ROUNDS = 64
+
+
+def _reach(edges: DataFrame) -> DataFrame:
+    """Every way in a graph: ``doc, node, at, distance`` (the least number of edges, 1 or more), for edges ``doc, node, at``.
+
+    The distances known double each round, until no way is new: a shortest way of up to ``2 * half`` edges leads over a node ``half`` edges away.
+    """
+    out, half = cut(edges.distinct().withColumn("distance", F.lit(1))), 1
+    while True:
+        far = out.filter(F.col("distance") == half).select("doc", "node", F.col("at").alias("via"))
+        on = out.select("doc", F.col("node").alias("via"), "at", F.col("distance").alias("more"))
+        new = far.join(on, ["doc", "via"]).groupBy("doc", "node", "at").agg((F.min("more") + half).cast("int").alias("distance"))
+        new = cut(new.join(out, ["doc", "node", "at"], "left_anti"))
+        if new.isEmpty():
+            return out
+        out, half = out.unionByName(new), 2 * half
+
+
+def ancestors(df: DataFrame, doc: str, node: str, parent: str) -> DataFrame:
+    """Every ancestor of every node, however deep: ``doc, node, ancestor, distance``."""
+    edges = df.select(F.col(doc).alias("doc"), F.col(node).alias("node"), F.col(parent).alias("at")).filter("at IS NOT NULL AND at != 0")
+    out = _reach(edges).filter("distance = 1 OR node != at")
+    return out.select(F.col("doc").alias(doc), F.col("node").alias(node), F.col("at").alias("ancestor"), "distance")
 
 
 def entry_ranges(df: DataFrame, doc: str, order: str, parent: str, place: list[str], resolved: Column) -> DataFrame:
@@ -59,11 +68,11 @@ def resolve_links(links: DataFrame, members: DataFrame, targets: DataFrame, doc:
     return j.select(*links.columns, F.when(ok, F.col("unit")).alias("unit"), F.when(ok, F.coalesce("offset", F.lit(0))).alias("offset"), status.alias("status"))
 
 
-def on_cycle(edges: DataFrame, doc: str, source: str, target: str, most: int = MOST_LEVELS) -> DataFrame:
-    """Nodes that can reach themselves: ``doc, node``. Nodes without a way in or out are pruned until none is left to prune."""
+def on_cycle(edges: DataFrame, doc: str, source: str, target: str) -> DataFrame:
+    """Nodes that can reach themselves, over cycles of any length: ``doc, node``. Nodes without a way in or out are pruned first."""
     e = cut(edges.select(F.col(doc).alias("doc"), F.col(source).alias("a"), F.col(target).alias("b")).distinct())
     n = e.count()
-    for _ in range(most):
+    for _ in range(PRUNE_ROUNDS):
         heads, tails = e.select("doc", F.col("a").alias("b")).distinct(), e.select("doc", F.col("b").alias("a")).distinct()
         e = cut(e.join(heads, ["doc", "b"], "left_semi").join(tails, ["doc", "a"], "left_semi"))
         left = e.count()
@@ -71,17 +80,8 @@ def on_cycle(edges: DataFrame, doc: str, source: str, target: str, most: int = M
             break
         n = left
     # what is left lies on cycles or between them; a node is on one if a walk from it comes back
-    walk, found = e.select("doc", F.col("a").alias("node"), F.col("b").alias("at")), None
-    seen = walk
-    for _ in range(most):
-        back = walk.filter("node = at").select("doc", "node").distinct()
-        found = back if found is None else found.unionByName(back).distinct()
-        step = walk.join(e, (walk["doc"] == e["doc"]) & (walk["at"] == e["a"])).select(walk["doc"], "node", F.col("b").alias("at")).distinct()
-        walk = cut(step.join(seen, ["doc", "node", "at"], "left_anti"))
-        if walk.isEmpty():
-            break
-        seen = cut(seen.unionByName(walk))
-    return found.select(F.col("doc").alias(doc), "node")
+    back = _reach(e.select("doc", F.col("a").alias("node"), F.col("b").alias("at"))).filter("node = at")
+    return back.select(F.col("doc").alias(doc), "node")
 
 
 def parts_in_range(parts: DataFrame, doc: str, start: int, end: int) -> DataFrame:

@@ -31,6 +31,17 @@ def test_links_and_cycles(spark):
     assert rows(structure.on_cycle(e, "doc", "a", "b")) == [("d", 1), ("d", 2), ("d", 3), ("d", 5)]
 
 
+def test_deep_chains_and_long_cycles(spark):
+    chain = spark.createDataFrame([("d", k, k - 1, k) for k in range(1, 101)] + [("d", 101, 0, 101)], "doc string, n int, parent int, place int")
+    assert rows(structure.ancestors(chain, "doc", "n", "parent")) == [("d", n, a, n - a) for n in range(1, 101) for a in range(1, n)]
+    ends = structure.entry_ranges(chain, "doc", "n", "parent", ["place"], F.lit(True)).collect()
+    assert all(r.status == "bounded" and r.end.place == 101 for r in ends if r.n <= 100)
+    ring = spark.createDataFrame([("d", k, k % 80 + 1) for k in range(1, 81)] + [("d", 80, 90), ("d", 90, 91), ("d", 70, 99), ("d", 99, 71)], "doc string, a int, b int")
+    assert rows(structure.on_cycle(ring, "doc", "a", "b")) == [("d", k) for k in [*range(1, 81), 99]]
+    loop = spark.createDataFrame([("d", 1, 2), ("d", 2, 1), ("d", 3, 1)], "doc string, n int, parent int")
+    assert rows(structure.ancestors(loop, "doc", "n", "parent")) == [("d", 1, 2, 1), ("d", 2, 1, 1), ("d", 3, 1, 1), ("d", 3, 2, 2)]
+
+
 def test_ranges_and_labels(spark):
     f = spark.createDataFrame([("a", k, 4) for k in range(5)] + [("a", 5, 99), ("a", 6, 1), ("b", 0, 3)], "k string, n int, size int")
     assert rows(structure.greedy_ranges(f, "k", "n", "size", 10)) == [("a", 1, 0, 1, 8), ("a", 2, 2, 3, 8), ("a", 3, 4, 4, 4), ("a", 4, 5, 5, 99), ("a", 5, 6, 6, 1), ("b", 1, 0, 0, 3)]
