@@ -25,14 +25,19 @@ from pyspark.sql import functions as F
 
 from shelfmark.session import cut
 
+#: Longest session that Spark's window is asked for: its seconds have 18 digits, six of them after the point.
+LONGEST = 10**17
 #: Distinct starts of one entity that one slice is meant to hold.
 SLICE_ROWS = 50_000
 
 
 def _merge(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Overlapping rows of each key merged by session windows; ``s`` and ``e`` are the bounds."""
+    """Overlapping rows of each key merged by session windows; ``s`` and ``e`` are the bounds.
+
+    What begins more than ``LONGEST`` units after the start of a longer row may come out beside it; ``periods`` joins it by the furthest end before.
+    """
     at = df.select(*keys, "s", "e", F.timestamp_micros("s").alias("at"))
-    gap = F.expr("make_interval(0, 0, 0, 0, 0, 0, CAST(CAST(e - s AS DECIMAL(20, 0)) / 1000000 AS DECIMAL(18, 6)))")
+    gap = F.expr(f"make_interval(0, 0, 0, 0, 0, 0, CAST(least(CAST(e AS DECIMAL(20, 0)) - s, {LONGEST}) / 1000000 AS DECIMAL(18, 6)))")
     merged = at.groupBy(*keys, F.session_window("at", gap).alias("w")).agg(F.min("s").alias("s"), F.max("e").alias("e"))
     return merged.select(*keys, "s", "e")
 

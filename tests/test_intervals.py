@@ -43,3 +43,10 @@ def test_against_brute_force_in_slices(spark, rows, slice_rows):
 def test_hot_entity(spark, slice_rows):
     rows = [(1, k * 10, k * 10 + (9 if k % 3 else 25)) for k in range(700)] + [(k, 0, 5) for k in range(2, 60)] + [(1, 0, 300)]
     assert run(spark, rows, slice_rows) == brute(rows)
+
+
+@pytest.mark.parametrize("slice_rows", [50_000, 1])
+def test_bounds_up_to_two_to_the_62(spark, slice_rows):
+    top = 2**62
+    rows = [(1, -top, top), (1, 0, 5), (1, 10**18, 10**18 + 7), (2, -(10**18), 10**18), (2, 10**18, 3 * 10**18), (2, 3 * 10**18 + 4, top), (3, 0, 10**18 + 1), (3, 10**17 + 5, 10**17 + 6)]
+    assert run(spark, rows, slice_rows) == brute(rows)
