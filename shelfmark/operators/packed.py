@@ -27,7 +27,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import pyarrow as pa
@@ -53,8 +54,11 @@ SEPARATORS = (
 )
 _ANY = {name: re.compile(p) for name, p in SEPARATORS}
 
+_MAYBE = re.compile("[;；|/·•\n\r\t\x85\u2028\u2029]")
 _OTHER = re.compile(r"[^\w ]|[\d_]")
 _NOTHING = re.compile(f"[{WHITE_SPACE};；|/·•,]*")
+#: White space that folding changes.
+_UNFOLDED = re.compile(f"[{WHITE_SPACE.replace(' ', '')}]|  ")
 LETTER_BITS = 5.0
 OTHER_BITS = 6.0
 VALUE_BITS = 6.0
@@ -66,7 +70,7 @@ HOT_SHARE = 0.001
 
 def fold(text: str) -> str:
     """Each run of Unicode white space made one blank, none left at the ends."""
-    return _WS.sub(" ", text).strip(" ")
+    return (_WS.sub(" ", text) if _UNFOLDED.search(text) else text).strip(" ")
 
 
 def fold_column(col: F.Column | str) -> F.Column:
@@ -110,20 +114,22 @@ def _patterns(seps: frozenset) -> tuple[re.Pattern | None, re.Pattern]:
 Value = tuple[str, bool, int]  # the folded value, whether it was enclosed, how many separators stand in it unprotected
 
 
-def _bare(part: str) -> Value:
-    return fold(part), False, sum(len(p.findall(part)) for p in _ANY.values())
+def _bare(part: str, inside: list[re.Pattern]) -> Value:
+    return fold(part), False, sum(len(p.findall(part)) for p in inside)
 
 
-def read_plain(raw: str, seps: frozenset) -> list[Value]:
-    """The values of ``raw`` between ``seps``; no enclosure."""
+def read_plain(raw: str, seps: frozenset, present: Iterable[str] = _ANY) -> list[Value]:
+    """The values of ``raw`` between ``seps``; no enclosure. ``present`` are the separators that stand in ``raw`` at all."""
     split, _ = _patterns(seps)
     parts = split.split(raw) if split else [raw]
-    return [v for v in map(_bare, parts) if v[0]]
+    inside = [_ANY[n] for n in present if n not in seps]
+    return [v for x in parts if (v := _bare(x, inside))[0]]
 
 
-def read_enclosed(raw: str, seps: frozenset) -> list[Value]:
+def read_enclosed(raw: str, seps: frozenset, present: Iterable[str] = _ANY) -> list[Value]:
     """As ``read_plain``, where a value may stand in double quotes; a comma separates after a closing quote."""
     split, ends = _patterns(seps)
+    inside = [_ANY[n] for n in present if n not in seps]
     out, i, n = [], 0, len(raw)
     while i <= n:
         j = i
@@ -140,7 +146,7 @@ def read_enclosed(raw: str, seps: frozenset) -> list[Value]:
             continue
         m = split.search(raw, i) if split else None
         end = m.start() if m else n
-        if (bare := _bare(raw[i:end]))[0]:
+        if (bare := _bare(raw[i:end], inside))[0]:
             out.append(bare)
         if not m:
             break
@@ -164,10 +170,13 @@ def read_json(raw: str) -> list[Value] | None:
 
 def readings(raw: str | None) -> list[list[Value]]:
     """The different readings of a field, one for each set of values that a dialect gives."""
-    if raw is None or _NOTHING.fullmatch(raw):
+    if not raw or not raw[0].isalnum() and _NOTHING.fullmatch(raw):
         return []
     out: dict[tuple, list] = {}
-    present = [n for n, _ in SEPARATORS if _ANY[n].search(raw)]
+    present = [n for n, _ in SEPARATORS if _ANY[n].search(raw)] if _MAYBE.search(raw) else []
+    if not present and '"' not in raw and raw[0] != "[":
+        got = [(fold(raw), False, 0)]
+        return [got] if got[0][0] else []
     if (got := read_json(raw)) is not None:
         out.setdefault(tuple(got), got)
     quoted = '"' in raw
@@ -175,13 +184,14 @@ def readings(raw: str | None) -> list[list[Value]]:
         for seps in combinations(present, k):
             s = frozenset(seps)
             if quoted:
-                got = read_enclosed(raw, s)
+                got = read_enclosed(raw, s, present)
                 out.setdefault(tuple(got), got)
-            got = read_plain(raw, s)
+            got = read_plain(raw, s, present)
             out.setdefault(tuple(got), got)
     return list(out.values())
 
 
+@lru_cache(200_000)
 def spelled_bits(value: str) -> float:
     """Code length of a value that no other field holds."""
     return VALUE_BITS + LETTER_BITS * len(value) + (OTHER_BITS - LETTER_BITS) * len(_OTHER.findall(value))
@@ -202,87 +212,111 @@ def extra_bits(value: str, enclosed: bool, separators: int) -> float:
     return bits
 
 
-_COLUMNS = {
-    "field_name": ("string", pa.string()), "raw_id": ("long", pa.int64()), "reading": ("int", pa.int32()),
-    "n_readings": ("int", pa.int32()), "pos": ("int", pa.int32()), "item": ("string", pa.string()),
-    "counts": ("boolean", pa.bool_()), "own": ("double", pa.float64()), "spelled": ("double", pa.float64()),
-    "extra": ("double", pa.float64()),
-}
-_CANDIDATES = ", ".join(f"{name} {t}" for name, (t, _) in _COLUMNS.items())
-_SCHEMA = pa.schema([(name, t) for name, (_, t) in _COLUMNS.items()])
-
-
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every value of every reading of the distinct fields; ``counts`` marks the one that votes for it."""
-    for batch in batches:
-        rows: list[tuple] = []
-        for field, raw_id, raw in zip(*(c.to_pylist() for c in batch.columns)):
-            all_readings = readings(raw)
-            n = len(all_readings)
-            held: dict[str, int] = {}
-            for r in all_readings:
-                for v in {x[0] for x in r}:
-                    held[v] = held.get(v, 0) + 1
-            voted: set[str] = set()
-            for k, r in enumerate(all_readings):
-                for p, (v, enclosed, inside) in enumerate(r, 1):
-                    bits = extra_bits(v, enclosed, inside)
-                    rows.append((field, raw_id, k, n, p, v, v not in voted, held[v] / n, spelled_bits(v), bits))
-                    voted.add(v)
-            if len(rows) >= 20_000:
-                yield pa.record_batch(list(map(list, zip(*rows))), schema=_SCHEMA)
-                rows = []
-        if rows:
-            yield pa.record_batch(list(map(list, zip(*rows))), schema=_SCHEMA)
-
-
-def _hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: F.Column | float, how: str = "left") -> DataFrame:
-    """Equi-join whose heavy keys, at most ``1/HOT_SHARE`` of them, go by broadcast and all others by shuffle."""
-    hot = right.filter(F.col(weight) >= F.lit(HOT_SHARE) * total)
-    marks = F.broadcast(hot)
-    first = left.join(marks, keys, "left")
+_FIELDS = "field_name string, raw string, n_rows long, raw_id long, items array<array<string>>, votes array<array<double>>, own array<array<double>>, spelled array<array<double>>, extra array<array<double>>"
+
+
+def _nested(values: list, ends: list[int], readings_to: list[int], kind: pa.DataType) -> pa.ListArray:
+    inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+    return pa.ListArray.from_arrays(pa.array(readings_to, pa.int32()), inner)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct fields with the values of all their readings.
+
+    ``own`` is the field's share in the dictionary entry of a value, ``votes`` the same once for each of its values.
+    """
+    for whole in batches:
+        for at in range(0, whole.num_rows, 5_000):
+            batch = whole.slice(at, 5_000)
+            items, votes, own, spelled, extra = [], [], [], [], []
+            ends, readings_to = [0], [0]
+            for raw in batch.column(1).to_pylist():
+                all_readings = readings(raw)
+                n = len(all_readings)
+                if n == 1:
+                    share = dict.fromkeys([x[0] for x in all_readings[0]], 1.0)
+                else:
+                    share = {}
+                    for r in all_readings:
+                        for v in {x[0] for x in r}:
+                            share[v] = share.get(v, 0.0) + 1 / n
+                voted = set()
+                for r in all_readings:
+                    for v, enclosed, inside in r:
+                        items.append(v)
+                        own.append(share[v])
+                        votes.append(0.0 if v in voted else share[v])
+                        voted.add(v)
+                        spelled.append(spelled_bits(v) if n > 1 else 0.0)
+                        extra.append(extra_bits(v, enclosed, inside) if n > 1 else 0.0)
+                    ends.append(len(items))
+                readings_to.append(len(ends) - 1)
+            lists = [_nested(x, ends, readings_to, pa.string() if x is items else pa.float64()) for x in (items, votes, own, spelled, extra)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[x.split()[0] for x in _FIELDS.split(", ")])
+
+
+def _hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: F.Column | float, spread_by: str) -> DataFrame:
+    """``left`` with the columns of ``right``, null where there are none; ``keys`` are unique in ``right``.
+
+    Heavy keys, at most ``1/HOT_SHARE`` of them, are looked up by broadcast and all others by shuffle. Rows of heavy
+    keys get a salt from ``spread_by``, so that they too are spread over all tasks of the one join.
+    """
     added = [c for c in right.columns if c not in keys]
-    done = first.filter(F.col(weight).isNotNull())
-    rest = first.filter(F.col(weight).isNull()).drop(*added).join(right.filter(F.col(weight) < F.lit(HOT_SHARE) * total), keys, how)
-    return done.unionByName(rest.select(*done.columns))
+    heavy = F.col(weight) >= F.lit(HOT_SHARE) * total
+    hot = right.filter(heavy).select(*keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in added])
+    marked = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(spread_by), F.lit(1 << 20))).otherwise(0).cast("long"))
+    joined = marked.join(right.filter(~heavy).withColumn("_salt", F.lit(0).cast("long")), [*keys, "_salt"], "left")
+    return joined.select(*left.columns, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in added])
 
 
 def choose_readings(fields: DataFrame) -> DataFrame:
     """The cheapest reading of each distinct (``field_name``, ``raw``): ``field_name, raw, items array<string>, n_rows``."""
     spark = fields.sparkSession
     distinct = fields.groupBy("field_name", "raw").agg(F.count(F.lit(1)).alias("n_rows"))
-    distinct = cut(distinct.repartition(width(spark), "raw").withColumn("raw_id", F.monotonically_increasing_id()))
-    candidates = cut(distinct.select("field_name", "raw_id", "raw").mapInArrow(_emit, _CANDIDATES))
+    distinct = distinct.repartition(width(spark), "raw").withColumn("raw_id", F.monotonically_increasing_id())
+    read = cut(distinct.select("field_name", "raw", "n_rows", "raw_id").mapInArrow(_read, _FIELDS).filter(F.size("items") > 0))
     # the dictionary: how many distinct fields hold a value, the readings of a field sharing its one vote
-    words = cut(candidates.filter("counts").groupBy("field_name", "item").agg(F.sum("own").alias("held")))
+    votes = read.select("field_name", F.explode(F.arrays_zip(F.flatten("items").alias("item"), F.flatten("votes").alias("vote"))).alias("v"))
+    words = cut(votes.filter("v.vote > 0").groupBy("field_name", F.col("v.item").alias("item")).agg(F.sum("v.vote").alias("held")))
     totals = {r["field_name"]: r["t"] for r in words.groupBy("field_name").agg(F.sum("held").alias("t")).collect()}
     total = F.lit(1.0)
     for name, t in totals.items():
         total = F.when(F.col("field_name") == F.lit(name), F.lit(float(t))).otherwise(total)
-    scored = _hot_join(candidates.filter("n_readings > 1"), words, ["field_name", "item"], "held", total)
+    several = read.filter(F.size("items") > 1)
+    each = several.select("field_name", "raw_id", F.posexplode(F.arrays_zip("items", "own", "spelled", "extra")).alias("reading", "r"))
+    each = each.select("field_name", "raw_id", "reading", F.explode(F.arrays_zip("r.items", "r.own", "r.spelled", "r.extra")).alias("v"))
+    each = each.select("field_name", "raw_id", "reading", F.col("v.items").alias("item"), "v.own", "v.spelled", "v.extra")
+    scored = _hot_join(each, words, ["field_name", "item"], "held", total, "raw_id")
     others = F.greatest(F.coalesce("held", F.lit(0.0)) - F.col("own"), F.lit(0.0))
     known = F.when(others > 1e-9, F.log2(total / others) + 1)
-    scored = scored.select("raw_id", "reading", "pos", "item", (F.least(F.col("spelled"), known) + F.col("extra")).alias("bits"))
-    at = F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("at")
-    read = scored.repartition(width(spark), "raw_id").groupBy("raw_id", "reading").agg(F.sum("bits").alias("bits"), at)
-    best = read.groupBy("raw_id").agg(F.min_by("at", F.struct(F.round("bits", 6), -F.size("at"), F.col("reading"))).alias("at"))
-    sure = candidates.filter("n_readings = 1").groupBy("raw_id").agg(at)
-    chosen = best.unionByName(sure).select("raw_id", F.col("at.item").alias("items"))
-    return distinct.join(chosen, "raw_id").drop("raw_id")
+    scored = scored.select("raw_id", "reading", (F.least(F.col("spelled"), known) + F.col("extra")).alias("bits"))
+    costs = scored.repartition(width(spark), "raw_id").groupBy("raw_id", "reading").agg(F.sum("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
+    best = costs.groupBy("raw_id").agg(F.min(F.struct(F.round("bits", 6), -F.col("n"), F.col("reading").alias("reading"))).alias("b")).select("raw_id", "b.reading")
+    kept = ["field_name", "raw", "n_rows", "items"]
+    chosen = several.select("raw_id", *kept).join(best, "raw_id").withColumn("items", F.element_at("items", F.col("reading") + 1)).select(*kept)
+    return chosen.unionByName(read.filter(F.size("items") == 1).withColumn("items", F.col("items")[0]).select(*kept))
+
+
+def _long(df: DataFrame, fields: list[str], *others: F.Column) -> DataFrame:
+    """One row for each packed field that is not null, in one scan."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(n).alias("raw")) for n in fields])).alias("f")
+    return df.select(*others, each).select(*[F.col(c) for c in df.select(*others).columns], "f.field_name", "f.raw").filter("raw IS NOT NULL")
+
+
+def packed_values(df: DataFrame, fields: list[str]) -> DataFrame:
+    """The values of the packed string columns ``fields`` without their rows: ``field_name, item``, each at least once."""
+    return choose_readings(_long(df, fields)).select("field_name", F.explode("items").alias("item"))
 
 
-def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def split_packed(df: DataFrame, key: str, fields: list[str], carry: list[str] | None = None) -> DataFrame:
     """One row per value of the packed string columns ``fields`` of ``df``.
 
-    Result: ``row_id`` (the value of ``key``), ``field_name``, ``pos`` (from 1), ``item``.
+    Result: ``row_id`` (the value of ``key``), the columns ``carry``, ``field_name``, ``pos`` (from 1), ``item``.
     """
-    long = None
-    for name in fields:
-        part = df.select(F.col(key).alias("row_id"), F.lit(name).alias("field_name"), F.col(name).alias("raw"))
-        long = part if long is None else long.unionByName(part)
-    long = long.filter(F.col("raw").isNotNull())
+    carry = carry or []
+    long = _long(df, fields, F.col(key).alias("row_id"), *[F.col(c) for c in carry])
     chosen = cut(choose_readings(long))
     n = chosen.agg(F.sum("n_rows")).first()[0] or 0
-    rows = _hot_join(long, chosen, ["field_name", "raw"], "n_rows", F.lit(float(n)), how="inner")
-    out = rows.select("row_id", "field_name", F.posexplode("items").alias("p", "item"))
-    return out.select("row_id", "field_name", (F.col("p") + 1).cast("int").alias("pos"), "item")
+    rows = _hot_join(long, chosen, ["field_name", "raw"], "n_rows", F.lit(float(n)), "row_id").filter("items IS NOT NULL")
+    out = rows.select("row_id", *carry, "field_name", F.posexplode("items").alias("p", "item"))
+    return out.select("row_id", *carry, "field_name", (F.col("p") + 1).cast("int").alias("pos"), "item")
