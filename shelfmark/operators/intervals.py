@@ -2,20 +2,22 @@
 
 Method: Spark's ``session_window`` with a row-specific duration merges the
 overlapping intervals of an entity natively (one unit of the bounds is one
-microsecond of the window's time line); periods that only touch are joined
-afterwards, and the gaps come from the next period's start.
+microsecond of the window's time line). Touching sessions are then read as one:
+a period starts where nothing before reaches, its end is what had been reached
+when the next one starts, and ``lead`` gives that next start, hence the gap.
 
 Skew: rows are first reduced to one row per (entity, start), so repeated rows
-cost nothing. An entity with many rows is cut into ranges of starts
-(``slice``), sized by its own row count, so that no task holds a whole hot
-entity: sessions are merged inside each slice, and the furthest end of all
-earlier slices, a table of one row per slice, is carried into the later ones.
+cost nothing. They are then cut into slices of about equally many rows by
+quantiles of (entity, start), so that neither a hot entity nor an outlying
+start fills a task. Sessions are merged inside each slice; what earlier slices
+of the entity reach, and what the first later slice with a start of a period
+begins with, are taken from a table of one row per slice and entity.
 
 Defined results: a row with a null entity, a null bound or an end not above
 its start counts for nothing; repeated, nested, touching and unordered rows
 give the same periods as any other cover of the same points; an empty table
 gives no rows. Bounds may be any long within ``±2**62``; columns besides the
-three named ones are neither read nor kept.
+named ones are neither read nor kept, so extra columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -23,18 +25,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.session import cut
+from shelfmark.session import cut, width
 
 #: Longest session that Spark's window is asked for: its seconds have 18 digits, six of them after the point.
 LONGEST = 10**17
-#: Distinct starts of one entity that one slice is meant to hold.
-SLICE_ROWS = 50_000
+#: Distinct starts that one slice is meant to hold at most.
+SLICE_ROWS = 200_000
 
 
 def _merge(df: DataFrame, keys: list[str]) -> DataFrame:
     """Overlapping rows of each key merged by session windows; ``s`` and ``e`` are the bounds.
 
-    What begins more than ``LONGEST`` units after the start of a longer row may come out beside it; ``periods`` joins it by the furthest end before.
+    What begins more than ``LONGEST`` units after the start of a longer row may come out beside it; the furthest end before it joins it.
     """
     at = df.select(*keys, "s", "e", F.timestamp_micros("s").alias("at"))
     gap = F.expr(f"make_interval(0, 0, 0, 0, 0, 0, CAST(least(CAST(e AS DECIMAL(20, 0)) - s, {LONGEST}) / 1000000 AS DECIMAL(18, 6)))")
@@ -42,40 +44,55 @@ def _merge(df: DataFrame, keys: list[str]) -> DataFrame:
     return merged.select(*keys, "s", "e")
 
 
-def periods(df: DataFrame, entity: str, start: str, end: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Longest stretches covered without break: ``entity, from_at, to_at`` (half-open)."""
-    valid = df.select(F.col(entity).alias("k"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
-    valid = valid.filter("k IS NOT NULL AND s IS NOT NULL AND e IS NOT NULL AND e > s")
-    rows = cut(valid.groupBy("k", "s").agg(F.max("e").alias("e")))
-    size = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"))
-    big = size.filter(F.col("n") > slice_rows).select(
-        "k", "lo", F.expr(f"CAST(ceil((CAST(hi AS DECIMAL(20,0)) - lo + 1) / ceil(n / {slice_rows}D)) AS LONG)").alias("step"))
-    # entities above slice_rows are at most rows / slice_rows; the small side stays far under one row per slice
-    sliced = rows.join(big, "k", "left").withColumn("slice", F.coalesce(F.expr("CAST(floor((s - lo) / step) AS LONG)"), F.lit(0).cast("long")))
-    local = cut(_merge(sliced.select("k", "slice", "s", "e"), ["k", "slice"]))
-    reach = local.groupBy("k", "slice").agg(F.max("e").alias("far"))
-    before = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = reach.select("k", "slice", F.max("far").over(before).alias("carried"))
-    # within a slice the sessions are disjoint and ordered; a period starts where nothing before reaches it
-    own = Window.partitionBy("k", "slice").orderBy("s")
+def _starts(rows: DataFrame, keys: list[str], slice_rows: int) -> DataFrame:
+    """Where periods start: ``keys, s, seen`` (what was reached before, null at the first) and the same of the next start, ``next_s, next_seen``.
+
+    After the last start ``next_s`` is null and ``next_seen`` the furthest end of the entity.
+    """
+    part = [*keys, "slice"]
+    distinct = cut(rows.groupBy(*keys, "s").agg(F.max("e").alias("e")))
+    n = max(width(rows.sparkSession), -(-distinct.count() // slice_rows))
+    sliced = cut(distinct.repartitionByRange(n, *keys, "s").withColumn("slice", F.spark_partition_id()))
+    local = cut(_merge(sliced, part))
+    # one row for each slice of an entity: what it reaches, what all slices before it reach
+    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    reach = local.groupBy(*part).agg(F.max("e").alias("far"))
+    reach = cut(reach.select(*part, F.max("far").over(before).alias("carried"), F.max("far").over(Window.partitionBy(*keys)).alias("end")))
+    own = Window.partitionBy(*part).orderBy("s")
     seen = F.greatest(F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("carried"))
-    marked = local.join(carried, ["k", "slice"], "left").withColumn("new", F.when(seen >= F.col("s"), 0).otherwise(1))
-    counts = marked.groupBy("k", "slice").agg(F.sum("new").alias("c"))
-    offset = counts.select("k", "slice", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("off"))
-    numbered = marked.join(offset, ["k", "slice"]).withColumn(
-        "g", F.col("off") + F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    out = numbered.groupBy("k", "g").agg(F.min("s").alias("from_at"), F.max("e").alias("to_at"))
-    return out.select(F.col("k").alias(entity), "g", "from_at", "to_at")
-
-
-def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Periods and the gaps between them: ``entity, found ('period' | 'gap'), from_at, to_at``."""
-    p = periods(df, entity, start, end, slice_rows)
-    # the next period of an entity has the next number: an equi-join on (entity, number), never one task per entity
-    nxt = p.select(entity, (F.col("g") - 1).alias("g"), F.col("from_at").alias("next_from"))
-    both = p.join(nxt, [entity, "g"], "left")
+    starts = local.join(reach, part).withColumn("seen", seen).filter("seen IS NULL OR seen < s")
+    starts = cut(starts.select(*part, "s", "seen", "end"))
+    after = Window.partitionBy(*keys).orderBy("slice").rowsBetween(1, 1)
+    first = starts.groupBy(*part).agg(F.min(F.struct("s", "seen")).alias("first"))
+    first = first.select(*part, F.first("first").over(after).alias("later"))
+    here = F.lead(F.struct("s", "seen")).over(own)
+    both = starts.join(first, part).withColumn("next", F.coalesce(here, F.col("later")))
+    return both.select(*keys, "s", "seen", F.col("next.s").alias("next_s"), F.coalesce("next.seen", "end").alias("next_seen"))
+
+
+def _valid(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    rows = df.select(*keys, F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
+    known = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    return rows.filter(f"{known} AND s IS NOT NULL AND e IS NOT NULL AND e > s")
+
+
+def periods(df: DataFrame, entity: str | list[str], start: str, end: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Longest stretches covered without break: the columns ``entity``, ``from_at, to_at`` (half-open)."""
+    keys = [entity] if isinstance(entity, str) else entity
+    own = [f"k{i}" for i in range(len(keys))]
+    named = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col(start).alias("s"), F.col(end).alias("e"))
+    got = _starts(_valid(named, own, "s", "e"), own, slice_rows)
+    return got.select(*[F.col(o).alias(k) for k, o in zip(keys, own)], F.col("s").alias("from_at"), F.col("next_seen").alias("to_at"))
+
+
+def periods_and_gaps(df: DataFrame, entity: str | list[str], start: str, end: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Periods and the gaps between them: the columns ``entity``, ``found ('period' | 'gap'), from_at, to_at``."""
+    keys = [entity] if isinstance(entity, str) else entity
+    own = [f"k{i}" for i in range(len(keys))]
+    named = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col(start).alias("s"), F.col(end).alias("e"))
+    got = _starts(_valid(named, own, "s", "e"), own, slice_rows)
     found = F.array(
-        F.struct(F.lit("period").alias("found"), F.col("from_at"), F.col("to_at")),
-        F.struct(F.lit("gap").alias("found"), F.col("to_at").alias("from_at"), F.col("next_from").alias("to_at")))
-    out = both.select(entity, F.explode(found).alias("x")).select(entity, "x.*")
+        F.struct(F.lit("period").alias("found"), F.col("s").alias("from_at"), F.col("next_seen").alias("to_at")),
+        F.struct(F.lit("gap").alias("found"), F.col("next_seen").alias("from_at"), F.col("next_s").alias("to_at")))
+    out = got.select(*[F.col(o).alias(k) for k, o in zip(keys, own)], F.explode(found).alias("x")).select(*keys, "x.*")
     return out.filter(F.col("to_at").isNotNull())

@@ -19,11 +19,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous periods of the chapters and the regions of each file, and the gaps between them."""
-    chapters = periods_and_gaps(table(spark, sf_dir, "audio_chapters"), "track_id", "start_ms", "end_ms")
-    regions = periods_and_gaps(table(spark, sf_dir, "audio_regions"), "track_id", "region_start", "region_end")
-    cols = ["span_of", "track_id", "found", "from_at", "to_at"]
-    return chapters.withColumn("span_of", F.lit("chapter")).select(cols).unionByName(
-        regions.withColumn("span_of", F.lit("region")).select(cols))
+    chapters = table(spark, sf_dir, "audio_chapters").select(F.lit("chapter").alias("span_of"), "track_id", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
+    regions = table(spark, sf_dir, "audio_regions").select(F.lit("region").alias("span_of"), "track_id", F.col("region_start").alias("s"), F.col("region_end").alias("e"))
+    return periods_and_gaps(chapters.unionByName(regions), ["span_of", "track_id"], "s", "e")
 
 
 _P4_PART = """

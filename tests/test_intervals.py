@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shelfmark.operators.intervals import periods_and_gaps
 
@@ -50,3 +51,15 @@ def test_bounds_up_to_two_to_the_62(spark, slice_rows):
     top = 2**62
     rows = [(1, -top, top), (1, 0, 5), (1, 10**18, 10**18 + 7), (2, -(10**18), 10**18), (2, 10**18, 3 * 10**18), (2, 3 * 10**18 + 4, top), (3, 0, 10**18 + 1), (3, 10**17 + 5, 10**17 + 6)]
     assert run(spark, rows, slice_rows) == brute(rows)
+
+
+def test_an_outlying_start_does_not_fill_a_slice(spark):
+    """Slices are quantiles of the rows, not equal ranges of starts."""
+    from shelfmark.operators.intervals import periods
+
+    rows = [(1, k * 10, k * 10 + 5) for k in range(1000)] + [(1, 10**15, 10**15 + 1)]
+    assert run(spark, rows, 100) == brute(rows)
+    df = spark.createDataFrame(rows, "k long, a long, b long").repartitionByRange(11, "k", "a")
+    assert max(df.groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 300
+    got = periods(spark.createDataFrame([(1, 1, 0, 9, "x"), (1, 2, 9, 12, "x"), (1, 1, 9, 12, "x")], "k int, s int, a int, e int, slice string"), ["k", "s"], "a", "e")
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 0, 12), (1, 2, 9, 12)]
