@@ -4,27 +4,37 @@ A case is a document that holds a stretch of at least ``MIN_WORDS``
 consecutive words of a passage in which at most one word in ``ERROR_EVERY`` is
 changed, added or missing; both ends of the stretch are words of the passage.
 
+Size of a shingle: an error destroys at most ``SHINGLE`` shingles, so of the
+``n - SHINGLE + 1`` shingles of n words at most ``SHINGLE * (n / ERROR_EVERY)``.
+With five words 10 of the 12 shingles of 16 words may be gone and nothing can be
+left out; with three words 6 of 14 may, so any 7 of the 14 are a necessary
+prefix. That is why shingles have three words here (the error rate is given).
+
 1. Texts become word sequences: case, punctuation, markup, escapes, line
    breaks and the form of characters are taken off. Words are numbered in the
    vocabulary of the passages (0: a word of none of them).
-2. Documents are probed once for the five-word shingles of the passages; the
-   hits keep the words around them, the rest of the document is dropped.
-3. Shingles are ordered by rarity: the number of documents that hold them,
-   counted over the whole corpus. A window of ``MIN_WORDS`` passage words has
-   12 shingles and its two allowed errors can destroy at most 10, so 2 are
-   left: the 11 rarest of a window are its necessary prefix, and a shingle in
-   the prefix of no window can only come with another one. Only prefix shingles
-   start candidates.
-4. Length and position bounds: a candidate needs two hits of one passage within
-   ``NEAR`` words whose offsets differ by no more than ``SHIFT``.
+2. The texts are read once. A document range is kept if it can hold a case by
+   length: at least ``LEAST`` places with a shingle of some passage within the
+   length of the shortest parts of a case. The number of documents that hold
+   each shingle is counted over the whole corpus in the same pass.
+3. Shingles are ordered by rarity, and the commonest are left out while every
+   window of a passage keeps its necessary prefix (``Passages.prefix``): about
+   half of all. Only these are joined with the documents.
+4. Length and position bounds: around a joined shingle, ``MIN_WORDS`` passage
+   words in a row must be there but for three, shifted by ``PART_ERRORS`` at most.
 5. Each candidate is verified by extending an exact run of words to both sides
    with 0, 1, 2, ... errors as far as they reach, over windows of the size of
    the item; the stretch found is exact, not estimated.
 
-The passages are a stated query set. Their shingle table goes to the executors
-by broadcast while it holds at most ``MAX_BROADCAST_SHINGLES`` shingles;
-larger sets are taken in blocks of that many, each a pass of its own over the
-documents, with the same result.
+Why parts of few errors do: a case of 42 words or more can be cut between two
+matched words into two parts of at least ``MIN_WORDS`` words, since its errors
+spoil fewer than all places to cut, and one of the two is a case by itself. So
+each case has a part that is a case, of at most 41 words and 5 errors.
+
+The passages are a stated query set. They are packed into blocks of at most
+``MAX_BROADCAST_SHINGLES`` shingles by the executors; the driver holds one block
+at a time, each block is a pass of its own over the documents, and the result
+is the same for any blocks.
 
 Defined results: null, empty and short texts and passages give no rows; items
 with the same passage leak together, each once for a document; repeated
@@ -33,7 +43,6 @@ documents are each reported. Columns besides the named ones are not read.
 
 from __future__ import annotations
 
-import bisect
 import html
 import re
 import unicodedata
@@ -43,23 +52,31 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from shelfmark.llm.tokens import balanced
 from shelfmark.llm.visual import mapping
 from shelfmark.session import cut
 
-SHINGLE, MIN_WORDS, ERROR_EVERY = 5, 16, 8
-MAX_BROADCAST_SHINGLES = 2_000_000
+SHINGLE, MIN_WORDS, ERROR_EVERY = 3, 16, 8
+MAX_BROADCAST_SHINGLES = 1_000_000
+#: Most words and errors of a part that every case has (see above).
+PART_WORDS, PART_ERRORS = 41, 5
+#: Windows of so many shingles must keep so many: a case of 16 words with 2 errors and one of 24 with 3 keep one then, and longer parts hold these windows.
+WINDOWS = [(n - SHINGLE + 1, SHINGLE * (n // ERROR_EVERY) + 1) for n in (MIN_WORDS, MIN_WORDS + ERROR_EVERY)]
+#: Shingles that the errors leave in every case.
+LEAST = min(n - SHINGLE + 1 - SHINGLE * (n // ERROR_EVERY) for n in range(MIN_WORDS, PART_WORDS + 1))
 
 #: Zeros between texts that stand in one array.
 _PAD = 64
+#: Bits of the first test of a shingle's code.
+_SIEVE = 22
 
 _ESCAPED = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|([nrtfb])|(.))")
 _PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2})+")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.*?-->", re.S)
+_TAG = re.compile(r"""</?[a-zA-Z](?:[^<>"']|"[^"<]*"|'[^'<]*')*+>|</?[a-zA-Z][^<>]*>""")
 _BROKEN = re.compile(r"[-\u2010\u2011\u00ad](?<=\w.)[ \t]*\r?\n\s*(?:[>|#*]+\s*)*(?=[^\W\d_])")
 _FOREIGN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -84,7 +101,7 @@ def _percent(m: re.Match) -> str:
 def _letters() -> dict[int, str]:
     """The look-alike mapping for single characters, accents and case taken off where they come composed."""
     out: dict[int, str] = {}
-    for k, v in mapping().items():
+    for k, v in ((k, v) for k, v in mapping().items() if len(k) == 1):
         out[ord(k)] = "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)).casefold()
     for n in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
         if n not in out:
@@ -109,6 +126,14 @@ def _plain(m: re.Match) -> str:
     return _plain_run(m[0])
 
 
+def _without_comments(text: str) -> str:
+    out, at = [], 0
+    while (a := text.find("<!--", at)) >= 0 and (b := text.find("-->", a + 4)) >= 0:
+        out += [text[at:a], " "]
+        at = b + 3
+    return "".join([*out, text[at:]])
+
+
 def words(text: str | None) -> list[str]:
     """The words of a text as a reader compares them."""
     if not text:
@@ -122,7 +147,7 @@ def words(text: str | None) -> list[str]:
     if "%" in text:
         text = _PERCENT.sub(_percent, text)
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = _TAG.sub(" ", _without_comments(text))
     if "\n" in text:
         text = _BROKEN.sub("", text)
     if not text.isascii():
@@ -148,21 +173,16 @@ def shingle_codes(ids: np.ndarray) -> np.ndarray:
 
 
 class Passages:
-    """Distinct passages as word numbers, and where each shingle stands in them."""
+    """Distinct passages as word numbers, the codes of their shingles and where each stands."""
 
     def __init__(self, texts: list[str]) -> None:
         self.vocabulary: dict[str, int] = {}
         number = self.vocabulary
         self.ids = [np.array([number.setdefault(w, len(number) + 1) for w in words(t)], np.int32) for t in texts]
-        codes = [shingle_codes(i) for i in self.ids]
+        codes = [shingle_codes(i) if len(i) >= MIN_WORDS else np.zeros(0, np.uint64) for i in self.ids]
         each = np.concatenate([*codes, np.zeros(0, np.uint64)])
-        self.codes, inverse = np.unique(each, return_inverse=True)
-        self.postings: list[list[tuple[int, int]]] = [[] for _ in self.codes]
-        at = 0
-        for p, c in enumerate(codes):
-            for j in range(len(c)):
-                self.postings[inverse[at + j]].append((p, j))
-            at += len(c)
+        self.codes, self.code_of = np.unique(each, return_inverse=True)
+        self.size = np.array([len(c) for c in codes], np.int64)
         # all passages in one array, with zeros around each, to gather windows from
         self.flat = np.zeros(sum(len(x) + 2 * _PAD for x in self.ids), np.int32)
         self.flat_at = np.zeros(len(self.ids), np.int64)
@@ -171,25 +191,49 @@ class Passages:
             self.flat_at[k] = at + _PAD
             self.flat[at + _PAD : at + _PAD + len(x)] = x
             at += len(x) + 2 * _PAD
-        self.posting_at = np.concatenate(([0], np.cumsum([len(x) for x in self.postings]))).astype(np.int64)
-        flat = [x for own in self.postings for x in own]
-        self.posting_q = np.array([q for q, _ in flat], np.int32)
-        self.posting_i = np.array([i for _, i in flat], np.int32)
-        self.of = np.split(inverse, np.cumsum([len(c) for c in codes])[:-1]) if codes else []
-
-    def prefix(self, count: np.ndarray) -> np.ndarray:
-        """Which shingles are among the necessary rarest of some window, given in how many documents each is."""
-        per = MIN_WORDS - SHINGLE + 1
-        keep_out = max(0, per - SHINGLE * (MIN_WORDS // ERROR_EVERY)) - 1  # so many of a window may be missing from the prefix
-        out = np.zeros(len(self.codes), bool)
-        rank = np.empty(len(self.codes), np.int64)
-        rank[np.lexsort((self.codes, count))] = np.arange(len(self.codes))
-        for own in self.of:
-            for a in range(0, len(own) - per + 1):
-                window = own[a : a + per]
-                order = np.argsort(rank[window], kind="stable")
-                out[window[order[: per - max(0, keep_out)]]] = True
-        return out
+        self.sieve = np.zeros(1 << _SIEVE, bool)
+        self.sieve[self.codes >> np.uint64(64 - _SIEVE)] = True
+
+    def lookup(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``codes`` are shingles of passages, and their numbers."""
+        at = np.flatnonzero(self.sieve[codes >> np.uint64(64 - _SIEVE)])
+        c = codes[at]
+        k = np.minimum(np.searchsorted(self.codes, c), len(self.codes) - 1)
+        hit = self.codes[k] == c
+        return at[hit], k[hit]
+
+    def prefix(self, count: np.ndarray) -> "Prefix":
+        """The necessary shingles of each passage, given in how many documents each shingle is: the commonest are left out first."""
+        kept = np.zeros(len(self.code_of), bool)
+        key = count[self.code_of]
+        start = 0
+        for m in self.size.tolist():
+            own = slice(start, start + m)
+            if m >= WINDOWS[0][0]:
+                stay = np.ones(m, bool)
+                room = [(w, np.full(m - w + 1, w - need)) for w, need in WINDOWS if m >= w]
+                for i in np.argsort(-key[own], kind="stable").tolist():
+                    spans = [free[max(0, i - w + 1) : i + 1] for w, free in room]
+                    if all(x.min() > 0 for x in spans):
+                        for x in spans:
+                            x -= 1
+                        stay[i] = False
+                kept[own] = stay
+            start += m
+        return Prefix(self, kept)
+
+
+class Prefix:
+    """The necessary shingles: for each shingle number, the passages and places where it is kept."""
+
+    def __init__(self, p: Passages, kept: np.ndarray) -> None:
+        q = np.repeat(np.arange(len(p.size)), p.size)
+        i = np.arange(len(p.code_of)) - np.repeat(np.cumsum(p.size) - p.size, p.size)
+        order = np.argsort(p.code_of, kind="stable")
+        order = order[kept[order]]
+        self.q, self.i = q[order].astype(np.int32), i[order].astype(np.int64)
+        self.at = np.searchsorted(p.code_of[order], np.arange(len(p.codes) + 1))
+        self.share = float(kept.mean()) if len(kept) else 0.0
 
 
 def _reach(a: list[int], b: list[int], errors: int) -> list[int]:
@@ -233,44 +277,12 @@ def stretch(passage: list[int], doc: list[int], i: int, j: int, most: int) -> in
     return best
 
 
-#: A stretch of twice MIN_WORDS or more has an allowed half, so every case has an allowed part of fewer words and at most
-#: this many errors. The two shared shingles nearest each other in such a part are no further apart than NEAR words and
-#: SHIFT in their offsets: an exact run of six words, or runs of five, four and five.
-PART_ERRORS, NEAR, SHIFT = 4, 12, 2
-HITS = "doc_key {kind}, held array<int>, q array<int>, i array<int>, j array<int>, code array<int>, ends array<int>, ids array<int>"
-_LISTS = ["held", "q", "i", "j", "code", "ends", "ids"]
-
-
-def _near(q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which hits have another one of their passage close by; every pair counts, however often a shingle stands in the passage."""
-    if not len(q):
-        return np.zeros(0, bool)
-    # diagonals (passage, j - i), with room for SHIFT between the passages, and the hits of each in the order of their place
-    off = j - i
-    off = off - off.min() + SHIFT
-    diagonal = q.astype(np.int64) * (off.max() + SHIFT + 1) + off
-    known, own = np.unique(diagonal, return_inverse=True)
-    width = j.max() + 2 * NEAR + 1
-    place = own * width + j + NEAR
-    ordered = np.sort(place)
-    beside = np.diff(ordered) <= NEAR
-    ok = np.concatenate(([False], beside)) | np.concatenate((beside, [False]))
-    ok = ok[np.searchsorted(ordered, place)]
-    for shift in range(-SHIFT, SHIFT + 1):
-        if shift:
-            at = np.minimum(np.searchsorted(known, diagonal + shift), len(known) - 1)
-            first = at * width + j  # the least place there within NEAR
-            nearest = ordered[np.minimum(np.searchsorted(ordered, first), len(ordered) - 1)]
-            ok |= (known[at] == diagonal + shift) & (nearest >= first) & (nearest <= first + 2 * NEAR)
-    return ok
-
-
 def _dense(p: Passages, ids: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which hits have MIN_WORDS passage words in a row near them of which all but three occur in the document, shifted by at most PART_ERRORS.
 
-    An allowed part of fewer than twice MIN_WORDS words has such a run of words around the hit.
+    A part of up to PART_WORDS words has such a run of words: of two runs beside each other one has at most half of its errors.
     """
-    reach = 2 * MIN_WORDS + 2
+    reach = PART_WORDS + 1
     out = np.zeros(len(q), bool)
     steps = np.arange(-reach, reach + SHINGLE)
     for at in range(0, len(q), 20_000):
@@ -292,21 +304,31 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(values.astype(np.int32)))
 
 
-def _probe(passages, kind: str, longest: int):
-    """Mapper: the passage shingles of each document, its candidate hits and the words around those."""
+NUMBERED = "doc_key {kind}, ends array<int>, ids array<int>, code array<int>, held array<int>"
+
+
+def _number(passages, kind: pa.DataType, longest: int):
+    """Mapper: the document ranges that may hold a case, as word numbers; and at its end in how many documents each shingle was."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Passages = passages.value
+        held = np.zeros(len(p.codes), np.int32)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                if (got := probe(batch.slice(at, 500), p, longest)) is not None:
+                if (got := number(batch.slice(at, 500), p, longest, held)) is not None:
                     yield got
+        code = np.flatnonzero(held)
+        for at in range(0, len(code), 100_000):
+            some, none = code[at : at + 100_000], pa.array([None], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None], kind), none, none, _lists(some, np.array([len(some)])), _lists(held[some], np.array([len(some)]))],
+                names=["doc_key", "ends", "ids", "code", "held"])
 
     return run
 
 
-def probe(batch: pa.RecordBatch, p: Passages, longest: int) -> pa.RecordBatch | None:
-    """The hits of one batch of documents, all held in one array."""
+def number(batch: pa.RecordBatch, p: Passages, longest: int, held: np.ndarray) -> pa.RecordBatch | None:
+    """The ranges of one batch of documents, all held in one array; ``held`` is counted up."""
     get, gap = p.vocabulary.get, [0] * _PAD
     numbers: list[int] = list(gap)
     first, last = [], []
@@ -316,88 +338,132 @@ def probe(batch: pa.RecordBatch, p: Passages, longest: int) -> pa.RecordBatch |
         last.append(len(numbers))
         numbers += gap
     ids, start, stop = np.array(numbers, np.int32), np.array(first), np.array(last)
-    full = np.flatnonzero(np.convolve(ids > 0, np.ones(SHINGLE, np.int8), "valid") == SHINGLE)
-    codes = shingle_codes(ids)[full]
-    k = np.searchsorted(p.codes, codes)
-    k[k == len(p.codes)] = 0
-    hit = p.codes[k] == codes
-    place, c = full[hit], k[hit]
+    full = np.flatnonzero((ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0)) if SHINGLE == 3 else np.flatnonzero(np.convolve(ids > 0, np.ones(SHINGLE, np.int8), "valid") == SHINGLE)
+    hit, c = p.lookup(shingle_codes(ids)[full])
+    place = full[hit]
     if not len(place):
         return None
     doc = np.searchsorted(start, place, "right") - 1
-    held = np.unique(doc * len(p.codes) + c)
-    n = p.posting_at[c + 1] - p.posting_at[c]
-    ends = np.cumsum(n)
-    where = np.repeat(p.posting_at[c] - (ends - n), n) + np.arange(ends[-1])
-    q, i, j, code = p.posting_q[where], p.posting_i[where].astype(np.int64), np.repeat(place, n), np.repeat(c, n)
-    order = np.lexsort((i, j, q))
-    q, i, j, code = q[order], i[order], j[order], code[order]
-    for test in (_near, lambda q, i, j: _dense(p, ids, q, i, j)):
-        ok = test(q, i, j)
-        q, i, j, code = q[ok], i[ok], j[ok], code[ok]
-    rows = batch.num_rows
-    doc = np.searchsorted(start, j, "right") - 1
-    order = np.lexsort((i, j, q, doc))
-    q, i, j, code, doc = q[order], i[order], j[order], code[order], doc[order]
-    # windows of the size of the item around the candidates, merged where they meet
-    places = np.unique(j)
-    of = np.searchsorted(start, places, "right") - 1
+    held += np.bincount(np.unique(doc * len(p.codes) + c) % len(p.codes), minlength=len(p.codes)).astype(np.int32)
+    # length bound: LEAST places within the document words of a part, its errors being added words at most
+    span = PART_WORDS + PART_ERRORS
+    enough = np.zeros(len(place), bool)
+    last_of = LEAST - 1
+    if len(place) > last_of:
+        close = np.flatnonzero(place[last_of:] - place[: len(place) - last_of] <= span)
+        mark = np.zeros(len(place) + 1, np.int32)
+        np.add.at(mark, close, 1)
+        np.add.at(mark, close + LEAST, -1)
+        enough = np.cumsum(mark)[:-1] > 0
+    places = place[enough]
+    if not len(places):
+        return None
+    # windows of the size of the item around them, merged where they meet
+    of = doc[enough]
     lo, hi = np.maximum(places - longest, start[of]), np.minimum(places + longest, stop[of])
-    if len(places):
-        new = np.concatenate(([True], (lo[1:] > hi[:-1]) | (of[1:] != of[:-1])))
-        a, b, of = lo[new], hi[np.concatenate((new[1:], [True]))], of[new]
-        kept = np.concatenate([ids[x:y] for x, y in zip(a, b)])
-        size = b - a
-        before = np.cumsum(size) - size
-        doc_first = np.searchsorted(of, np.arange(rows))  # first window of each document
-        doc_base = np.concatenate((before, [size.sum()]))[doc_first]
-        win = np.searchsorted(a, j, "right") - 1
-        j = j - a[win] + before[win] - doc_base[doc]
-        win_ends = before + size - doc_base[of]
-        kept_per = np.bincount(of, size, rows)
-    else:
-        of = kept = win_ends = np.zeros(0, np.int64)
-        kept_per = np.zeros(rows)
-    per = np.bincount(doc, minlength=rows)
-    out = pa.RecordBatch.from_arrays(
-        [batch.column(0), _lists(held % len(p.codes), np.bincount(held // len(p.codes), minlength=rows)), _lists(q, per), _lists(i, per),
-         _lists(j, per), _lists(code, per), _lists(win_ends, np.bincount(of, minlength=rows)), _lists(kept, kept_per)],
-        names=["doc_key", *_LISTS])
-    return out.filter(pc.greater(pc.list_value_length(out.column(1)), 0))
-
-
-def _verify(passages, prefix, kind: str):
-    """Mapper: the passages that each candidate document holds."""
+    new = np.concatenate(([True], (lo[1:] > hi[:-1]) | (of[1:] != of[:-1])))
+    a, b, of = lo[new], hi[np.concatenate((new[1:], [True]))], of[new]
+    size = b - a
+    docs, first_of = np.unique(of, return_index=True)
+    total = np.cumsum(size)
+    base = np.concatenate(([0], total))[first_of]
+    ends = total - np.repeat(base, np.diff(np.append(first_of, len(of))))
+    rows = pa.array(docs)
+    none = pa.nulls(len(docs), pa.list_(pa.int32()))
+    kept = np.concatenate([ids[x:y] for x, y in zip(a, b)])
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0).take(rows), _lists(ends, np.diff(np.append(first_of, len(of)))), _lists(kept, np.diff(np.append(base, total[-1]))), none, none],
+        names=["doc_key", "ends", "ids", "code", "held"])
+
+
+def _join(passages, prefix):
+    """Mapper: the passages that each document range holds, through its prefix shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p: Passages = passages.value
-        starts = prefix.value
+        p, index = passages.value, prefix.value
         texts = [x.tolist() for x in p.ids]
-        for batch in batches:
-            keys, found, lengths = [], [], []
-            for key, q, i, j, code, ends, ids in zip(batch.column(0), *(batch.column(n).to_pylist() for n in _LISTS[1:])):
-                bounds = [0, *ends]
-                done, own, last = -1, -1, {}
-                for a, x, y, c in zip(q, i, j, code):
-                    if a == done or not starts[c]:
-                        continue
-                    if a != own:
-                        own, last = a, {}
-                    run_on = last.get(y - x) == x - 1  # the same exact run as the hit before on its diagonal
-                    last[y - x] = x
-                    if run_on:
-                        continue
-                    k = bisect.bisect_right(bounds, y) - 1
-                    window = ids[bounds[k] : bounds[k + 1]]
-                    if stretch(texts[a], window, x, y - bounds[k], PART_ERRORS):
-                        done = a
-                        keys.append(key.as_py())
-                        found.append(a)
-                        lengths.append(stretch(texts[a], window, x, y - bounds[k], len(texts[a]) // ERROR_EVERY))
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, batch.column(0).type), pa.array(found, pa.int32()), pa.array(lengths, pa.int32())],
-                    names=["doc_key", "passage_no", "n_words"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                keys, found, lengths = [], [], []
+                for row, q, n in candidates(batch, p, index, texts):
+                    keys.append(row)
+                    found.append(q)
+                    lengths.append(n)
+                if keys:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(keys)), pa.array(found, pa.int32()), pa.array(lengths, pa.int32())],
+                        names=["doc_key", "passage_no", "n_words"])
+
+    return run
+
+
+def candidates(batch: pa.RecordBatch, p: Passages, index: Prefix, texts: list[list[int]]) -> Iterator[tuple[int, int, int]]:
+    """Row, passage and words of the stretch, for each passage that a document of ``batch`` holds."""
+    # the windows of all documents in one array, zeros between them
+    ends, ids = batch.column(1), batch.column(2)
+    flat, rows, starts, stops = [np.zeros(_PAD, np.int32)], [], [], []
+    at = _PAD
+    for row in range(batch.num_rows):
+        own, low = ids[row].values.to_numpy(zero_copy_only=False), 0
+        for high in ends[row].as_py():
+            flat += [own[low:high], np.zeros(_PAD, np.int32)]
+            rows.append(row)
+            starts.append(at)
+            stops.append(at + high - low)
+            at += high - low + _PAD
+            low = high
+    doc, row_of, start, stop = np.concatenate(flat), np.array(rows), np.array(starts), np.array(stops)
+    hit, c = p.lookup(shingle_codes(doc))
+    n = index.at[c + 1] - index.at[c]
+    hit, c, n = hit[n > 0], c[n > 0], n[n > 0]
+    if not len(hit):
+        return
+    to = np.cumsum(n)
+    where = np.repeat(index.at[c] - (to - n), n) + np.arange(to[-1])
+    q, i, j = index.q[where].astype(np.int64), index.i[where], np.repeat(hit, n)
+    # hits that overlap or touch on one diagonal are one exact run of words: its first stands for all
+    order = np.lexsort((i, j - i, q))
+    q, i, j = q[order], i[order], j[order]
+    run = np.concatenate(([True], (q[1:] != q[:-1]) | ((j - i)[1:] != (j - i)[:-1]) | (i[1:] - i[:-1] > SHINGLE)))
+    q, i, j = q[run], i[run], j[run]
+    ok = _dense(p, doc, q, i, j)
+    q, i, j = q[ok], i[ok], j[ok]
+    window = np.searchsorted(start, j, "right") - 1
+    row = row_of[window]
+    order = np.lexsort((i, j, q, row)) if len(q) else np.zeros(0, np.int64)
+    done, text_of, text = (-1, -1), -1, []
+    for r, a, x, y, w in zip(*(v[order].tolist() for v in (row, q, i, j, window))):
+        if (r, a) == done:
+            continue
+        if w != text_of:
+            text_of, text = w, doc[start[w] : stop[w]].tolist()
+        if stretch(texts[a], text, x, y - int(start[w]), PART_ERRORS):
+            done = (r, a)
+            yield r, a, stretch(texts[a], text, x, y - int(start[w]), len(texts[a]) // ERROR_EVERY)
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = [max(0, len(words(t)) - SHINGLE + 1) for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["passage", "n"])
+
+
+def _pack(most: int):
+    """Mapper: the passages of a part packed into blocks of at most ``most`` shingles, or one passage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, size, part = 0, 0, TaskContext.get().partitionId()
+        for b in batches:
+            numbers = []
+            for n in b.column(1).to_pylist():
+                if size and size + n > most:
+                    block, size = block + 1, 0
+                size += n
+                numbers.append((part << 32) + block)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(numbers, pa.int64())], names=["passage", "block"])
 
     return run
 
@@ -407,40 +473,32 @@ def leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key:
     """Documents that hold a passage: ``doc_key, item_key, n_words`` (words of the stretch found)."""
     spark = docs.sparkSession
     kind = docs.schema[doc_key].dataType.simpleString()
-    # the query set is read in order, block by block; only one block of passages is in the driver at a time
-    distinct = items.select(F.col(passage).alias("passage")).filter("passage IS NOT NULL").distinct().orderBy("passage")
-    blocks: list[list[str]] = [[]]
-    size = 0
-    for row in distinct.toLocalIterator():
-        n = max(0, len(row.passage.split()) - SHINGLE + 1)
-        if size + n > max_shingles and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(row.passage)
-        size += n
-    out = None
+    sized = items.select(F.col(passage).alias("passage")).filter("passage IS NOT NULL").distinct().mapInArrow(_sizes, "passage string, n long")
+    sized = cut(sized.filter(F.col("n") >= MIN_WORDS - SHINGLE + 1))
+    total = sized.agg(F.sum("n")).first()[0] or 0
+    packed = cut(sized.repartition(-(-total // max_shingles) or 1).mapInArrow(_pack(max_shingles), "passage string, block long"))
     rows = balanced(docs.select(F.col(doc_key).alias("doc_key"), F.col(text).alias("text")).filter(
         F.length("text") >= 2 * (MIN_WORDS - MIN_WORDS // ERROR_EVERY) - 1))  # so many words need so many characters
-    for block in blocks:
-        p = Passages(block)
-        if not len(p.codes):
-            continue
+    key_type = to_arrow_type(docs.schema[doc_key].dataType)
+    out = spark.createDataFrame([], f"doc_key {kind}, passage string, n_words int")
+    for (block,) in packed.select("block").distinct().orderBy("block").collect():  # one number for each block
+        names = packed.filter(F.col("block") == block).select("passage").orderBy("passage")
+        texts = [r.passage for r in names.collect()]  # one block, whose size is bounded
+        p = Passages(texts)
         shared = spark.sparkContext.broadcast(p)
         longest = max(map(len, p.ids)) * (ERROR_EVERY + 1) // ERROR_EVERY + 1
-        hits = cut(rows.mapInArrow(_probe(shared, kind, longest), HITS.format(kind=kind)))
-        # rarity over the whole corpus: a count for each shingle of the query set, no more
-        held = hits.select(F.explode("held").alias("code")).groupBy("code").count()
+        numbered = cut(rows.mapInArrow(_number(shared, key_type, longest), NUMBERED.format(kind=kind)))
+        # rarity over the whole corpus: a count for each shingle of the block
+        counted = numbered.filter("code IS NOT NULL").select(F.explode(F.arrays_zip("code", "held")).alias("x"))
+        counted = counted.groupBy("x.code").agg(F.sum("x.held").alias("n")).toArrow()
         count = np.zeros(len(p.codes), np.int64)
-        for r in held.toLocalIterator():
-            count[r["code"]] = r["count"]
+        count[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
         prefix = spark.sparkContext.broadcast(p.prefix(count))
-        found = balanced(hits.filter(F.size("q") > 0).select("doc_key", *_LISTS[1:])).mapInArrow(_verify(shared, prefix, kind), f"doc_key {kind}, passage_no int, n_words int")
-        names = spark.createDataFrame(list(enumerate(block)), "passage_no int, passage string")
-        part = found.join(F.broadcast(names), "passage_no").join(
-            items.select(F.col(item_key).alias("item_key"), F.col(passage).alias("passage")), "passage")
-        part = part.select(F.col("doc_key").alias(doc_key), F.col("item_key").alias(item_key), "n_words")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        item_kind = items.schema[item_key].dataType.simpleString()
-        return spark.createDataFrame([], f"{doc_key} {kind}, {item_key} {item_kind}, n_words int")
-    return out
+        found = balanced(numbered.filter("ids IS NOT NULL").select("doc_key", "ends", "ids")).mapInArrow(_join(shared, prefix), f"doc_key {kind}, passage_no int, n_words int")
+        numbers = spark.createDataFrame(list(enumerate(texts)), "passage_no int, passage string")
+        found = cut(found.join(F.broadcast(numbers), "passage_no").select("doc_key", "passage", "n_words"))
+        for b in (shared, prefix):
+            b.destroy()
+        out = out.unionByName(found)
+    by = items.select(F.col(item_key).alias("item_key"), F.col(passage).alias("passage"))
+    return out.join(by, "passage").select(F.col("doc_key").alias(doc_key), F.col("item_key").alias(item_key), "n_words")
