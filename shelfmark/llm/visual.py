@@ -1,17 +1,23 @@
 """Visually identical text with different characters, brought to one form.
 
 A mapping from stored character sequences to what a reader sees is computed
-once, from rules over the Unicode character database and two short lists of
-look-alike letters; it is checked for conflicts and compiled into a
-longest-match transducer (a trie over code points). The transducer runs over
-the grapheme clusters of a text in one pass and remembers the output of each
-cluster it has met.
+once, from rules over the Unicode character database and short lists of
+look-alike letters by script. Its keys have one character or several: every
+canonical decomposition (a letter and its accents, in any of their orders) is a
+key that gives the composed letter, as are letters struck through by a
+combining stroke and the two characters of a line end. The mapping is checked
+for conflicts (no output is mapped again; a long key gives what its parts give,
+so that overlapping keys agree; no two letters of a script become one) and
+compiled into a longest-match transducer (a trie over code points). The
+transducer runs over the grapheme clusters of a text in one pass and remembers
+the output of each cluster it has met.
 
 The form keeps what is seen: letters, case, accents, punctuation and wording.
 White space of any kind and length is one blank, none at the ends; what has no
 visible form is nothing; wide, narrow, ligature and numeral compatibility
-characters are their plain letters; accents are composed; Cyrillic and Greek
-letters that look like Latin ones are those; hyphens are one character.
+characters are their plain letters; accents are composed; letters of other
+scripts that look like Latin ones (lists below) are those; hyphens are one
+character.
 
 Defined results: a null text has the form null and is in no pair; an empty
 text, or one of nothing visible, has the form ''. Texts of any length are
@@ -24,6 +30,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import permutations
 
 import pyarrow as pa
 import regex
@@ -31,11 +38,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.packed import WHITE_SPACE
-from shelfmark.session import width
-
-#: Look-alike letters, from and to (fixed values).
-CYRILLIC = dict(zip("аеорсухіјѕԁԛԝһӏѵАВЕКМНОРСТУХІЈЅԚԜӀҺѴ", "aeopcyxijsdqwhlvABEKMHOPCTYXIJSQWIhV", strict=True))
-GREEK = dict(zip("οανρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oavpABEZHIKMNOPTYX", strict=True))
+from shelfmark.session import cut, width
+
+#: Letters by script and the Latin letters they look like (fixed values).
+SCRIPTS = {
+    "Cyrillic": ("аеорсухіјѕԁԛԝһӏѵАВЕКМНОРСТУХІЈЅԚԜӀҺѴ", "aeopcyxijsdqwhlvABEKMHOPCTYXIJSQWIhV"),
+    "Greek": ("οανρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oavpABEZHIKMNOPTYX"),
+    "Armenian": ("օսհոցզյՕՍՏԼ", "ouhngqjOUSL"),
+    "Coptic": ("ⲟⲣⲥⲀⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ", "opcABHIKMNOPCTYX"),
+    "Cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᎶᏃᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZVSLCPKB"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+}
+LETTERS = {c: to for there, here in SCRIPTS.values() for c, to in zip(there, here, strict=True)}
+#: Letters with a combining stroke, or with a dot put on, and the one letter they look like (fixed values).
+STRUCK = {
+    "o\u0338": "ø", "O\u0338": "Ø", "l\u0338": "ł", "L\u0338": "Ł", "d\u0335": "đ", "D\u0335": "Đ", "h\u0335": "ħ", "H\u0335": "Ħ", "t\u0335": "ŧ", "T\u0335": "Ŧ",
+    "b\u0335": "ƀ", "i\u0335": "ɨ", "I\u0335": "Ɨ", "z\u0335": "ƶ", "Z\u0335": "Ƶ", "g\u0335": "ǥ", "G\u0335": "Ǥ", "ı\u0307": "i", "ȷ\u0307": "j",
+}
 #: Marks that look alike (fixed values): hyphens, letter apostrophe, dots.
 MARKS = {"‐": "-", "‑": "-", "ʼ": "’", "․": ".", "ɡ": "g", "ɑ": "a"}
 #: Invisible characters outside the format category: joiners, fillers and variation selectors (fixed values).
@@ -52,7 +71,7 @@ def _seen_as(c: str) -> str | None:
         return " "
     if n in INVISIBLE or cat in ("Cc", "Cf") and n not in DRAWN:
         return ""
-    for table in (CYRILLIC, GREEK, MARKS):
+    for table in (LETTERS, MARKS):
         if c in table:
             return table[c]
     tag, _, parts = unicodedata.decomposition(c).partition(" ")
@@ -65,9 +84,14 @@ def _seen_as(c: str) -> str | None:
 def _conflicts(mapping: dict[str, str]) -> list[str]:
     """Why ``mapping`` can't be applied in one pass without changing what is seen."""
     against = [f"{k!r} gives {v!r}, which is mapped again" for k, v in mapping.items() if any(c in mapping and mapping[c] != c for c in v)]
-    for table in (CYRILLIC, GREEK):
+    for k, v in mapping.items():
+        if len(k) > 1 and k != "\r\n":
+            parts = "".join(mapping.get(c, c) for c in k)
+            if unicodedata.normalize("NFC", STRUCK.get(parts, parts)) != unicodedata.normalize("NFC", v):
+                against.append(f"{k!r} gives {v!r}, its characters give {parts!r}")
+    for there, here in SCRIPTS.values():
         seen: dict[str, str] = {}
-        for k, v in table.items():
+        for k, v in zip(there, here):
             if v in seen and seen[v].islower() == k.islower() and v.islower():
                 against.append(f"{seen[v]!r} and {k!r} of one script both give {v!r}")
             seen.setdefault(v, k)
@@ -88,13 +112,27 @@ def mapping() -> dict[str, str]:
         return s
 
     out = {k: closed(v) for k, v in first.items()}
-    # composed letters whose base letter looks like another
+    # composed letters whose base letter looks like another, and letters with their accents as several characters
     for n in range(0x110000):
         if not 0xD800 <= n < 0xE000 and not 0xAC00 <= n < 0xD7A4:
             c = chr(n)
             d = unicodedata.normalize("NFD", c)
             if d != c and c not in out and (s := closed(d)) != d:
                 out[c] = s
+            if len(d) > 1 and not any(first.get(x) == "" for x in d):
+                seen = unicodedata.normalize("NFC", closed(d))
+                for accents in permutations(d[1:]):  # at most four
+                    k = d[0] + "".join(accents)
+                    if unicodedata.normalize("NFD", k) == d:
+                        out[k] = seen
+                for part in range(2, len(d)):  # the first accents already composed
+                    if len(head := unicodedata.normalize("NFC", d[:part])) == 1:
+                        out[head + d[part:]] = seen
+    for k, v in STRUCK.items():
+        out[k] = v
+        for base in (c for c in (*LETTERS, *MARKS) if first.get(c) == k[0]):
+            out[base + k[1:]] = v
+    out["\r\n"] = " "
     against = _conflicts(out)
     if against:
         raise ValueError("conflicts in the look-alike mapping: " + "; ".join(against[:5]))
@@ -174,8 +212,9 @@ def look_alike_pairs(texts: DataFrame, group: str, column: str) -> DataFrame:
     spark = texts.sparkSession
     distinct = texts.select(group, F.col(column).alias("t")).filter("t IS NOT NULL").distinct().repartition(width(spark), group, "t")
     forms = visible_column(distinct, "t", "form")
-    # only forms with several texts go on; the pairs of a form are what is asked for
-    many = forms.groupBy(group, "form").agg(F.collect_list("t").alias("ts")).filter(F.size("ts") > 1)
-    a = many.select(group, "ts", F.explode("ts").alias("text_a"))
-    b = a.select(group, "text_a", F.explode("ts").alias("text_b"))
-    return b.filter("text_a < text_b")
+    forms = cut(forms.select(group, "t", "form"))
+    # only forms with several texts go on; the pairs of a form, which are what is asked for, come from a join of its texts with each other
+    several = forms.groupBy(group, "form").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    texts = cut(forms.join(several, [group, "form"]))
+    other = texts.withColumnRenamed("t", "text_b")
+    return texts.withColumnRenamed("t", "text_a").join(other, [group, "form"]).filter("text_a < text_b").select(group, "text_a", "text_b")
