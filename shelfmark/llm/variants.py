@@ -9,10 +9,17 @@ the rest of the collection shows which one other names have.
 
 Typing errors are found by a segment join: with at most ``K`` edits, one of
 ``K + 1`` segments of a string occurs unchanged in the other, shifted by at
-most ``K`` places. Keys are segments together with the part that must agree
-(the given name for surnames, the surname for given names), looked up in an
-inverted index and verified by a banded edit distance that counts a swap of
-neighbours, and a pair of letters read as one, as one error.
+most ``K`` places. Segments are looked up in an inverted index and verified by a
+banded edit distance. Whole names (surname and given name together) of one
+life, that is of the same years of birth and death, may differ in ``K`` letters.
+Without such evidence the parts of names are joined, each under the part that must agree (the given name for surnames, the surname
+for given names), and may differ in one error, where a swap of neighbours and a
+pair of letters read as one count as one.
+
+Whether a name is a body is read from connecting words, from the words of
+``BODY_WORDS`` and from words that the collection shows to be of bodies: those
+in at least ``BODY_SHARE`` of the names with a connecting word, beside
+``BODY_RESTS`` different other words or more, and in no name with years.
 
 Names without years, with initials or a pet name join the one person they fit;
 where they fit several people (namesakes with other years, relatives), they
@@ -68,7 +75,16 @@ rudy rudolf; sadie sarah; sally sarah; sam samuel samantha; sandy alexander; sue
 teddy edward theodore; tess theresa; theo theodore; tilda matilda; tillie matilda; tim timothy; toby tobias; tom thomas; tommy thomas; tony anthony anton;
 trudy gertrude; ursie ursula; vic victor victoria; viv vivian; wally walter; walt walter; will william; willie william; winnie winifred; wilma wilhelmina"""
 PETS = {x.split()[0]: x.split()[1:] for x in PET_NAMES.replace("\n", " ").split(";")}
-#: Words of bodies, their short forms, and words that say nothing about which body it is (fixed values).
+#: Share of the names with a connecting word that hold a word of bodies, and how many different rests these have; at most
+#: (words of a name) / BODY_SHARE words can reach the share, so they are few at any size.
+BODY_SHARE, BODY_RESTS = 0.005, 3
+#: Whole names of so many letters may differ in K letters.
+LONG_NAME = 12
+#: Names that no other name explains are compared as bags of so many words, in words of so many letters.
+BAG_WORDS, BAG_LETTERS = 3, 7
+
+#: Connecting words, words of bodies, their short forms, and words that say nothing about which body it is (fixed values).
+CONNECT = {"of", "for", "the", "and"}
 BODY_WORDS = {"press", "society", "institute", "university", "sons", "company", "brothers", "college", "academy", "association", "club", "museum", "library"}
 SHORT = {"univ": "university", "inst": "institute", "soc": "society", "co": "company", "bros": "brothers", "assoc": "association", "acad": "academy", "coll": "college", "mus": "museum", "lib": "library"}
 SILENT = {"the", "of", "for", "f", "and", "messrs", "firm", "ltd", "limited", "inc", "fuer", "in", "at"}
@@ -90,8 +106,16 @@ def plain(s: str) -> str:
     return re.sub(r"(?<=[^\W\d_])[105](?=[^\W\d_]|\b)|\b[105](?=[^\W\d_]{2})", lambda m: m[0].translate(_MISREAD), s)
 
 
-def parse(form: str) -> list[tuple]:
-    """Readings of a name: ``(kind, sur, g1, g2, birth, death)``; kinds are person, initial and body."""
+def name_words(form: str) -> list[str]:
+    """The words of a name without its years, short forms of bodies written out."""
+    s = plain(form).replace("&", " and ")
+    for p in (_YEARS, _BORN, _DIED):
+        s = p.sub(" ", s)
+    return [SHORT.get(w, w) for w in _LETTER_RUN.findall(_UP.sub(" university press ", s))]
+
+
+def parse(form: str, learned: frozenset = frozenset()) -> list[tuple]:
+    """Readings of a name: ``(kind, sur, g1, g2, birth, death)``; kinds are person, initial and body. ``learned`` are words of bodies."""
     s = plain(form)
     birth = death = 0
     if m := _YEARS.search(s):
@@ -103,8 +127,8 @@ def parse(form: str) -> list[tuple]:
     elif m := _DIED.search(s):
         death = int(m[1])
         s = s[: m.start()] + s[m.end() :]
-    words = [SHORT.get(w, w) for w in _LETTER_RUN.findall(_UP.sub(" university press ", s))]
-    if BODY_WORDS & set(words):
+    words = [SHORT.get(w, w) for w in _LETTER_RUN.findall(_UP.sub(" university press ", s.replace("&", " and ")))]
+    if not birth and not death and len(words) > 1 and (BODY_WORDS | CONNECT | learned) & set(words):
         bag = sorted(w for w in words if w not in SILENT)
         return [("body", bag[k], " ".join(bag[:k] + bag[k + 1 :]), "", 0, 0) for k in range(len(bag))]
     full = ""
@@ -135,26 +159,66 @@ def parse(form: str) -> list[tuple]:
     return out
 
 
-RECORD = "name string, form string, hyp int, n_hyp int, kind string, sur string, g1 string, g2 string, birth int, death int"
-
-
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each word of each name: the other words, whether a connecting word is among them, whether the name has years. A row without a word stands for a name with a connecting word."""
     visible = transducer()
-    types = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4, pa.int32(), pa.int32()]
-    names = [x.split()[0] for x in RECORD.split(", ")]
     for b in batches:
         rows = []
         for name in b.column(0).to_pylist():
             form = visible(name)
-            got = parse(form) or [("none", form, "", "", 0, 0)]
-            rows += [(name, form, k, len(got), *g) for k, g in enumerate(got)]
+            words = set(name_words(form))
+            if dated := bool(_YEARS.search(form) or _BORN.search(form) or _DIED.search(form)):
+                words = {w for w in words if len(w) > 1}
+            connected = bool(words & CONNECT) and not dated
+            if connected:
+                rows.append(("", "", True, False))
+            rows += [(w, " ".join(sorted(words - {w} - SILENT)) if connected else "", connected, dated) for w in words - SILENT]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.bool_(), pa.bool_()))], names=["word", "rest", "connected", "dated"])
+
+
+def body_words(names: DataFrame) -> frozenset:
+    """The words that the collection shows to be of bodies; few at any size (see ``BODY_SHARE``)."""
+    rows = names.mapInArrow(_word_rows, "word string, rest string, connected boolean, dated boolean")
+    each = rows.groupBy("word", "rest", "connected").agg(F.count(F.lit(1)).alias("n"), F.bool_or("dated").alias("dated"))
+    stats = cut(each.groupBy("word").agg(F.sum(F.when(F.col("connected"), F.col("n")).otherwise(0)).alias("n"), F.sum(F.col("connected").cast("int")).alias("rests"), F.bool_or("dated").alias("dated")))
+    total = stats.filter("word = ''").first()
+    if total is None:
+        return frozenset()
+    found = stats.filter((F.col("word") != "") & ~F.col("dated") & (F.col("rests") >= BODY_RESTS) & (F.col("n") >= BODY_SHARE * total["n"]))
+    return frozenset(r.word for r in found.select("word").collect())
+
+
+RECORD = "name string, form string, bag string, hyp int, n_hyp int, kind string, sur string, g1 string, g2 string, birth int, death int"
+
+
+def _records(learned: frozenset):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        visible = transducer()
+        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4, pa.int32(), pa.int32()]
+        names = [x.split()[0] for x in RECORD.split(", ")]
+        for b in batches:
+            rows = []
+            for name in b.column(0).to_pylist():
+                form = visible(name)
+                got = parse(form, learned) or [("none", form, "", "", 0, 0)]
+                bag = " ".join(sorted(name_words(form))) if len(got) > 1 and got[0][0] != "body" else ""
+                rows += [(name, form, bag, k, len(got), *g) for k, g in enumerate(got)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    return run
+
+
+def edits(length: int) -> int:
+    """With how many edits strings of a length are looked up: ``K``, but no segment is ever empty."""
+    return min(K, length - 1)
 
 
-def segments(s: str, k: int = K) -> list[tuple[int, int, str]]:
-    """The ``k + 1`` segments of a string: number, place, characters; the last ones take what is left over."""
+def segments(s: str) -> list[tuple[int, int, str]]:
+    """The segments of a string, one more than edits: number, place, characters; the last ones take what is left over."""
     n, out, at = len(s), [], 0
+    k = edits(n)
     for i in range(k + 1):
         size = n // (k + 1) + (i >= k + 1 - n % (k + 1))
         out.append((i, at, s[at : at + size]))
@@ -162,11 +226,13 @@ def segments(s: str, k: int = K) -> list[tuple[int, int, str]]:
     return out
 
 
-def lookups(s: str, k: int = K) -> set[tuple[int, int, str]]:
-    """Keys (length, segment number, characters) under which strings of at most the own length and ``k`` edits stand."""
+def lookups(s: str) -> set[tuple[int, int, str]]:
+    """Keys (length, segment number, characters) under which strings of at most the own length and their number of edits stand."""
     out = set()
-    for length in range(max(1, len(s) - k), len(s) + 1):
-        at = 0
+    for length in range(max(1, len(s) - K), len(s) + 1):
+        at, k = 0, edits(length)
+        if len(s) - length > k:
+            continue
         for i in range(k + 1):
             size = length // (k + 1) + (i >= k + 1 - length % (k + 1))
             for p in range(max(0, at - k), min(len(s) - size, at + k) + 1):
@@ -208,6 +274,7 @@ def _keys(of):
 def similar(rows: DataFrame) -> DataFrame:
     """Pairs ``x``, ``y`` of strings ``s`` with one error between them and the same ``o``, in both orders: the segment join.
 
+    Whole names, whose ``o`` begins with ``w|``, have ``K`` edits between them; those of one error come out as pairs of parts.
     ``rows`` has distinct ``s, o``; an index of segments is joined with shifted substrings of strings of the same or greater length.
     """
     shape = "s string, o string, seg string"
@@ -217,11 +284,12 @@ def similar(rows: DataFrame) -> DataFrame:
     pairs = probe.select(F.col("s").alias("x"), "o", "seg").join(index.select(F.col("s").alias("y"), "o", "seg"), ["o", "seg"])
     # strings of one length look each other up: one direction is enough
     once = (F.length("x") > F.length("y")) | (F.col("x") < F.col("y"))
-    near = pairs.filter(once & (F.levenshtein("x", "y", K) >= 0)).select("o", "x", "y").distinct()
+    far = F.levenshtein("x", "y", K)
+    near = pairs.filter(once & (far >= 0) & (~F.col("o").startswith("w|") | (F.length("y") >= LONG_NAME))).select("o", "x", "y").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array([one_error(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.bool_()))
+            b = b.filter(pa.array([one_error(x, y) != o.startswith("w|") for o, x, y in zip(*(c.to_pylist() for c in b.columns))], pa.bool_()))
             yield b
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1)], names=["o", "x", "y"])
 
@@ -233,25 +301,29 @@ def _corrections(nodes: DataFrame, births: DataFrame, near: DataFrame) -> DataFr
 
     ``nodes`` has ``sur, g1, n`` (spellings that surely read so; 0 for possible readings only), whether one is ``dated``,
     and how many partners the parts have, ``sur_real`` and ``g1_real``; ``births`` has the sure ``sur, g1, birth``;
-    ``near`` has the similar strings: surnames under ``s|`` and the given name, given names under ``g|`` and the surname.
+    ``near`` has the similar strings: surnames under ``s|`` and the given name, given names under ``g|`` and the surname,
+    whole names (with a comma) under ``w|`` and the years of life, which are evidence enough.
     """
     other = F.substring("o", 3, 1 << 30)
     a = near.filter("o LIKE 's|%'").select(F.col("x").alias("sur"), other.alias("g1"), F.col("y").alias("to_sur"), other.alias("to_g1"), F.lit("sur").alias("part"))
     b = near.filter("o LIKE 'g|%'").select(other.alias("sur"), F.col("x").alias("g1"), other.alias("to_sur"), F.col("y").alias("to_g1"), F.lit("g1").alias("part"))
     pets = nodes.sparkSession.createDataFrame([(p, f) for p, fs in PETS.items() for f in fs], "g1 string, to_g1 string")
     c = nodes.join(F.broadcast(pets), "g1").select("sur", "g1", F.col("sur").alias("to_sur"), "to_g1", F.lit("pet").alias("part"))
+    whole = near.filter("o LIKE 'w|%'").select(F.split("x", ",").alias("x"), F.split("y", ",").alias("y"))
+    w = whole.select(F.col("x")[0].alias("sur"), F.col("x")[1].alias("g1"), F.col("y")[0].alias("to_sur"), F.col("y")[1].alias("to_g1"), F.lit("whole").alias("part"))
     pair = ["sur", "g1", "to_sur", "to_g1"]
     to = nodes.filter("n > 0").select(*[F.col(x).alias(f"to_{x}") for x in nodes.columns])
-    links = cut(a.unionByName(b).unionByName(c).join(to, ["to_sur", "to_g1"]).join(nodes, ["sur", "g1"]))
+    links = cut(a.unionByName(b).unionByName(c).unionByName(w.distinct()).join(to, ["to_sur", "to_g1"]).join(nodes, ["sur", "g1"]))
     to_births = births.select(F.col("sur").alias("to_sur"), F.col("g1").alias("to_g1"), "birth")
     common = links.filter("dated AND to_dated").select(*pair).join(births, ["sur", "g1"]).join(to_births, ["to_sur", "to_g1", "birth"]).select(*pair).distinct()
-    links = links.join(common.withColumn("common", F.lit(True)), pair, "left").fillna(False, ["common"])
+    links = links.join(common.withColumn("common", F.lit(True)), pair, "left").fillna(False, ["common"]).withColumn("common", F.col("common") | (F.col("part") == "whole"))
     # both are real where both are well attested and neither is rare beside the other
     both = lambda a, b, ratio: (F.col(a) >= REAL) & (F.col(b) >= REAL) & (F.greatest(a, b) < ratio * F.least(a, b))
     real = F.when(F.col("part") == "sur", both("sur_real", "to_sur_real", SUR_RATIO)).when(F.col("part") == "g1", both("g1_real", "to_g1_real", GIVEN_RATIO)).otherwise(F.lit(False))
     # the target must be the better attested of the two: a real name before a slip, then years, then the number of spellings
-    rank = F.struct(F.when(F.col("part") == "sur", F.col("sur_real")).otherwise(F.col("g1_real")), F.col("dated"), F.col("n"), F.col("sur"), F.col("g1"))
-    to_rank = F.struct(F.when(F.col("part") == "sur", F.col("to_sur_real")).otherwise(F.col("to_g1_real")), F.col("to_dated"), F.col("to_n"), F.col("to_sur"), F.col("to_g1"))
+    by_sur = (F.col("part") == "sur") | ((F.col("part") == "whole") & (F.col("sur") != F.col("to_sur")))
+    rank = F.struct(F.when(by_sur, F.col("sur_real")).otherwise(F.col("g1_real")), F.col("dated"), F.col("n"), F.col("sur"), F.col("g1"))
+    to_rank = F.struct(F.when(by_sur, F.col("to_sur_real")).otherwise(F.col("to_g1_real")), F.col("to_dated"), F.col("to_n"), F.col("to_sur"), F.col("to_g1"))
     ok = F.when(F.col("part") == "pet", ~F.col("dated") | ~F.col("to_dated") | F.col("common")).otherwise(
         (to_rank > rank) & (F.col("common") | (~real & ~(F.col("dated") & F.col("to_dated")))))
     links = links.filter(ok)
@@ -284,7 +356,21 @@ def _second_names(chosen: DataFrame, givens: DataFrame) -> DataFrame:
     full = chosen.filter("kind = 'person' AND length(g2) > 1").groupBy(key.alias("o"), "g2").agg(
         F.count_distinct("form").alias("n"), F.bool_or(F.col("birth") > 0).alias("dated"), F.collect_set(F.when(F.col("birth") > 0, F.col("birth"))).alias("births"))
     full = cut(full)
-    near = similar(full.select(F.col("g2").alias("s"), "o")).select("o", F.col("x").alias("g2"), F.col("y").alias("to_g2"))
+    # names that nothing explains, as bags of words, go into the same segment join
+    loose = cut(chosen.filter(f"score = 0 AND bag != '' AND size(split(bag, ' ')) >= {BAG_WORDS}").groupBy("bag").agg(
+        F.count_distinct("form").alias("n"), F.min(F.struct("form", "sur", "g1", "g2")).alias("as")))
+    own = F.explode(F.split("bag", " ")).alias("s")
+    rest = F.array_join(F.array_remove(F.split("bag", " "), F.col("s")), " ")
+    bag_words = loose.select("bag", own).filter(F.length("s") >= BAG_LETTERS).withColumn("o", F.concat(F.lit("u|"), rest)).distinct()
+    near = cut(similar(full.select(F.col("g2").alias("s"), F.concat(F.lit("n|"), "o").alias("o")).unionByName(bag_words.select("s", "o")).distinct()))
+    bag_slips = near.filter("o LIKE 'u|%'").join(bag_words.withColumnRenamed("s", "x"), ["x", "o"]).join(bag_words.select(F.col("s").alias("y"), "o", F.col("bag").alias("to_bag")), ["y", "o"])
+    numbers = loose.select("bag", "n")
+    bag_slips = bag_slips.join(numbers, "bag").join(numbers.select(F.col("bag").alias("to_bag"), F.col("n").alias("to_n")), "to_bag")
+    bag_slips = bag_slips.filter(F.struct("to_n", "to_bag") > F.struct("n", "bag")).groupBy("bag").agg(F.max_by("to_bag", F.struct("to_n", "to_bag")).alias("to_bag"))
+    reading = loose.select(F.col("bag").alias("to_bag"), "as")
+    moved = cut(loose.select("bag").join(bag_slips, "bag", "left").withColumn("to_bag", F.coalesce("to_bag", "bag")).join(reading, "to_bag").select("bag", F.col("as.sur").alias("as_sur"), F.col("as.g1").alias("as_g1"), F.col("as.g2").alias("as_g2"), F.lit(0).alias("score")))
+    near = near.filter("o LIKE 'n|%'").withColumn("o", F.substring("o", 3, 1 << 30))
+    near = near.select("o", F.col("x").alias("g2"), F.col("y").alias("to_g2"))
     real = full.groupBy("g2").agg(F.count(F.lit(1)).alias("k")).join(givens.withColumnRenamed("g1", "g2"), "g2", "left").select("g2", (F.col("k") + F.coalesce("g1_real", F.lit(0))).alias("real"))
     nodes = full.join(real, "g2")
     links = near.join(nodes, ["o", "g2"]).join(nodes.select("o", *[F.col(x).alias(f"to_{x}") for x in nodes.columns if x != "o"]), ["o", "to_g2"])
@@ -298,7 +384,8 @@ def _second_names(chosen: DataFrame, givens: DataFrame) -> DataFrame:
     fix = fix.join(again, ["o", "to_g2"], "left").select("o", "g2", F.coalesce("g22", "to_g2").alias("to_g2"))
     # an initial and a person of one key have keys of their own: the first name of an initial is one letter
     out = chosen.withColumn("o", F.when(F.col("kind") == "person", key)).join(fix, ["o", "g2"], "left")
-    return out.withColumn("own_g2", F.col("g2")).withColumn("g2", F.coalesce("to_g2", "g2")).drop("o", "to_g2")
+    out = out.withColumn("own_g2", F.col("g2")).withColumn("g2", F.coalesce("to_g2", "g2")).drop("o", "to_g2").join(moved, ["bag", "score"], "left")
+    return out.withColumns({x: F.coalesce(f"as_{x}", x) for x in ("sur", "g1", "g2")}).drop("bag", "score", "as_sur", "as_g1", "as_g2")
 
 
 def _shown(df: DataFrame, on: list[str]) -> DataFrame:
@@ -310,8 +397,8 @@ def _shown(df: DataFrame, on: list[str]) -> DataFrame:
 def entities(names: DataFrame, column: str) -> DataFrame:
     """``name, entity`` of the distinct names."""
     spark = names.sparkSession
-    distinct = names.select(F.col(column).alias("name")).filter(F.col("name").isNotNull()).distinct().repartition(width(spark))
-    recs = cut(distinct.mapInArrow(_records, RECORD))
+    distinct = cut(names.select(F.col(column).alias("name")).filter(F.col("name").isNotNull()).distinct().repartition(width(spark)))
+    recs = cut(distinct.mapInArrow(_records(body_words(distinct)), RECORD))
 
     # people: which readings are sure, and what they show
     people = recs.filter("kind IN ('person', 'initial')")
@@ -328,7 +415,8 @@ def entities(names: DataFrame, column: str) -> DataFrame:
     words = cut(bodies.filter(F.length("sur") >= 2).select("sur", "g1", "bag").distinct())
     tag = lambda t, c: F.concat(F.lit(t), c).alias("o")
     rows = nodes.select(F.col("sur").alias("s"), tag("s|", F.col("g1"))).unionByName(nodes.filter("g1 != ''").select(F.col("g1").alias("s"), tag("g|", F.col("sur"))))
-    near = cut(similar(rows.unionByName(words.select(F.col("sur").alias("s"), tag("b|", F.col("g1"))))))
+    lives = sure.filter("birth > 0 AND death > 0 AND g1 != ''").select(F.concat_ws(",", "sur", "g1").alias("s"), F.concat_ws("|", F.lit("w"), "birth", "death").alias("o")).distinct()
+    near = cut(similar(rows.unionByName(lives).unionByName(words.select(F.col("sur").alias("s"), tag("b|", F.col("g1"))))))
     fix = cut(_corrections(nodes, births, near))
     again = fix.select(F.col("sur").alias("to_sur"), F.col("g1").alias("to_g1"), F.col("to_sur").alias("sur2"), F.col("to_g1").alias("g12"))
     fix = fix.join(again, ["to_sur", "to_g1"], "left").select("sur", "g1", F.coalesce("sur2", "to_sur").alias("to_sur"), F.coalesce("g12", "to_g1").alias("to_g1"))
@@ -338,7 +426,7 @@ def entities(names: DataFrame, column: str) -> DataFrame:
     order = Window.partitionBy("name").orderBy(score.desc(), "hyp")
     chosen = read.withColumn("r", F.row_number().over(order)).filter("r = 1").select(
         "name", "form", "kind", F.coalesce("to_sur", "sur").alias("sur"), F.coalesce("to_g1", "g1").alias("g1"), "g2", "birth",
-        F.col("sur").alias("own_sur"), F.substring("g1", 1, 1).alias("own_i"))
+        F.col("sur").alias("own_sur"), F.substring("g1", 1, 1).alias("own_i"), "bag", score.alias("score"))
     chosen = cut(_second_names(cut(chosen), givens))
 
     key = ["sur", "g1"]
@@ -383,6 +471,9 @@ def entities(names: DataFrame, column: str) -> DataFrame:
 
 def variant_pairs(names: DataFrame, column: str) -> DataFrame:
     """Pairs of different names of one person or body: ``name_a, name_b``."""
-    many = cut(entities(names, column)).groupBy("entity").agg(F.collect_set("name").alias("names")).filter(F.size("names") > 1)
-    a = many.select("names", F.explode("names").alias("name_a"))
-    return a.select("name_a", F.explode("names").alias("name_b")).filter("name_a < name_b")
+    found = cut(entities(names, column))
+    several = found.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    members = cut(found.join(several, "entity"))
+    # the pairs of an entity, which are what is asked for, come from a join of its names with each other
+    pairs = members.withColumnRenamed("name", "name_a").join(members.withColumnRenamed("name", "name_b"), "entity")
+    return pairs.filter("name_a < name_b").select("name_a", "name_b")

@@ -1,6 +1,6 @@
 import random
 
-from shelfmark.llm.variants import lookups, one_error, parse, segments, variant_pairs
+from shelfmark.llm.variants import body_words, edits, lookups, one_error, parse, segments, variant_pairs
 
 
 def test_parse():
@@ -25,6 +25,8 @@ def test_segment_join_finds_every_pair_within_two_edits():
         if not b:
             continue
         long_, short = (a, b) if len(a) >= len(b) else (b, a)
+        if edits(len(short)) < 2:  # strings of one or two letters have no two edits
+            continue
         assert lookups(long_) & {(len(short), i, s) for i, _, s in segments(short)}
     for a, b, want in [("charles", "csarles", True), ("james", "jmaes", True), ("laurence", "laurnce", True), ("hinval", "hmval", True), ("ab", "ba", True), ("abc", "cba", False), ("anna", "anton", False)]:
         assert one_error(a, b) is want and one_error(b, a) is want
@@ -59,3 +61,27 @@ def test_slips_in_second_names_and_short_body_words(spark):
     rows = [(n,) for g in groups for n in g]
     got = {(r.name_a, r.name_b) for r in variant_pairs(spark.createDataFrame(rows, "name string"), "name").collect()}
     assert got == {(a, b) for g in groups for a in g for b in g if a < b}
+
+
+def test_two_errors_bodies_without_listed_words_and_unexplained_names(spark):
+    groups = [
+        ["Religious Tract Committee", "Religious Tract Comittee"], ["Ministry of Tidal Affairs", "Tidal Affairs, Ministry of"],
+        ["Hakofeho, Henry, 1793-1854", "Hakafehu, Henry, 1793-1854"], ["Hakofeho, Julia, 1800-1850", "Hakafeho, Jalia, 1800-1850"],
+        ["Hakofeho, Henry, 1791-1850"], ["Hakofehi, Henry, 1701-1750"],
+    ]
+    rows = [(n,) for g in groups for n in g]
+    got = {(r.name_a, r.name_b) for r in variant_pairs(spark.createDataFrame(rows, "name string"), "name").collect()}
+    assert got == {tuple(sorted((a, b))) for g in groups for a in g for b in g if a < b}
+
+
+def test_words_of_bodies_are_learned_from_the_collection(spark):
+    names = [f"{x} Observatory of {y}" for x in ("Royal", "New", "Old") for y in ("Vinfin", "Tulpul", "Darkap")] + ["Hakofeho, Henry, 1793-1854", "Royal, Henry, 1800-1850"]
+    learned = body_words(spark.createDataFrame([(n,) for n in names], "name string"))
+    assert "observatory" in learned and not learned & {"henry", "hakofeho", "royal", "of"}
+    assert {r[0] for r in parse("Valpul Observatory")} == {"person"} and {r[0] for r in parse("Valpul Observatory", learned)} == {"body"}
+    assert body_words(spark.createDataFrame([("Henry",)], "name string")) == frozenset()
+
+
+def test_no_segment_is_empty():
+    for n in range(1, 30):
+        assert all(s for _, _, s in segments("x" * n))
