@@ -13,13 +13,13 @@ from shelfmark.llm.pieces import split_texts
 from shelfmark.llm.tokens import encode
 from shelfmark.llm.variants import variant_pairs
 from shelfmark.llm.visual import look_alike_pairs
-from shelfmark.operators.packed import fold_column, split_packed
+from shelfmark.operators.packed import fold_column, packed_values, split_packed
 from shelfmark.session import table
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of people and bodies: items of ``authors`` without a role in square brackets, and folded elements of the resources' authors."""
-    items = split_packed(table(spark, sf_dir, "gutenberg_catalog"), "row_id", ["authors"])
+    items = packed_values(table(spark, sf_dir, "gutenberg_catalog"), ["authors"])
     a = items.select(F.regexp_replace("item", r"\s*\[[^\[\]]*\]$", "").alias("name"))
     b = table(spark, sf_dir, "discovery_validation").select(F.explode("authors").alias("name")).select(fold_column("name").alias("name"))
     return a.unionByName(b).filter("name IS NOT NULL AND name != ''")
@@ -33,9 +33,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every subject, bookshelf and language tag with its occurrences, its texts and its mark."""
     catalog = table(spark, sf_dir, "gutenberg_catalog")
-    items = split_packed(catalog, "row_id", ["subjects", "bookshelves"])
-    keys = catalog.select("row_id", F.col("text_num").alias("record"))
-    terms = items.join(keys, "row_id").select("field_name", F.col("item").alias("term"), "record")
+    items = split_packed(catalog, "row_id", ["subjects", "bookshelves"], carry=["text_num"])
+    terms = items.select("field_name", F.col("item").alias("term"), F.col("text_num").alias("record"))
     tags = catalog.select(
         F.lit("languages").alias("field_name"), F.explode(F.split("languages", r"[;,|；，/\t\n]")).alias("term"), F.col("text_num").alias("record"))
     tags = tags.withColumn("term", fold_column("term")).filter("term != ''")
