@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 from shelfmark.operators.packed import fold_column
 
 #: Language codes of two letters with their three-letter and retired forms (fixed values of ISO 639).
-LANGUAGES = """en eng; fr fra fre; de deu ger; es spa; it ita; pt por; nl nld dut; da dan; sv swe; no nor; nb nob; nn nno; fi fin; is isl ice;
-ru rus; pl pol; cs ces cze; sk slk slo; hu hun; ro ron rum; el ell gre; la lat; he heb iw; yi yid ji; ar ara; fa fas per; tr tur; ja jpn; zh zho chi;
-ko kor; cy cym wel; ga gle; gd gla; br bre; oc oci; ca cat; gl glg; eu eus baq; eo epo; id ind in; hi hin; sa san; uk ukr; bg bul; sr srp; hr hrv; sl slv"""
+LANGUAGES = """aa aar; ab abk; ae ave; af afr; ak aka; am amh; an arg; ar ara; as asm; av ava; ay aym; az aze; ba bak; be bel; bg bul; bi bis; bm bam; bn ben;
+bo bod tib; br bre; bs bos; ca cat; ce che; ch cha; co cos; cr cre; cs ces cze; cu chu; cv chv; cy cym wel; da dan; de deu ger; dv div; dz dzo; ee ewe; el ell gre;
+en eng; eo epo; es spa; et est; eu eus baq; fa fas per; ff ful; fi fin; fj fij; fo fao; fr fra fre; fy fry; ga gle; gd gla; gl glg; gn grn; gu guj; gv glv; ha hau;
+he heb iw; hi hin; ho hmo; hr hrv; ht hat; hu hun; hy hye arm; hz her; ia ina; id ind in; ie ile; ig ibo; ii iii; ik ipk; io ido; is isl ice; it ita; iu iku; ja jpn;
+jv jav jw; ka kat geo; kg kon; ki kik; kj kua; kk kaz; kl kal; km khm; kn kan; ko kor; kr kau; ks kas; ku kur; kv kom; kw cor; ky kir; la lat; lb ltz; lg lug; li lim;
+ln lin; lo lao; lt lit; lu lub; lv lav; mg mlg; mh mah; mi mri mao; mk mkd mac; ml mal; mn mon; mr mar; ms msa may; mt mlt; my mya bur; na nau; nb nob; nd nde; ne nep;
+ng ndo; nl nld dut; nn nno; no nor; nr nbl; nv nav; ny nya; oc oci; oj oji; om orm; or ori; os oss; pa pan; pi pli; pl pol; ps pus; pt por; qu que; rm roh; rn run;
+ro ron rum mo mol; ru rus; rw kin; sa san; sc srd; sd snd; se sme; sg sag; si sin; sk slk slo; sl slv; sm smo; sn sna; so som; sq sqi alb; sr srp; ss ssw; st sot; su sun;
+sv swe; sw swa; ta tam; te tel; tg tgk; th tha; ti tir; tk tuk; tl tgl; tn tsn; to ton; tr tur; ts tso; tt tat; tw twi; ty tah; ug uig; uk ukr; ur urd; uz uzb; ve ven;
+vi vie; vo vol; wa wln; wo wol; xh xho; yi yid ji; yo yor; za zha; zh zho chi; zu zul"""
 #: Extension kinds of files (fixed values).
 KINDS = {
     "ebook_candidate": ("epub",), "pdf_candidate": ("pdf",), "audio_candidate": ("mp3", "m4b", "m4a", "flac", "ogg"),
@@ -28,7 +35,7 @@ GRAMMARS = {
     "oapen": r"^oapen:20\.500\.12657/([0-9]{1,10})$", "openalex": r"^W[1-9][0-9]{0,11}$",
     "openlibrary_edition": r"^OL[1-9][0-9]*M$", "librivox": r"^librivox:[1-9][0-9]{0,7}$", "doi": r"^10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]{1,300}$",
     "uuid": r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "version": r"^[0-9]+\.[0-9]+\.[0-9]+(?:-[a-z0-9.]+)?$",
-    "resource": r"^[a-z0-9][a-z0-9._-]{0,100}$",
+    "resource": r"^[a-z0-9][a-z0-9._-]{0,100}$", "archive": r"^archive:[A-Za-z0-9][A-Za-z0-9_.-]{0,99}$",
 }
 
 
@@ -121,12 +128,19 @@ def open_library_key(c: Column | str) -> Column:
 
 
 def arxiv_parts(c: Column | str) -> Column:
-    """Paper and version (0: none stated) of an arXiv id of the new or the old scheme, or null."""
-    x = F.regexp_replace(col(c), "^arxiv:", "")
-    paper = F.regexp_extract(x, r"^([0-9]{4}\.[0-9]{4,5}|[a-z]+(?:-[a-z]+)*/[0-9]{7})(?:v[1-9][0-9]{0,3})?$", 1)
-    month = F.when(paper.contains("/"), F.regexp_extract(paper, r"/[0-9]{2}([0-9]{2})", 1)).otherwise(F.substring(paper, 3, 2)).try_cast("int")
-    version = F.coalesce(F.regexp_extract(x, r"v([1-9][0-9]{0,3})$", 1).try_cast("int"), F.lit(0))
-    return F.when((paper != "") & month.between(1, 12), F.struct(paper.alias("paper"), version.alias("version")))
+    """Paper and version (0: none stated) of ``arxiv:ID`` or ``arxiv:IDvN``, or null.
+
+    New ids count from 0704, with four digits to 1412 and five from 1501; old ones run from 9108 to 0703.
+    """
+    body = r"([0-9]{4}\.[0-9]{4,5}|[a-z]+(?:-[a-z]+)*/[0-9]{7})"
+    whole = rf"^arxiv:{body}(?:v([1-9][0-9]{{0,3}}))?$"
+    paper, old = F.regexp_extract(col(c), whole, 1), F.regexp_extract(col(c), whole, 1).contains("/")
+    yymm = F.when(old, F.regexp_extract(paper, r"/([0-9]{4})", 1)).otherwise(F.substring(paper, 1, 4)).try_cast("int")
+    month = (yymm % 100).between(1, 12)
+    new_ok = ~old & (yymm >= 704) & ((yymm < 1501) == (F.length(paper) == 9))
+    old_ok = old & (yymm.between(9108, 9912) | yymm.between(1, 703))
+    version = F.coalesce(F.regexp_extract(col(c), whole, 2).try_cast("int"), F.lit(0))
+    return F.when((F.octet_length(col(c)) <= 70) & (paper != "") & month & (new_ok | old_ok), F.struct(paper.alias("paper"), version.alias("version")))
 
 
 def pdf_name(paper: Column | str, version: Column | str) -> Column:
@@ -221,18 +235,36 @@ def syncsafe(c: Column | str) -> Column:
     return sum((F.shiftright(x, 8 * k).bitwiseAND(127) * F.lit(1 << (7 * k)) for k in range(4)), F.lit(0))
 
 
+#: Marks after which a reader pauses, and marks that may close after them (fixed values).
+SENTENCE_ENDS, CLAUSE_ENDS, CLOSING = ".!?…。！？", ",;:，、；：", "\"')]}’”»」』）"
+#: Words a minute within which words are shown (fixed values).
+LEAST_RATE, MOST_RATE = 100, 1000
+
+
+def _set(marks: str) -> str:
+    return "[" + "".join("\\" + m if m in "]\\^-[" else m for m in marks) + "]"
+
+
 def pause_class(word: Column | str) -> Column:
-    """sentence, clause or none, by the last mark of a word after closing quotes."""
-    bare = F.regexp_replace(col(word), "[\"'”’»)\\]]+$", "")
-    return F.when(bare.rlike("[.!?…。！？]$"), "sentence").when(bare.rlike("[,;:—、，；：]$"), "clause").otherwise("none")
+    """sentence, clause or none, by the last mark of a word after closing quotes and brackets."""
+    bare = F.regexp_replace(col(word), _set(CLOSING) + "+$", "")
+    return F.when(bare.rlike(_set(SENTENCE_ENDS) + "$"), "sentence").when(bare.rlike(_set(CLAUSE_ENDS) + "$"), "clause").otherwise("none")
+
 
+def dwell_ms(word: Column | str, rate: int, kind: Column | str | None = None, pause: Column | str | None = None) -> Column:
+    """Time in ms (three places) an item is shown at ``rate`` words a minute, held within the rates allowed.
 
-def dwell_ms(word: Column | str, rate: int) -> Column:
-    """Time a word is shown at ``rate`` words a minute: longer for long words and at pauses."""
-    base = F.lit(60000.0 / rate)
+    Words of more than eight characters take 1.3 times as long, a clause end 1.5, a sentence end 2, a paragraph end
+    2.5 times; a break takes no time, a gap or heading three words' time and at least 750 ms. ``kind`` is word
+    (default), break, gap or heading; ``pause`` is worked out from the word unless given.
+    """
+    base = 60000.0 / min(max(rate, LEAST_RATE), MOST_RATE)
+    at = pause_class(word) if pause is None else col(pause)
     long_ = F.when(F.length(col(word)) > 8, 1.3).otherwise(1.0)
-    pause = pause_class(word)
-    return F.round(base * long_ * F.when(pause == "sentence", 2.2).when(pause == "clause", 1.5).otherwise(1.0), 3)
+    of_word = F.lit(base) * long_ * F.when(at == "clause", 1.5).when(at == "sentence", 2.0).when(at == "paragraph", 2.5).otherwise(1.0)
+    if kind is None:
+        return F.round(of_word, 3)
+    return F.round(F.when(col(kind) == "break", 0.0).when(col(kind).isin("gap", "heading"), F.lit(max(3 * base, 750.0))).otherwise(of_word), 3)
 
 
 def one_line(c: Column | str, limit: int) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import col, detected_format
+from shelfmark.session import cut
 
 #: Review reasons that another look can settle (fixed values).
 RESCANNABLE = ("scanner_unavailable", "scanner_failed", "scan_incomplete")
@@ -69,18 +72,34 @@ def purge_plan(held_files: DataFrame, holdings: DataFrame, entry: str, digest: s
     return j.groupBy(entry).agg(F.count(F.lit(1)).alias("files"), F.bool_and(F.coalesce("ok", F.lit(False))).alias("purge"))
 
 
-def plan_digest(plan: DataFrame, *order: str) -> Column:
-    """Digest column of a plan's rows, to be aggregated by ``digest_of``; rows are hashed where they lie."""
-    return F.sha2(F.to_json(F.struct(*sorted(plan.columns))), 256)
+#: Digests that one task sorts and hashes, on average at most.
+DIGESTS_A_BUCKET = 2_048
 
 
-def digest_of(plan: DataFrame) -> str:
-    """One digest of a whole plan, whatever the order of its rows; repeated rows count each time."""
-    h = plan.select(F.conv(F.substring(plan_digest(plan), 1, 14), 16, 10).cast("decimal(38,0)").alias("a"), F.conv(F.substring(plan_digest(plan), 15, 14), 16, 10).cast("decimal(38,0)").alias("b"))
-    r = h.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    import hashlib
+def plan_digest(plan: DataFrame) -> Column:
+    """SHA-256 of each row of a plan as JSON with sorted keys, nulls written out; rows are hashed where they lie."""
+    return F.sha2(F.to_json(F.struct(*sorted(plan.columns)), {"ignoreNullFields": "false"}), 256)
 
-    return hashlib.sha256(f"{r['n']}/{r['a'] or 0}/{r['b'] or 0}".encode()).hexdigest()
+
+def digest_of(plan: DataFrame) -> str:
+    """SHA-256 of a whole plan, whatever the order of its rows; a row that stands n times is named once with n.
+
+    The sorted digests of the rows are hashed in buckets by their first digits, then the buckets' digests in order; how many
+    digits depends on the number of different rows alone. No task gets all of them.
+    """
+    rows = cut(plan.select(plan_digest(plan).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n")))
+    digits, left = 0, rows.count()
+    while left > DIGESTS_A_BUCKET:
+        digits, left = digits + 1, left // 16
+    level = rows.select("d", F.concat("d", F.lit(" "), F.col("n").cast("string")).alias("line"))
+    while True:
+        lines = F.concat_ws("\n", F.array_sort(F.collect_list("line")))
+        level = level.groupBy(F.substring("d", 1, digits).alias("d")).agg(F.sha2(lines, 256).alias("h"))
+        if digits == 0:
+            found = level.first()
+            return found["h"] if found else hashlib.sha256(b"").hexdigest()
+        level = level.select("d", F.concat("d", F.lit(" "), "h").alias("line"))
+        digits = max(0, digits - 2)
 
 
 def apply_events(log: DataFrame, planned: DataFrame, expected: str) -> DataFrame:

@@ -24,6 +24,35 @@ def mark_fold(df: DataFrame, key: str, line: str, event: str, save: str, note: s
     return live.select(key, "saved_line", F.when(F.col("n") > F.col("saved_line"), F.col("n")).alias("note_line"))
 
 
+def mark_log_fold(df: DataFrame, log: str, line: str, event: str, asset: str, mark: str) -> DataFrame:
+    """Current marks of whole logs under their rules: ``log, asset, mark, saved_line, note_line, enabled, valid``.
+
+    Events are enabled, disabled, save, note and delete. A log is valid if it begins with enabled, saves only while
+    enabled, and notes and deletes only the mark that its asset has then. An asset has at most one mark: a save replaces
+    it. ``enabled`` is the log's last state. A log that breaks a rule anywhere comes out as one row with nothing but
+    ``valid`` false; a valid log without marks as one row without an asset.
+    """
+    in_log = Window.partitionBy(log).orderBy(line)
+    before = in_log.rowsBetween(Window.unboundedPreceding, -1)
+    of_asset = Window.partitionBy(log, asset).orderBy(line)
+    e = F.col(event)
+    on = F.last(F.when(e == "enabled", True).when(e == "disabled", False), True).over(before)
+    # the mark an asset has before an event: that of the last save or delete before it, a delete leaving none
+    last = F.last(F.when(e.isin("save", "delete"), F.struct(e.alias("e"), F.col(mark).alias("m"))), True).over(of_asset.rowsBetween(Window.unboundedPreceding, -1))
+    has = F.coalesce((last["e"] == "save") & (last["m"] == F.col(mark)), F.lit(False))
+    first = F.row_number().over(in_log) == 1
+    ok = (F.when(first, e == "enabled").when(e.isin("enabled", "disabled"), True).when(e == "save", F.coalesce(on, F.lit(False)))
+          .when(e.isin("note", "delete"), has).otherwise(False))
+    checked = df.select(log, line, event, asset, mark, ok.alias("ok"))
+    logs = checked.groupBy(log).agg(F.bool_and("ok").alias("valid"), F.max_by(F.when(e == "enabled", True).when(e == "disabled", False), F.when(e.isin("enabled", "disabled"), F.col(line))).alias("enabled"))
+    at = lambda *names: F.max(F.when(e.isin(*names), F.col(line)))
+    per = checked.filter(e.isin("save", "note", "delete")).groupBy(log, asset).agg(
+        at("save").alias("saved_line"), at("note").alias("n"), at("delete").alias("d"), F.max_by(mark, F.when(e == "save", F.col(line))).alias(mark))
+    live = per.filter("d IS NULL OR d < saved_line").select(log, asset, mark, "saved_line", F.when(F.col("n") > F.col("saved_line"), F.col("n")).alias("note_line"))
+    joined = logs.join(live, log, "left")
+    return joined.select(log, *[F.when(F.col("valid"), F.col(c)).alias(c) for c in (asset, mark, "saved_line", "note_line", "enabled")], "valid").distinct()
+
+
 def job_fold(df: DataFrame, key: str, line: str, at: str, event: str, terminal: list[str]) -> DataFrame:
     """State of each job: the first terminal event sticks, else the last event. ``key, status, updated_line, n_events``."""
     done = F.col(event).isin(*terminal)
@@ -90,12 +119,16 @@ def as_of(points: DataFrame, marks: DataFrame, key: str, at: str, value: str) ->
     return both.filter("side = 1").select(key, at, "p.*", "found.mark_at", F.col(f"found.{value}").alias(value))
 
 
-def covering(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, keep: list[str], step: int) -> DataFrame:
-    """Spans that cover each point: both sides are cut into bins of ``step``, joined on the bin, then compared exactly."""
-    if step < 1:
-        raise ValueError("step must be positive")
-    s = spans.filter(F.col(end) > F.col(start)).withColumn(
-        "bin", F.explode(F.sequence(F.floor(F.col(start) / step), F.floor((F.col(end) - 1) / step))))
-    p = points.withColumn("bin", F.floor(F.col(at) / step))
-    j = p.join(s.select(key, "bin", start, end, *keep), [key, "bin"])
-    return j.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("bin")
+def covering(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, keep: list[str]) -> DataFrame:
+    """Spans that cover each point: joined on bins of the power of two above the length of the span, then compared exactly.
+
+    A span lies in at most two bins of its level, however long it is; a point in one bin of each level there is (at most 64).
+    """
+    length = F.col(end).cast("long") - F.col(start).cast("long")
+    s = spans.filter(F.col(end) > F.col(start)).withColumn("_level", (F.length(F.bin(length)) - 1).cast("int"))
+    levels = [r[0] for r in s.select("_level").distinct().collect()]  # at most 64 numbers
+    first, last = (F.expr(f"shiftright(CAST({c} AS BIGINT), _level + 1)") for c in (f"`{start}`", f"`{end}` - 1"))
+    s = s.withColumn("_bin", F.explode(F.array_distinct(F.array(first, last))))
+    p = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bin", F.expr(f"shiftright(CAST(`{at}` AS BIGINT), _level + 1)"))
+    j = p.join(s.select(key, "_level", "_bin", start, end, *keep), [key, "_level", "_bin"])
+    return j.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_level", "_bin")

@@ -39,9 +39,16 @@ def missing_positions(df: DataFrame, key: str, pos: str) -> DataFrame:
 
 
 def ordered_identity(df: DataFrame, key: str, order: list[str], asset: str) -> DataFrame:
-    """Digest of the ordered asset list of each key, and how many keys share it."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct(*order, asset))), lambda x: x[asset].cast("string"))
-    ids = df.groupBy(key).agg(F.sha2(F.concat_ws("\n", items), 256).alias("identity"))
+    """Digest of the ordered asset list of each key, and how many keys share it; ``order`` begins with the integer position.
+
+    A key's list is hashed in buckets of positions (``structure.ordered_digest``), so no task lists a whole hot key.
+    """
+    from shelfmark.operators.structure import ordered_digest
+
+    first, *ties = order
+    at_place = F.transform(F.array_sort(F.collect_list(F.struct(*ties, asset))), lambda x: x[asset].cast("string"))
+    places = df.groupBy(key, first).agg(F.concat_ws("\n", at_place).alias("_assets"))
+    ids = ordered_digest(places, [key], first, F.col("_assets")).select(key, F.col("digest").alias("identity"))
     n = ids.groupBy("identity").agg(F.count(F.lit(1)).alias("sharing"))
     return ids.join(n, "identity").select(key, "identity", "sharing")
 

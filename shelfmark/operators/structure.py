@@ -68,6 +68,109 @@ def resolve_links(links: DataFrame, members: DataFrame, targets: DataFrame, doc:
     return j.select(*links.columns, F.when(ok, F.col("unit")).alias("unit"), F.when(ok, F.coalesce("offset", F.lit(0))).alias("offset"), status.alias("status"))
 
 
+def resolve_images(images: DataFrame, members: DataFrame, doc: str) -> DataFrame:
+    """Images of documents beside the members they name: ``images`` have ``base`` (the member that shows them) and ``src``.
+
+    Statuses: local_resource, missing_member, external, invalid.
+    """
+    from shelfmark.functions.codecs import resolve_href_udf
+
+    r = images.withColumn("_r", resolve_href_udf("base", "src"))
+    m = members.select(doc, F.col("member").alias("_member"), "bytes", "sha256")
+    j = r.join(m, (r[doc] == m[doc]) & (F.col("_r.member") == F.col("_member")) & (F.col("_r.status") == "internal"), "left").drop(m[doc])
+    status = F.when(F.col("_r.status") != "internal", F.col("_r.status")).when(F.col("_member").isNull(), "missing_member").otherwise("local_resource")
+    return j.select(*images.columns, status.alias("status"), F.col("_member").alias("member"), F.col("bytes").alias("image_bytes"), F.col("sha256").alias("image_sha256"))
+
+
+def bind_references(parts: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """``parts`` with ``reference``, the position token of ``fields`` (sorted by name, nulls left out)."""
+    from shelfmark.functions.codecs import encoded
+
+    return parts.withColumn("reference", encoded(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))))
+
+
+#: Units that one task lists to hash them.
+UNITS_A_BUCKET = 4_096
+
+
+def ordered_digest(df: DataFrame, keys: list[str], pos: str, value: Column) -> DataFrame:
+    """SHA-256 of the values of each key in the order of the integer ``pos``: ``keys, digest, n``.
+
+    Values are joined by line feeds and hashed; above ``UNITS_A_BUCKET`` positions, the digests of as many positions each are
+    what is joined and hashed, and so on. So no task lists more than a bucket of a key, provided its positions do not repeat.
+    """
+    items = F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda x: x["_v"])
+    rows = df.select(*keys, F.col(pos).cast("long").alias("_p"), value.cast("string").alias("_v"))
+    level = rows.groupBy(*keys, F.floor(F.col("_p") / UNITS_A_BUCKET).alias("_p")).agg(F.sha2(F.concat_ws("\n", items), 256).alias("_v"), F.count(F.lit(1)).alias("_n"))
+    level = cut(level)
+    several = level.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(*keys)
+    if several.isEmpty():
+        return level.select(*keys, F.col("_v").alias("digest"), F.col("_n").alias("n"))
+    # a key of one bucket has its digest; the bucket digests of the others are hashed in turn
+    done = level.join(several, keys, "left_anti").select(*keys, F.col("_v").alias("digest"), F.col("_n").alias("n"))
+    rest = level.join(several, keys, "left_semi")
+    upper = ordered_digest(rest, keys, "_p", F.col("_v")).drop("n").join(rest.groupBy(*keys).agg(F.sum("_n").alias("n")), keys)
+    return done.unionByName(upper)
+
+
+def unit_views(units: DataFrame, doc: str, index: str, text: str, gaps: Column) -> DataFrame:
+    """The identity of each document's text: ``doc, representation, units, bytes, with_gaps``.
+
+    It is the digest of its units in order, each given by its place, the digest of its text and its number of gaps; texts
+    are hashed where they lie. A unit without text (null) is unsupported and counts as such.
+    """
+    n = F.coalesce(gaps, F.lit(0))
+    state = F.when(F.col(text).isNull(), "unsupported").when(n > 0, "text_with_gaps").otherwise("text")
+    line = F.concat_ws(" ", F.col(index).cast("string"), state, F.coalesce(F.sha2(text, 256), F.lit("-")), n.cast("string"))
+    rows = units.select(doc, index, line.alias("_line"), F.octet_length(text).cast("long").alias("_bytes"), (state == "text_with_gaps").cast("long").alias("_gaps"))
+    sums = rows.groupBy(doc).agg(F.count(F.lit(1)).alias("units"), F.coalesce(F.sum("_bytes"), F.lit(0)).alias("bytes"), F.sum("_gaps").alias("with_gaps"))
+    return ordered_digest(rows, [doc], index, F.col("_line")).select(doc, F.col("digest").alias("representation")).join(sums, doc)
+
+
+def frame_range(frames: DataFrame, requests: DataFrame, key: str, no: str, at: str, length: str, need: str, have: str, history: int = 1, most_preroll: int = 64) -> DataFrame:
+    """Whole, contiguous frames from a requested one on, and the frames before it that a decoder needs.
+
+    ``frames`` are numbered from 0 without gaps, with their place, length, the bytes they borrow from earlier frames
+    (``need``) and those they lend (``have``). ``requests`` have ``key, first, max_bytes``. A range stops before a gap and
+    within the bytes allowed, the preroll counted; it holds the first frame in any case (``status`` too_small if that is too
+    much). Preroll: the frames that lend what the first frame and its ``history`` frames before borrow, at most
+    ``most_preroll`` each; incomplete across a gap, except at the very beginning, where nothing more exists.
+
+    Columns: ``key, first, preroll, last, byte_start, byte_end, complete, stopped_at_gap, end_of_track, status``.
+    """
+    w = Window.partitionBy(key).orderBy(no)
+    gap = F.coalesce((F.lag(F.col(at) + F.col(length)).over(w) != F.col(at)).cast("int"), F.lit(0))
+    f = frames.select(key, F.col(no).alias("no"), F.col(at).alias("at"), F.col(length).alias("len"), F.col(need).alias("need"), F.col(have).alias("have"), gap.alias("gap"))
+    f = f.withColumns({"run": F.sum("gap").over(w), "lent": F.sum("have").over(w), "size": F.sum("len").over(w), "count": F.count(F.lit(1)).over(Window.partitionBy(key))})
+    r = requests.select(key, "first", "max_bytes")
+    start = r.join(f.select(key, F.col("no").alias("first"), F.col("run").alias("own_run"), F.col("size").alias("own_size"), F.col("len").alias("own_len"), "count"), [key, "first"])
+    # what the first frame and each of its history borrow: frames of the run before them, nearest first, until it is covered
+    back = start.withColumn("k_", F.explode(F.array(*map(F.lit, range(history + 1))))).withColumn("no", F.col("first") - F.col("k_")).filter("no >= 0")
+    back = back.select(key, "first", "k_", "own_run", "no").join(f.select(key, "no", "run", "need", "lent", "have"), [key, "no"])
+    target = back.select(key, "first", "k_", "own_run", F.col("run").alias("t_run"), F.col("no").alias("t_no"), F.col("need").alias("t_need"), (F.col("lent") - F.col("have")).alias("t_before"))
+    lenders = f.select(key, F.col("no").alias("j"), F.col("run").alias("j_run"), (F.col("lent") - F.col("have")).alias("j_before"), F.col("lent").alias("j_lent"))
+    near = (F.col("j") < F.col("t_no")) & (F.col("j") >= F.col("t_no") - most_preroll)
+    j = target.join(lenders.withColumnRenamed("j_run", "t_run"), [key, "t_run"])
+    used = F.sum(F.when(near & (F.col("t_before") - F.col("j_lent") < F.col("t_need")), 1).otherwise(0))
+    depth = j.groupBy(key, "first", "k_", "own_run", "t_run", "t_no", "t_need").agg(
+        used.alias("n"), F.coalesce(F.max(F.when(near, F.col("t_before") - F.col("j_before"))), F.lit(0)).alias("got"), F.min(F.when(near, F.col("j"))).alias("furthest"))
+    # a frame of the history in another run is behind a gap; at the very beginning nothing more can be had
+    same = F.col("t_run") == F.col("own_run")
+    covered = (F.col("t_need") <= F.col("got")) | (F.coalesce(F.col("furthest"), F.col("t_no")) == 0)
+    pre = depth.groupBy(key, "first").agg(F.max(F.when(same, F.col("n") + F.col("k_"))).cast("int").alias("preroll"), F.bool_and(same & covered).alias("complete"))
+    s = start.join(pre, [key, "first"])
+    begin = f.select(key, F.col("no").alias("p_no"), F.col("at").alias("byte_start"), (F.col("size") - F.col("len")).alias("before_size"))
+    s = s.withColumn("p_no", F.col("first") - F.col("preroll")).join(begin, [key, "p_no"])
+    on = f.select(key, F.col("no").alias("last"), F.col("run").alias("own_run"), F.col("size").alias("last_size"), (F.col("at") + F.col("len")).alias("byte_end"))
+    fit = s.join(on, [key, "own_run"]).filter((F.col("last") >= F.col("first")) & ((F.col("last") == F.col("first")) | (F.col("last_size") - F.col("before_size") <= F.col("max_bytes"))))
+    got = fit.groupBy(key, "first", "max_bytes", "preroll", "complete", "byte_start", "count", "own_run", "before_size").agg(F.max(F.struct("last", "byte_end", "last_size")).alias("x"))
+    after = f.select(key, F.col("no").alias("n_no"), F.col("run").alias("n_run"))
+    got = got.withColumn("n_no", F.col("x.last") + 1).join(after, [key, "n_no"], "left")
+    return got.select(key, "first", "preroll", F.col("x.last").alias("last"), "byte_start", F.col("x.byte_end").alias("byte_end"), "complete",
+                      F.coalesce(F.col("n_run") != F.col("own_run"), F.lit(False)).alias("stopped_at_gap"), (F.col("x.last") == F.col("count") - 1).alias("end_of_track"),
+                      F.when(F.col("x.last_size") - F.col("before_size") > F.col("max_bytes"), "too_small").otherwise("ok").alias("status"))
+
+
 def on_cycle(edges: DataFrame, doc: str, source: str, target: str) -> DataFrame:
     """Nodes that can reach themselves, over cycles of any length: ``doc, node``. Nodes without a way in or out are pruned first."""
     e = cut(edges.select(F.col(doc).alias("doc"), F.col(source).alias("a"), F.col(target).alias("b")).distinct())

@@ -11,10 +11,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.scalars import col, pause_class
+from shelfmark.functions.codecs import cells
+from shelfmark.functions.scalars import CLAUSE_ENDS, CLOSING, SENTENCE_ENDS, _set, col, pause_class
 from shelfmark.operators.packed import WHITE_SPACE
 
 
@@ -35,19 +37,33 @@ def locate(df: DataFrame, key: str, text: str, needle: str) -> DataFrame:
     return p.select(key, (F.col("i") + 1).alias("ord"), start.alias("start_byte"), (start + size).alias("end_byte"))
 
 
-def read_range(text: Column | str, start: int, limit: int) -> Column:
-    """At most ``limit`` bytes from byte ``start``, cut back to whole characters at the end."""
-    if start < 0 or not 4 <= limit <= 65_536:
-        raise ValueError("start must not be negative, limit must lie in 4..65536")
-    raw = F.substring(F.encode(col(text), "UTF-8"), start + 1, limit)
-    return F.decode(F.unhex(_whole(F.hex(raw))), "UTF-8")
+def _inside_character(raw: Column, at: Column) -> Column:
+    """Whether byte ``at`` (from 0) goes on with a character that began before it."""
+    return F.hex(F.substring(raw, at + 1, F.lit(1))).rlike("^[89AB]")
 
 
-def _whole(hexed: Column) -> Column:
-    """Hex digits of bytes without a character cut off at the end."""
-    two, three, four = r"(?:C[2-9A-F]|D[0-9A-F])$", r"E[0-9A-F](?:[89AB][0-9A-F])?$", r"F[0-7](?:[89AB][0-9A-F]){0,2}$"
-    aligned = rf"^((?:..)*?)(?:{two}|{three}|{four})"
-    return F.when(hexed.rlike(aligned), F.regexp_extract(hexed, aligned, 1)).otherwise(hexed)
+def read_range(text: Column | str, start: Column | int, limit: int, gaps: Column | str | None = None) -> Column:
+    """At most ``limit`` bytes of a text from byte ``start``: ``status, text, start, end, end_of_unit`` and, if asked for, ``gaps``.
+
+    A start outside the text or inside a character is refused (``invalid_request``), never moved; the end is moved back to a
+    character's beginning. ``gaps`` is an array of structs with a place ``at``: one lies in the range that starts at or before
+    it, at the very end in the last range, so ranges that follow each other tell each gap once. Null texts give null.
+    """
+    if not 4 <= limit <= 65_536:
+        raise ValueError("limit must lie in 4..65536")
+    first = (F.lit(start) if isinstance(start, int) else start).cast("int")
+    raw = F.encode(col(text), "UTF-8")
+    size = F.octet_length(raw)
+    far = F.least(size, first + limit)
+    inside = lambda back: (far - back < size) & _inside_character(raw, far - back)
+    end = F.when(~inside(0), far).when(~inside(1), far - 1).when(~inside(2), far - 2).otherwise(far - 3)
+    ok = (first >= 0) & (first <= size) & ((first == size) | ~_inside_character(raw, first))
+    part = F.decode(F.substring(raw, first + 1, end - first), "UTF-8")
+    fields = [F.when(ok, F.when(end == size, "complete_range").otherwise("partial_range")).otherwise("invalid_request").alias("status"), F.when(ok, part).alias("text"),
+              F.when(ok, first).alias("start"), F.when(ok, end).alias("end"), F.when(ok, end == size).alias("end_of_unit")]
+    if gaps is not None:
+        fields.append(F.when(ok, F.filter(col(gaps), lambda g: ((g["at"] >= first) & (g["at"] < end)) | ((g["at"] == end) & (end == size)))).alias("gaps"))
+    return F.when(col(text).isNotNull(), F.struct(*fields))
 
 
 def words_with_offsets(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -84,10 +100,10 @@ def word_stats(df: DataFrame, key: str, text: str) -> DataFrame:
 
     A pause is a mark at the end of a word, closing quotes and brackets aside.
     """
-    ws, close = r"[ \t\n\x0b\x0c\r]", "[\"'”’»)\\]]*"
+    ws, close = r"[ \t\n\x0b\x0c\r]", _set(CLOSING) + "*"
     n = lambda pattern: F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(pattern)).cast("long")
     ends = lambda marks: n(f"[{marks}]{close}(?={ws}|\\z)")
-    return df.select(key, n(f"[^{ws[1:]}+").alias("words"), ends(".!?…。！？").alias("sentences"), ends(",;:—、，；：").alias("clauses"))
+    return df.select(key, n(f"[^{ws[1:]}+").alias("words"), ends(SENTENCE_ENDS).alias("sentences"), ends(CLAUSE_ENDS).alias("clauses"))
 
 
 def line_breaks(df: DataFrame, key: str, text: str, start: int, end: int) -> DataFrame:
@@ -96,6 +112,70 @@ def line_breaks(df: DataFrame, key: str, text: str, start: int, end: int) -> Dat
     return found.filter((F.col("start_byte") >= start) & (F.col("start_byte") < end)).select(key, F.col("start_byte").alias("at"))
 
 
+def line_layout(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """Words laid out greedily in lines of ``width`` display cells: ``key, line_no, first_word, last_word, start_byte, n_cells``.
+
+    A line feed ends a line, a word wider than a line stands alone. Each text is laid out where it lies.
+    """
+    if width < 1:
+        raise ValueError("width must be positive")
+    kind = df.schema[key].dataType.simpleString()
+    tokens, clusters = re.compile(f"\n|[^{WHITE_SPACE}]+"), regex.compile(r"\X")
+
+    def lines(t: str) -> Iterator[tuple]:
+        no = word = at = last = used = first = begin = 0
+        for m in tokens.finditer(t):
+            at += len(t[last : m.start()].encode())
+            last = m.start()
+            if m[0] == "\n":
+                if first:
+                    no += 1
+                    yield no, first, word, begin, used
+                first = used = 0
+                continue
+            n = len(m[0]) if m[0].isascii() else sum(map(cells, clusters.findall(m[0])))
+            if first and used + 1 + n > width:
+                no += 1
+                yield no, first, word, begin, used
+                first = used = 0
+            word += 1
+            used, first, begin = (used + 1 + n, first, begin) if first else (n, word, at)
+        if first:
+            yield no + 1, first, word, begin, used
+
+    names = ["line_no", "first_word", "last_word", "start_byte", "n_cells"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                rows = list(lines(b.column(1)[k].as_py() or ""))
+                if rows:
+                    own = pa.array([b.column(0)[k].as_py()] * len(rows), b.column(0).type)
+                    yield pa.RecordBatch.from_arrays([own, *(pa.array(c, pa.int64()) for c in zip(*rows))], names=[key, *names])
+
+    return df.select(key, F.col(text).alias("t")).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{n} long" for n in names))
+
+
+def items_of(words: DataFrame, key: str, start: str, breaks: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Words, breaks and gaps of texts in one order: ``key, at, kind, value``; ``breaks`` have ``at``, ``gaps`` ``at, kind``.
+
+    At one place a break comes before a gap and a gap before a word.
+    """
+    w = words.select(key, F.col(start).cast("long").alias("at"), F.lit("word").alias("kind"), F.col("word").alias("value"), F.lit(2).alias("side"))
+    b = breaks.select(key, F.col("at").cast("long"), F.lit("break").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(0).alias("side"))
+    g = gaps.select(key, F.col("at").cast("long"), F.lit("gap").alias("kind"), F.col("kind").alias("value"), F.lit(1).alias("side"))
+    return w.unionByName(b).unionByName(g)
+
+
+def first_at_or_after(points: DataFrame, items: DataFrame, key: str, at: str) -> DataFrame:
+    """The first item of the key at or after each point: ``item_at``, null behind the last. One window over both, no range join."""
+    p = points.select(key, at, F.struct(*[c for c in points.columns if c not in (key, at)]).alias("p"), F.lit(None).cast("long").alias("item"), F.lit(0).alias("side"))
+    i = items.select(key, at, F.lit(None).cast(p.schema["p"].dataType).alias("p"), F.col(at).cast("long").alias("item"), F.lit(1).alias("side"))
+    w = Window.partitionBy(key).orderBy(at, "side").rowsBetween(0, Window.unboundedFollowing)
+    both = p.unionByName(i).withColumn("item_at", F.first("item", True).over(w))
+    return both.filter("side = 0").select(key, at, "p.*", "item_at")
+
+
 _BLOCKS = {"p", "div", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "table", "tr", "td", "th", "pre", "hr", "br", "dl", "dt", "dd", "figure", "figcaption"}
 _GAPS = {"img": "image", "table": "table", "audio": "media", "video": "media", "svg": "image", "math": "math", "object": "media", "iframe": "media"}
 

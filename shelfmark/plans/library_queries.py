@@ -77,7 +77,7 @@ def covering_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters that cover the middle of the file, for each track with a duration."""
     t = table(spark, sf_dir, "audio_tracks").filter("encoded_duration_ms IS NOT NULL").select("track_id", F.expr("encoded_duration_ms div 2").alias("at"))
     c = table(spark, sf_dir, "audio_chapters").select("track_id", "chapter_row", "start_ms", "end_ms")
-    return folds.covering(t, c, "track_id", "at", "start_ms", "end_ms", ["chapter_row"], 600_000).select("track_id", "chapter_row")
+    return folds.covering(t, c, "track_id", "at", "start_ms", "end_ms", ["chapter_row"]).select("track_id", "chapter_row")
 
 
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,22 +268,11 @@ def line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.line_breaks(table(spark, sf_dir, "documents"), "doc_id", "text", 0, 4096)
 
 
-def read_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 64 bytes of every document, cut to whole characters, and their length."""
-    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", text.read_range("text", 0, 64).alias("part"))
-    return d.select("doc_id", "part", F.octet_length("part").alias("bytes"))
-
-
 def word_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, sentence ends and clause ends of every document."""
     return text.word_stats(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def words_with_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of every resource's rationale with its byte place and pause."""
-    return text.words_with_offsets(table(spark, sf_dir, "discovery_validation").filter("rationale IS NOT NULL"), "resource_no", "rationale")
-
-
 def document_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read as markup: size of the text, parts, gaps and links."""
     m = text.read_markup(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -293,8 +282,7 @@ def document_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = (latest_per_key, mark_fold, job_fold, active_declarations, open_operations, pair_check, jobs_newest, running_offsets, chapter_ends, event_boundaries, as_of_value,
           covering_chapters, exact_duplicates, related_groups, recording_manifest, track_manifest, missing_positions, byte_identity, claim_conflicts, citation_candidates,
           capped_identifiers, outcome_tallies, complete_sets, block_coverage, snapshot_audit, library_check, collection_status, collection_diff, band_join, reconcile_logs,
-          all_held, upsert_plan, positional_conflicts, folder_plan, restore_plan, held_jobs, domain_check, set_ops, locate, locate_first, line_breaks, read_range, word_stats,
-          words_with_offsets, document_markup)
+          all_held, upsert_plan, positional_conflicts, folder_plan, restore_plan, held_jobs, domain_check, set_ops, locate, locate_first, line_breaks, word_stats, document_markup)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 
@@ -356,5 +344,5 @@ SQL = {
     "locate": _occurrences("the "),
     "locate_first": f"SELECT * FROM ({_occurrences('lamp')}) ORDER BY doc_id, start_byte LIMIT 100",
     "line_breaks": f"SELECT doc_id, start_byte AS at FROM ({_occurrences(chr(10))}) WHERE start_byte < 4096",
-    "word_stats": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, CAST(len(w) AS BIGINT) AS words, CAST(len(list_filter(w, lambda x: regexp_matches(regexp_replace(x, '["''”’»)\]]+$', ''), '[.!?…。！？]$'))) AS BIGINT) AS sentences, CAST(len(list_filter(w, lambda x: regexp_matches(regexp_replace(x, '["''”’»)\]]+$', ''), '[,;:—、，；：]$'))) AS BIGINT) AS clauses FROM w""",
+    "word_stats": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, CAST(len(w) AS BIGINT) AS words, CAST(len(list_filter(w, lambda x: regexp_matches(regexp_replace(x, '["'')\]}’”»」』）]+$', ''), '[.!?…。！？]$'))) AS BIGINT) AS sentences, CAST(len(list_filter(w, lambda x: regexp_matches(regexp_replace(x, '["'')\]}’”»」』）]+$', ''), '[,;:，、；：]$'))) AS BIGINT) AS clauses FROM w""",
 }

@@ -27,7 +27,7 @@ def _drain(df: DataFrame, mode: str) -> DataFrame:
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(part: DataFrame, epoch: int) -> None:
-        part.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(f"{base}/out")
+        part.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
 
     df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     jvm = spark.sparkContext._jvm

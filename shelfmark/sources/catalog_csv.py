@@ -51,9 +51,10 @@ def read_catalog(spark: SparkSession, path: str, unique: bool = True) -> DataFra
     number = F.col("Text#").rlike("^[1-9][0-9]{0,7}$")
     issued = F.col("Issued").isNull() | date_shape("Issued")
     fine = F.coalesce(number & issued & F.col("Title").isNotNull(), F.lit(False))
-    num = F.when(fine, F.col("Text#").cast("int")).otherwise(F.raise_error(F.concat(F.lit("bad catalogue row: "), F.coalesce("Text#", F.lit("no number")))))
-    out = raw.select(
-        num.alias("num"), fold_column("Type").alias("kind"), F.col("Issued").alias("issued"), fold_column("Title").alias("title"),
+    bad = F.raise_error(F.concat(F.lit("bad catalogue row: "), F.coalesce("Text#", F.lit("no number")))).cast("boolean")
+    # a filter, so that the check is made whatever columns are asked for
+    out = raw.filter(F.when(fine, True).otherwise(bad)).select(
+        F.col("Text#").cast("int").alias("num"), fold_column("Type").alias("kind"), F.col("Issued").alias("issued"), fold_column("Title").alias("title"),
         split_codes("Language").alias("languages"), split_list("Authors").alias("authors"), split_list("Subjects").alias("subjects"),
         split_list("LoCC").alias("classes"), split_list("Bookshelves").alias("shelves"), _row_digest(F.struct(*HEADER)).alias("row_sha256"))
     if unique and (twice := out.groupBy("num").count().filter("count > 1").limit(1).collect()):

@@ -70,6 +70,39 @@ def zip_members(files: DataFrame) -> DataFrame:
     return _rows(files, parse, "ord int, name string, bytes long, packed long, crc string, disposition string")
 
 
+def nested_members(files: DataFrame, levels: int = 4, most_bytes: int = MOST_MEMBER) -> DataFrame:
+    """Members of ZIP archives and of the archives in them, ``levels`` deep: ``ord, level, name, bytes, sha256, disposition``.
+
+    Names of nested members are joined by ``!/``. ``most_bytes`` is one budget for all that is unpacked of a file; what it no
+    longer covers is listed as ``over_budget``, what lies deeper as ``too_deep``, and neither is read.
+    """
+
+    def walk(b: bytes, prefix: str, level: int, left: list[int]) -> Iterator[tuple]:
+        with zipfile.ZipFile(io.BytesIO(b)) as z:
+            for i in z.infolist():
+                name, verdict = prefix + i.filename, _member_verdict(i)
+                if verdict == "ok" and i.file_size > left[0]:
+                    verdict = "over_budget"
+                if verdict != "ok":
+                    yield level, name, i.file_size, None, verdict
+                    continue
+                left[0] -= i.file_size
+                data = z.read(i)
+                archive = data[:4] == b"PK\x03\x04" and i.filename.lower().endswith(".zip")
+                yield level, name, i.file_size, hashlib.sha256(data).hexdigest(), "too_deep" if archive and level == levels else "archive" if archive else "ok"
+                if archive and level < levels:
+                    try:
+                        yield from walk(data, name + "!/", level + 1, left)
+                    except zipfile.BadZipFile:
+                        yield level + 1, name + "!/", None, None, "unreadable"
+
+    def parse(b: bytes) -> Iterator[tuple]:
+        for n, row in enumerate(walk(b, "", 1, [most_bytes]), 1):
+            yield n, *row
+
+    return _rows(files, parse, "ord int, level int, name string, bytes long, sha256 string, disposition string")
+
+
 def _get(z: zipfile.ZipFile, name: str) -> bytes:
     i = z.getinfo(name)
     if (v := _member_verdict(i)) != "ok":
@@ -165,6 +198,34 @@ def epub_navigation(files: DataFrame) -> DataFrame:
     return _rows(files, parse, "ord int, level int, parent int, label string, member string, fragment string, status string")
 
 
+def epub_page_lists(files: DataFrame) -> DataFrame:
+    """Entries of the page list of EPUBs: order, label and target, and a ``problem`` where none can be chosen.
+
+    A navigation document with more than one page list, and a package whose navigation documents have one each, are
+    ambiguous: each gives one row with its problem (multiple_page_lists, multiple_nav_documents) and no entries.
+    """
+
+    def parse(b: bytes) -> Iterator[tuple]:
+        p = Package(b)
+        lists: list[tuple[str, list]] = []
+        for member, _, props in p.items.values():
+            if "nav" in props.split():
+                navs = [n for n in ElementTree.fromstring(_get(p.zip, member)).iter("{http://www.w3.org/1999/xhtml}nav") if n.get("{http://www.idpf.org/2007/ops}type") == "page-list"]
+                if navs:
+                    lists.append((member, navs))
+        for member, navs in lists:
+            problem = "multiple_nav_documents" if len(lists) > 1 else "multiple_page_lists" if len(navs) > 1 else None
+            if problem:
+                yield 0, None, None, None, "ambiguous", problem
+                continue
+            for n, a in enumerate(navs[0].iter("{http://www.w3.org/1999/xhtml}a"), 1):
+                href = a.get("href")
+                target, fragment, status = resolve_href(member, href) if href else ("", "", "unlinked")
+                yield n, " ".join("".join(a.itertext()).split()), target, fragment, status, None
+
+    return _rows(files, parse, "ord int, label string, member string, fragment string, status string, problem string")
+
+
 def epub_cover(files: DataFrame) -> DataFrame:
     """The declared cover image of EPUBs, if there is one."""
 
@@ -306,7 +367,10 @@ _PACKETS = {b"PAR 2.0\x00Main\x00\x00\x00\x00": "main", b"PAR 2.0\x00FileDesc":
 
 
 def recovery_packets(files: DataFrame) -> DataFrame:
-    """Packets of recovery files: set, kind, place, whether the checksum holds, and the digest of the body."""
+    """Packets of recovery files: set, kind, place, whether the checksum holds, the digest of the body and the file described.
+
+    After a damaged packet the search goes on, so what follows it is found too.
+    """
 
     def parse(b: bytes) -> Iterator[tuple]:
         at = b.find(_MAGIC)
@@ -315,10 +379,10 @@ def recovery_packets(files: DataFrame) -> DataFrame:
             if 64 <= size <= len(b) - at and size % 4 == 0:
                 body = b[at + 32 : at + size]
                 good = hashlib.md5(body, usedforsecurity=False).digest() == b[at + 16 : at + 32]
-                yield b[at + 32 : at + 48].hex(), _PACKETS.get(b[at + 48 : at + 64], "other"), at, size, good, hashlib.sha256(body).hexdigest()
+                yield b[at + 32 : at + 48].hex(), _PACKETS.get(b[at + 48 : at + 64], "other"), at, size, good, hashlib.sha256(body).hexdigest(), b[at + 64 : at + 80].hex() if b[at + 48 : at + 64] == b"PAR 2.0\x00FileDesc" else None
                 at = b.find(_MAGIC, at + size if good else at + 8)
             else:
-                yield None, "truncated", at, len(b) - at, False, None
+                yield None, "truncated", at, len(b) - at, False, None, None
                 at = b.find(_MAGIC, at + 8)
 
-    return _rows(files, parse, "set_id string, kind string, at long, length long, checksum_ok boolean, body_sha256 string")
+    return _rows(files, parse, "set_id string, kind string, at long, length long, checksum_ok boolean, body_sha256 string, file_id string")

@@ -7,7 +7,7 @@ import json
 import os
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructType
@@ -41,16 +41,21 @@ def read_journal(spark: SparkSession, path: str, schema: StructType | str, canon
     """Records of a journal with ``file`` and ``line_no``; an unreadable or non-canonical line fails the read."""
     lines = journal_lines(spark, path)
     if canonical:
-        bad = F.raise_error(F.concat(F.lit("line is not canonical: "), F.col("line_no").cast("string")))
-        lines = lines.withColumn("line", F.when(is_canonical_udf("line"), F.col("line")).otherwise(bad))
-    return lines.select("file", "line_no", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).select("file", "line_no", "r.*")
+        lines = _required(lines, is_canonical_udf("line"), F.concat(F.lit("line is not canonical: "), F.col("line_no").cast("string")))
+    # the filter needs the parsed record, so a bad line fails the read whatever columns are asked for
+    return lines.select("file", "line_no", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).filter("r IS NOT NULL").select("file", "line_no", "r.*")
+
+
+def _required(df: DataFrame, ok: Column, message: Column | str) -> DataFrame:
+    """``df``, failing on a row that is not ``ok``. The check is a filter: no choice of columns prunes it away."""
+    message = F.lit(message) if isinstance(message, str) else message
+    return df.withColumn("_ok", ok).filter(F.when(F.col("_ok"), True).otherwise(F.raise_error(message).cast("boolean"))).drop("_ok")
 
 
 def check_sequence(df: DataFrame, sequence: str, by: str = "file") -> DataFrame:
     """``df``, failing where the sequence of a journal isn't 1..n in line order."""
     at = F.row_number().over(Window.partitionBy(by).orderBy("line_no"))
-    bad = F.raise_error(F.concat(F.lit("sequence broken at "), F.col(sequence).cast("string")))
-    return df.withColumn(sequence, F.when(F.col(sequence) == at, F.col(sequence)).otherwise(bad))
+    return _required(df, F.coalesce(F.col(sequence) == at, F.lit(False)), F.concat(F.lit("sequence broken at "), F.coalesce(F.col(sequence).cast("string"), F.lit("a null"))))
 
 
 def check_pairs(df: DataFrame, event: str, first: str, second: str, same: list[str]) -> DataFrame:
@@ -58,7 +63,7 @@ def check_pairs(df: DataFrame, event: str, first: str, second: str, same: list[s
     w = Window.partitionBy("file").orderBy("line_no")
     odd = F.col("line_no") % 2 == 1
     ok = F.when(odd, F.col(event) == first).otherwise((F.col(event) == second) & F.lag(F.struct(*same)).over(w).eqNullSafe(F.struct(*same)))
-    return df.withColumn(event, F.when(ok, F.col(event)).otherwise(F.raise_error(F.lit("an event has no partner"))))
+    return _required(df, F.coalesce(ok, F.lit(False)), "an event has no partner")
 
 
 def observe_directory(spark: SparkSession, path: str, most_files: int = 10_000) -> tuple[DataFrame, dict]:

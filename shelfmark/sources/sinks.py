@@ -8,6 +8,9 @@ import tempfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.codecs import visible_escapes_udf
+from shelfmark.functions.scalars import col
+
 
 def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """A new table at ``path``; an existing one is never overwritten."""
@@ -28,8 +31,8 @@ def publish_file(text: str, path: str) -> None:
 
 
 def escaped_json(*cols: str) -> Column:
-    """A row as JSON with control characters escaped; nulls kept out."""
-    return F.regexp_replace(F.to_json(F.struct(*cols)), "[\\x7f-\\x9f\\u200b-\\u200f\\u2028-\\u202e\\u2060-\\u2064\\ufeff]", "�")
+    """A row as JSON in which control and format characters are escapes, so that it reads back the same; nulls kept out."""
+    return visible_escapes_udf(F.to_json(F.struct(*cols)))
 
 
 def append_lines(df: DataFrame, path: str, *cols: str, most: int = 1 << 20) -> None:
@@ -44,17 +47,23 @@ def store_by_content(files: DataFrame, root: str) -> DataFrame:
     d = files.select(F.sha2("content", 256).alias("sha256"), "content")
     once = d.groupBy("sha256").agg(F.first("content").alias("content")).withColumn("prefix", F.substring("sha256", 1, 2))
     spark = files.sparkSession
-    if os.path.isdir(root) and any(n.startswith("prefix=") for n in os.listdir(root)):
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/prefix=*")
+    if pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern):  # any file system that Spark reads
         once = once.join(spark.read.parquet(root).select("sha256"), "sha256", "left_anti")
     once.write.mode("append").partitionBy("prefix").parquet(root)
     return spark.read.parquet(root).select("sha256", (F.sha2("content", 256) == F.col("sha256")).alias("verified"))
 
 
+def reading_list_line(title: Column | str, authors: Column | str, url: Column | str) -> Column:
+    """A line of a Markdown list: the title as a link, then the authors."""
+    safe = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"([\\`*_\[\]<>])", r"\\$1")
+    names = F.when(F.size(col(authors)) > 0, F.concat(F.lit(" — "), safe(F.array_join(col(authors), "; ")))).otherwise("")
+    return F.concat(F.lit("- ["), safe(col(title)), F.lit("]("), F.coalesce(col(url), F.lit("")), F.lit(")"), names)
+
+
 def reading_list(df: DataFrame, title: str, authors: str, url: str) -> DataFrame:
     """Lines of a Markdown list."""
-    safe = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"([\\`*_\[\]<>])", r"\\$1")
-    names = F.when(F.size(F.col(authors)) > 0, F.concat(F.lit(" — "), safe(F.array_join(authors, "; ")))).otherwise("")
-    return df.select(F.concat(F.lit("- ["), safe(F.col(title)), F.lit("]("), F.coalesce(F.col(url), F.lit("")), F.lit(")"), names).alias("line"))
+    return df.select(reading_list_line(title, authors, url).alias("line"))
 
 
 def wav(pcm: Column, rate: int, channels: int, bits: int = 16) -> Column:

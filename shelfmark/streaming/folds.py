@@ -35,7 +35,10 @@ def deduplicated(stream: DataFrame, key: str, at: str, late: str = "2 hours") ->
 
 
 def job_states(stream: DataFrame, key: str, line: str, event: str, terminal: list[str]) -> DataFrame:
-    """Status of each job after each batch: the first terminal event sticks. Lines may come in any order."""
+    """Status of each job after each batch: the first terminal event sticks. Lines may come in any order.
+
+    A job's state, five values, is kept as long as the query runs, since a late line may always change it.
+    """
     out = f"{key} {stream.schema[key].dataType.simpleString()}, status string, updated_line long, n_events long"
     final = set(terminal)
 
@@ -57,9 +60,12 @@ def job_states(stream: DataFrame, key: str, line: str, event: str, terminal: lis
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Appends a stream to a Parquet table, each batch once, until its source is drained."""
+    """Appends a stream to a Parquet table partitioned by ``epoch``, until its source is drained.
+
+    Each batch has its own partition, which is overwritten: a batch that is replayed after a failure stands there once.
+    """
 
     def write(df: DataFrame, epoch: int) -> None:
-        df.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

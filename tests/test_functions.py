@@ -24,8 +24,9 @@ def test_identifiers(spark):
     assert table(spark, S.clean_isbn, ["urn:isbn:0-306-40615-2"]) == ["0306406152"]
     assert table(spark, S.canonical_doi, ["https://doi.org/10.1000/ABC", "doi: 10.1000/x", "10.1000/a/../b", "11.1/x"]) == ["10.1000/abc", "10.1000/x", None, None]
     assert table(spark, S.open_library_key, ["/books/OL7M", "ol12w", "OL0M"]) == ["OL7M", "OL12W", None]
-    got = table(spark, S.arxiv_parts, ["2101.00001v2", "hep-th/9901001", "2113.00001", "arxiv:0704.0001"])
-    assert [g and tuple(g) for g in got] == [("2101.00001", 2), ("hep-th/9901001", 0), None, ("0704.0001", 0)]
+    got = table(spark, S.arxiv_parts, ["arxiv:2101.00001v2", "arxiv:hep-th/9901001", "arxiv:2113.00001", "arxiv:0704.0001", "2101.00001", "arxiv:2301.1234", "arxiv:9912.12345", "arxiv:0703.0001", "arxiv:1412.0001", "arxiv:1501.0001", "arxiv:math.GT/0309136",
+                                       "arxiv:hep-th/9107001", "arxiv:hep-th/0703001", "arxiv:hep-th/0704001", "arxiv:hep-th/0801001", "arxiv:2101.00001v0", None])
+    assert [g and tuple(g) for g in got] == [("2101.00001", 2), ("hep-th/9901001", 0), None, ("0704.0001", 0), None, None, ("9912.12345", 0), None, ("1412.0001", 0), None, None, None, ("hep-th/0703001", 0), None, None, None, None]
 
 
 def test_lists_languages_and_dates(spark):

@@ -24,8 +24,8 @@ def test_sequences(spark):
     m = spark.createDataFrame([("k", 2, "m2"), ("k", 5, "m5")], "k string, at int, v string")
     assert {r.name: r.v for r in folds.as_of(p, m, "k", "at", "v").collect()} == {"p": "m5", "q": None, "r": None}
     s = spark.createDataFrame([("k", 0, 100, "long"), ("k", 5, 6, "short"), ("k", 6, 9, "after"), ("k", 9, 3, "reversed")], "k string, a int, b int, id string")
-    got = folds.covering(p.select("k", "at"), s, "k", "at", "a", "b", ["id"], 4)
-    assert rows(got.select("at", "id")) == [(1, "long"), (5, "long"), (5, "short")]
+    got = folds.covering(p.select("k", "at"), s.unionByName(spark.createDataFrame([("k", -(10**9), 10**9, "huge"), ("z", 6, 7, "beside")], s.schema)), "k", "at", "a", "b", ["id"])
+    assert rows(got.select("at", "id")) == [(1, "huge"), (1, "long"), (5, "huge"), (5, "long"), (5, "short")]
 
 
 def test_comparisons(spark):
@@ -67,6 +67,6 @@ def test_search_and_text(spark):
     t = spark.createDataFrame([(1, "aaaa é aa\\E"), (2, None), (3, "")], "k int, t string")
     assert rows(text.locate(t, "k", "t", "aa")) == [(1, 1, 0, 2), (1, 2, 2, 4), (1, 3, 8, 10)]
     assert rows(text.locate(t, "k", "t", "\\E")) == [(1, 1, 10, 12)]
-    assert [r.t for r in t.select(text.read_range("t", 0, 6).alias("t")).collect()] == ["aaaa ", None, ""]
+    assert [r.t and (r.t.status, r.t.text, r.t.end) for r in t.select(text.read_range("t", 0, 6).alias("t")).collect()] == [("partial_range", "aaaa ", 5), None, ("complete_range", "", 0)]
     w = text.words_with_offsets(t, "k", "t").orderBy("ord").collect()
     assert [(x.word, x.start_byte) for x in w] == [("aaaa", 0), ("é", 5), ("aa\\E", 8)]
