@@ -256,7 +256,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: F.Column | float, spread_by: str) -> DataFrame:
-    """``left`` with the columns of ``right``, null where there are none; ``keys`` are unique in ``right``.
+    """``left`` without the last of ``keys``, with the columns of ``right``, null where there are none; ``keys`` are unique in ``right``.
 
     Heavy keys, at most ``1/HOT_SHARE`` of them, are looked up by broadcast and all others by shuffle. Rows of heavy
     keys get a salt from ``spread_by``, so that they too are spread over all tasks of the one join.
@@ -265,8 +265,10 @@ def _hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, t
     heavy = F.col(weight) >= F.lit(HOT_SHARE) * total
     hot = right.filter(heavy).select(*keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in added])
     marked = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(spread_by), F.lit(1 << 20))).otherwise(0).cast("long"))
+    # a heavy row's last key is not needed any more, so its text is not shuffled
+    marked = marked.withColumn(keys[-1], F.when(F.col("_hot"), "").otherwise(F.col(keys[-1])))
     joined = marked.join(right.filter(~heavy).withColumn("_salt", F.lit(0).cast("long")), [*keys, "_salt"], "left")
-    return joined.select(*left.columns, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in added])
+    return joined.select(*[c for c in left.columns if c not in keys[-1:]], *[F.coalesce(f"_hot_{c}", c).alias(c) for c in added])
 
 
 def choose_readings(fields: DataFrame) -> DataFrame:
