@@ -227,15 +227,20 @@ def segments(s: str) -> list[tuple[int, int, str]]:
 
 
 def lookups(s: str) -> set[tuple[int, int, str]]:
-    """Keys (length, segment number, characters) under which strings of at most the own length and their number of edits stand."""
+    """Keys (length, segment number, characters) under which strings of at most the own length and their number of edits stand.
+
+    Of ``k`` edits at most ``i`` lie before segment ``i`` or else an earlier segment occurs unchanged, and likewise behind
+    it: that bounds its shift from both sides, so about a dozen substrings of a string are looked up for ``k = 2``.
+    """
     out = set()
     for length in range(max(1, len(s) - K), len(s) + 1):
-        at, k = 0, edits(length)
-        if len(s) - length > k:
+        at, k, more = 0, edits(length), len(s) - length
+        if more > k:
             continue
         for i in range(k + 1):
             size = length // (k + 1) + (i >= k + 1 - length % (k + 1))
-            for p in range(max(0, at - k), min(len(s) - size, at + k) + 1):
+            low, high = max(0, at - i, at + more - (k - i)), min(len(s) - size, at + i, at + more + (k - i))
+            for p in range(low, high + 1):
                 out.add((length, i, s[p : p + size]))
             at += size
     return out
