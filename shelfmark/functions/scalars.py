@@ -182,12 +182,12 @@ def file_kind(c: Column | str) -> Column:
 
 
 def detected_format(head: Column | str) -> Column:
-    """Format by the first eight bytes."""
+    """Format by the first eight bytes; null for null."""
     x = F.hex(F.substring(col(head), 1, 8))
     frame = x.rlike("^FF[EF]")
     return (F.when(x.startswith("504B0304"), "zip").when(x.startswith("255044462D"), "pdf").when(x.startswith("494433") | frame, "mp3")
             .when(F.substring(x, 9, 8) == "66747970", "mp4").when(x.startswith("52617221"), "rar")
-            .when(x.startswith("4D5A") | x.startswith("7F454C46"), "executable").otherwise("unknown"))
+            .when(x.startswith("4D5A") | x.startswith("7F454C46"), "executable").when(x.isNotNull(), "unknown"))
 
 
 def flag_state(c: Column | str) -> Column:
@@ -279,7 +279,9 @@ def portable_path(c: Column | str) -> Column:
 
 
 def inside(path: Column | str, folder: Column | str) -> Column:
-    return (col(path) == col(folder)) | col(path).startswith(F.concat(F.regexp_replace(col(folder), "/+$", ""), F.lit("/")))
+    """Whether a path is a folder or lies below it; slashes at the folder's end say nothing."""
+    root = F.regexp_replace(col(folder), "/+$", "")
+    return (F.regexp_replace(col(path), "/+$", "") == root) | col(path).startswith(F.concat(root, F.lit("/")))
 
 
 def volume_of(name: Column | str) -> Column:

@@ -109,6 +109,20 @@ def apply_events(log: DataFrame, planned: DataFrame, expected: str) -> DataFrame
     return planned.exceptAll(log.select(*planned.columns).intersectAll(planned))
 
 
+def append_absent(log: DataFrame, planned: DataFrame, key: list[str]) -> DataFrame:
+    """Planned rows whose key the log does not hold, each key once (the least row), as they would be appended."""
+    rest = [c for c in planned.columns if c not in key]
+    new = planned.join(log.select(*key).distinct(), key, "left_anti")
+    return new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("x")).select(*key, "x.*") if rest else new.distinct()
+
+
+def roll_forward(log: DataFrame, operation: str, line: str, event: str, start: str, finish: str, payload: list[str]) -> DataFrame:
+    """Rows that finish what an interruption left open: for each operation whose last start has no finish after it, a finish
+    with the payload of that start. ``operation, line (that of the start), event, payload``."""
+    last = log.filter(F.col(event).isin(start, finish)).groupBy(operation).agg(F.max_by(F.struct(line, event, *payload), F.col(line)).alias("x"))
+    return last.filter(F.col(f"x.{event}") == start).select(operation, f"x.{line}", F.lit(finish).alias(event), *[f"x.{p}" for p in payload])
+
+
 def merge_sources(current: DataFrame, incoming: DataFrame, key: list[str], fill: list[str]) -> DataFrame:
     """Union of provenance by key where what is missing is filled in and nothing is replaced."""
     i = incoming.select(*key, *[F.col(c).alias(f"_{c}") for c in fill])

@@ -68,6 +68,14 @@ def active_declarations(df: DataFrame, key: str, line: str, event: str, declared
     return e.groupBy(key).agg((F.max_by(event, line) == declared).alias("active"), F.count(F.lit(1)).alias("n_events"))
 
 
+def declaration_digests(df: DataFrame, key: str, line: str, event: str, declared: str, retracted: str) -> DataFrame:
+    """Digest of each declaration's events in the order of their lines, which an append must name: ``key, digest, n``."""
+    from shelfmark.operators.structure import ordered_digest
+
+    e = df.filter(F.col(event).isin(declared, retracted))
+    return ordered_digest(e, [key], line, F.concat_ws(" ", F.col(line).cast("string"), F.col(event)))
+
+
 def open_operations(df: DataFrame, key: str, line: str, event: str, start: str, finish: str) -> DataFrame:
     """Keys whose last start has no finish after it: ``key, open_line``."""
     at = lambda e: F.max(F.when(F.col(event) == e, F.col(line)))

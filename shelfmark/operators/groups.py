@@ -12,6 +12,21 @@ def exact_groups(df: DataFrame, key: str, content: str) -> DataFrame:
     return d.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("first_key"))
 
 
+def exact_members(df: DataFrame, key: str, content: str) -> DataFrame:
+    """Every location of the contents that stand more than once: ``sha256, key``. Only digests and keys are shuffled."""
+    d = df.filter(F.col(content).isNotNull()).select(key, F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
+    several = d.groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha256")
+    return d.join(several, "sha256").select("sha256", key)
+
+
+def related_members(df: DataFrame, member: str, relations: dict[str, Column]) -> DataFrame:
+    """The evidence behind ``related_groups``: each member with each key that it shares with another, ``relation, key, member``."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("relation"), k.cast("string").alias("key")) for n, k in relations.items()])).alias("r")
+    rows = df.select(each, F.col(member).alias("member")).select("r.relation", "r.key", "member").filter("key IS NOT NULL").distinct()
+    several = rows.groupBy("relation", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return rows.join(several, ["relation", "key"]).select("relation", "key", "member")
+
+
 def related_groups(df: DataFrame, member: str, relations: dict[str, Column], version: Column | None = None) -> DataFrame:
     """Members that share a stated key under a relation, groups of two or more: ``relation, key, members, latest``."""
     out = None
@@ -22,10 +37,14 @@ def related_groups(df: DataFrame, member: str, relations: dict[str, Column], ver
     return per.groupBy("relation", "key").agg(F.count(F.lit(1)).alias("members"), F.max("version").alias("latest"), F.min("member").alias("first_member")).filter("members >= 2")
 
 
-def manifests(df: DataFrame, key: str, pos: str, asset: str) -> DataFrame:
-    """Completeness of ordered sets: declared (the highest position), held, missing, conflicting positions."""
-    per = df.filter(F.col(pos).isNotNull()).groupBy(key, pos).agg(F.count_distinct(asset).alias("claims"))
-    m = per.groupBy(key).agg(F.max(pos).cast("int").alias("declared"), F.count(F.lit(1)).alias("held"), F.sum(F.when(F.col("claims") > 1, 1).otherwise(0)).alias("conflicts"))
+def manifests(df: DataFrame, key: str, pos: str, asset: str, declared: str | None = None) -> DataFrame:
+    """Completeness of ordered sets: declared, held, missing, conflicting positions.
+
+    What a set declares is the largest ``declared`` count of its rows, or its highest position where that is larger or none is stated.
+    """
+    stated = F.max(declared) if declared else F.lit(None).cast("int")
+    per = df.filter(F.col(pos).isNotNull()).groupBy(key, pos).agg(F.count_distinct(asset).alias("claims"), stated.alias("stated"))
+    m = per.groupBy(key).agg(F.greatest(F.max(pos), F.max("stated")).cast("int").alias("declared"), F.count(F.lit(1)).alias("held"), F.sum(F.when(F.col("claims") > 1, 1).otherwise(0)).alias("conflicts"))
     missing = F.col("declared") - F.col("held")
     return m.select(key, "declared", "held", missing.alias("missing"), "conflicts", ((missing == 0) & (F.col("conflicts") == 0)).alias("complete"))
 
@@ -76,6 +95,24 @@ def capped(df: DataFrame, key: str, value: str, priority: Column, cap: int) -> D
     return r.withColumn("omitted", F.greatest(n - cap, F.lit(0))).filter(F.col("rank") <= cap).select(key, value, "rank", "omitted")
 
 
+def merged_values(df: DataFrame, key: str, value: str, flag: Column) -> DataFrame:
+    """Distinct values of each key, with whether any statement of one carries the flag: ``key, value, flagged``."""
+    return df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.bool_or(F.coalesce(flag, F.lit(False))).alias("flagged"))
+
+
+def capped_fields(df: DataFrame, key: str, field: str, value: str, line: str, per_field: int = 16, in_all: int = 64) -> DataFrame:
+    """Distinct (field, value) pairs of each key in the order of their first statement, capped by field and in all.
+
+    The caps are the reported feature; ``omitted`` is the exact number of pairs of the key that they leave out.
+    """
+    first = df.filter(F.col(field).isNotNull() & F.col(value).isNotNull()).groupBy(key, field, value).agg(F.min(line).alias("first_line"))
+    own = F.row_number().over(Window.partitionBy(key, field).orderBy("first_line", value))
+    total = F.count(F.lit(1)).over(Window.partitionBy(key))
+    r = first.withColumns({"_own": own, "_all": total}).filter(F.col("_own") <= per_field)
+    r = r.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("first_line", field, value))).withColumn("_in", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    return r.filter(F.col("place") <= in_all).select(key, field, value, "place", (F.col("_all") - F.least("_in", F.lit(in_all))).alias("omitted"))
+
+
 def tallies(df: DataFrame, column: str, buckets: dict[str, Column]) -> DataFrame:
     """How many rows fall into the first bucket that fits: ``bucket, n``."""
     name = F.lit("other")

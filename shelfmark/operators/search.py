@@ -58,6 +58,32 @@ def first_per_source(sources: dict[str, DataFrame], order: str, limit: int) -> D
     return out
 
 
+def source_status(sources: dict[str, DataFrame | None], limit: int) -> DataFrame:
+    """How each source answered: ``source, status, n``; failed (there is none), empty, complete, or more than ``limit`` rows."""
+    out = None
+    for name, df in sources.items():
+        if df is None:
+            part = next(x for x in sources.values() if x is not None).sparkSession.createDataFrame([(name, "failed", None)], "source string, status string, n long")
+        else:
+            n = F.col("n")
+            part = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("source"), F.when(n == 0, "empty").when(n <= limit, "complete").otherwise("more").alias("status"), F.least(n, F.lit(limit).cast("long")).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def first_seen(df: DataFrame, key: list[str], line: str, limit: int, offset: int = 0, most: int = 50) -> DataFrame:
+    """A page of distinct keys in the order in which they first appear, with their first line and the number of keys in all."""
+    keys = df.groupBy(*key).agg(F.min(line).alias("first_line"))
+    return with_total(keys, [F.col("first_line"), *map(F.col, key)], limit, offset, most)
+
+
+def first_hits(found: DataFrame, order: list[str], limit: int = 100) -> DataFrame:
+    """The first matches in order, and whether there are more: ``matches_truncated``."""
+    top = found.orderBy(*order).limit(limit + 1)  # at most limit + 1 rows are numbered
+    n = F.row_number().over(Window.orderBy(*order))
+    return top.withColumn("_n", n).withColumn("matches_truncated", F.max("_n").over(Window.partitionBy(F.lit(1))) > limit).filter(F.col("_n") <= limit).drop("_n")
+
+
 def newest(df: DataFrame, at: str, ident: str, limit: int = 100) -> DataFrame:
     """The newest rows, ties by id; ``truncated`` tells whether there were more."""
     more = df.orderBy(F.col(at).desc(), ident).limit(limit + 1)

@@ -258,9 +258,9 @@ def locate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def locate_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 100 occurrences in order of document and place."""
+    """The first 100 occurrences in order of document and place, and whether there are more."""
     found = text.locate(table(spark, sf_dir, "documents"), "doc_id", "text", "lamp")
-    return found.orderBy("doc_id", "start_byte").limit(100)
+    return search.first_hits(found, ["doc_id", "start_byte"])
 
 
 def line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,7 +342,7 @@ SQL = {
     "domain_check": "WITH r AS (SELECT unnest(list_filter([CASE WHEN track_id IS NULL THEN 'track' END, CASE WHEN start_ms IS NULL OR end_ms IS NULL THEN 'bounds' END, CASE WHEN NOT coalesce(end_ms > start_ms, false) THEN 'order' END, CASE WHEN NOT coalesce(length(title) > 0, false) THEN 'title' END], lambda x: x IS NOT NULL)) AS rule FROM audio_chapters) SELECT rule, count(*) AS n FROM r GROUP BY 1",
     "set_ops": "SELECT p_partkey, CASE WHEN p_size <= 20 THEN 'before' WHEN p_size >= 30 THEN 'after' ELSE 'both' END AS side FROM part",
     "locate": _occurrences("the "),
-    "locate_first": f"SELECT * FROM ({_occurrences('lamp')}) ORDER BY doc_id, start_byte LIMIT 100",
+    "locate_first": f"WITH o AS ({_occurrences('lamp')}) SELECT *, (SELECT count(*) > 100 FROM o) AS matches_truncated FROM o ORDER BY doc_id, start_byte LIMIT 100",
     "line_breaks": f"SELECT doc_id, start_byte AS at FROM ({_occurrences(chr(10))}) WHERE start_byte < 4096",
     "word_stats": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, CAST(len(w) AS BIGINT) AS words, CAST(len(list_filter(w, lambda x: regexp_matches(regexp_replace(x, '["'')\]}’”»」』）]+$', ''), '[.!?…。！？]$'))) AS BIGINT) AS sentences, CAST(len(list_filter(w, lambda x: regexp_matches(regexp_replace(x, '["'')\]}’”»」』）]+$', ''), '[,;:，、；：]$'))) AS BIGINT) AS clauses FROM w""",
 }

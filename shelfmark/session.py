@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,11 +58,29 @@ def ship(spark: SparkSession) -> None:
     sc._shelfmark_shipped = True
 
 
+_SCOPE: contextvars.ContextVar[list | None] = contextvars.ContextVar("shelfmark_scope", default=None)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``cut`` writes inside are deleted at the end of the scope: read or write the results within it."""
+    made: list = []
+    token = _SCOPE.set(made)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for at in made:
+            at.getFileSystem(conf).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared checkpoint folder and read again; its lineage is cut.
 
     Unlike ``DataFrame.checkpoint`` this computes the plan once. The table
-    outlives executors and is deleted when the application ends.
+    outlives executors and is deleted at the end of the ``scope`` around the
+    call, without one when the application ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
@@ -67,6 +88,8 @@ def cut(df: DataFrame) -> DataFrame:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(at)
+    if (made := _SCOPE.get()) is not None:
+        made.append(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -92,7 +115,4 @@ def scratch_dir() -> str:
             return os.environ[var].split(",")[0]
     from pyspark import SparkFiles
 
-    try:
-        return SparkFiles.getRootDirectory()
-    except Exception:
-        return os.getcwd()
+    return SparkFiles.getRootDirectory()
