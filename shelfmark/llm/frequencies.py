@@ -9,8 +9,10 @@ the record's hash, since distinct records of disjoint sets of records add up.
 Each file is aggregated out of core by DuckDB under a memory limit. The last
 step adds up the parts of each term.
 
-A term that holds a third of all rows is spread over ``HOT_PARTS`` partitions
-from the start by its records' hash, so no task holds it whole.
+Every term is spread over partitions by its records' hash from the start, over
+an eighth of them all (at least ``HOT_PARTS``), so no task holds a hot term
+whole, and more tasks share it the larger the cluster is. A term of few records
+has no more parts than records.
 
 Defined results: a null term counts nowhere; a null record counts in
 ``n_total``, not in ``n_texts``; letter case counts. ``mark`` is ``rare`` if
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.session import scratch_dir, width
 
-#: Parts of one term by its records, bits taken at each level, levels by term before the record's bits are used.
+#: Least parts of one term by its records, bits taken at each level, levels by term before the record's bits are used.
 HOT_PARTS, BITS, TERM_LEVELS, LEVELS = 8, 3, 5, 8
 MAX_BYTES = 64 << 20
 MEMORY_LIMIT = "256MB"
@@ -73,7 +75,7 @@ def _aggregate(files: list[str], level: int, con: duckdb.DuckDBPyConnection, max
             os.remove(path)
             yield from _aggregate(parts, level + 1, con, max_bytes)
         else:
-            yield from con.execute(_SQL, [path]).to_arrow_table().to_batches(20_000)
+            yield from con.sql(_SQL, params=[path]).to_arrow_table().to_batches(20_000)
             os.remove(path)
 
 
@@ -83,7 +85,7 @@ def radix_counts(rows: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     sums = rows.filter("term IS NOT NULL").groupBy("field_name", "term", "record").agg(F.count(F.lit(1)).alias("n"))
     hashed = sums.withColumns({"term_hash": F.xxhash64("field_name", "term"), "record_hash": F.xxhash64("record")})
     radix = F.pmod(F.col("term_hash"), F.lit(n * 8)).alias("radix")
-    spread = hashed.repartition(n, radix, F.pmod(F.col("record_hash"), F.lit(HOT_PARTS)))
+    spread = hashed.repartition(n, radix, F.pmod(F.col("record_hash"), F.lit(max(HOT_PARTS, n // 8))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = f"{scratch_dir()}/radix-{uuid.uuid4().hex}"
