@@ -61,6 +61,21 @@ def canonical_json(v: object) -> str:
     return str(v) if isinstance(v, _Number) else json.dumps(v, ensure_ascii=False)
 
 
+def ordered_json(v: object, kind: T.DataType) -> set[str]:
+    """The compact encodings of a value with the fields of objects in the order of a schema: as they are, and with ``< > &`` escaped."""
+
+    def write(v: object, kind: T.DataType | None) -> str:
+        if isinstance(v, dict):
+            fields = [(f.name, f.dataType) for f in kind.fields if f.name in v] if isinstance(kind, T.StructType) else [(k, None) for k in sorted(v)]
+            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{write(v[k], t)}" for k, t in fields) + "}"
+        if isinstance(v, list):
+            return "[" + ",".join(write(x, kind.elementType if isinstance(kind, T.ArrayType) else None) for x in v) + "]"
+        return str(v) if isinstance(v, _Number) else json.dumps(v, ensure_ascii=False)
+
+    text = write(v, kind)
+    return {text, text.replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")}
+
+
 def canonical_digest(text: str | None) -> str | None:
     """SHA-256 of the canonical form of a JSON text; null where it is none."""
     try:

@@ -14,7 +14,7 @@ from shelfmark.functions import codecs
 from shelfmark.functions import scalars as S
 from shelfmark.operators import changes, folds, groups, search, structure
 from shelfmark.session import checkpoint_dir, table
-from shelfmark.sources import catalog_csv, journals
+from shelfmark.sources import catalog_csv, journals, records
 
 
 def _turn(n: str, *values: object) -> Column:
@@ -179,7 +179,51 @@ def journal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.regexp_extract("file", "journal=([0-9]+)", 1).cast("long").alias("journal"), F.col("line_no").cast("long").alias("line_no"), "event", "id")
 
 
-_NAMES = (catalog_file, journal_files, value_checks, href_targets, position_tokens, canonical_lines, archive_volumes, file_formats, assessments, scanner_report, page_labels, identical_documents, related_evidence, declared_manifests,
+def _lines(spark: SparkSession, rows: DataFrame, order: str) -> str:
+    """``rows`` as JSON lines in the order of their columns, one journal for each ``journal``, below a new folder."""
+    path = _written(spark)
+    line = F.to_json(F.struct(*[c for c in rows.columns if c != "journal"]))
+    rows.select("journal", F.col(order).alias("_o"), line.alias("value")).repartition("journal").sortWithinPartitions("journal", "_o").select("journal", "value").write.partitionBy("journal").text(path)
+    return f"{path}/journal=*"
+
+
+_LIBRARY = "library:0123456789abcdef0123456789abcdef"
+
+
+def holdings_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every track as a holding with its recording, written as a journal and read under its rules."""
+    t = table(spark, sf_dir, "audio_tracks").withColumn("sha256", F.sha2(F.col("track_id").cast("string"), 256))
+    recording = F.when(F.col("track_no").isNotNull(), F.struct(F.coalesce("file_format", F.lit("x")).alias("source_format"), F.col("track_no").alias("position"), F.greatest("track_no", F.lit(2)).alias("tracks")))
+    source = F.struct(F.lit("archive").alias("kind"), F.concat(F.lit("p/"), F.col("track_id")).alias("path"), F.col("recording_id").alias("source_id"), recording.alias("recording"))
+    late = F.col("channels").isNull()
+    rows = t.select((F.col("track_id") % 4).alias("journal"), F.lit(1).alias("schema_version"), F.lit(_LIBRARY).alias("library_id"), F.concat(F.lit("sha256:"), F.col("sha256")).alias("id"), "sha256", F.col("track_id").alias("bytes"), F.lit("mp3").alias("format"),
+                    F.when(late, "review").otherwise("checked").alias("status"), F.when(late, "scanner_failed").otherwise("").alias("reason"), F.lit("a").alias("path"), F.array(F.lit("T <1>")).alias("titles"), F.array(source).alias("sources"))
+    h = records.read_relation(spark, _lines(spark, rows, "bytes"), "holdings")
+    return h.select(F.col("bytes").alias("track_id"), "status", "reason", F.col("sources")[0]["recording"]["position"].alias("position"), F.col("titles")[0].alias("title"))
+
+
+def operations_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pairs of intent and completion, written as journals and read with sequence and pairs checked."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 8).alias("journal"), "o_orderkey", F.row_number().over(Window.partitionBy(F.col("o_orderkey") % 8).orderBy("o_orderkey")).alias("n"))
+    e = o.select("*", F.explode(F.array(F.lit("intent"), F.lit("completed"))).alias("event"))
+    rows = e.select("journal", F.lit(1).alias("schema_version"), (F.col("n") * 2 - (F.col("event") == "intent").cast("int")).alias("sequence"), F.lit(_LIBRARY).alias("library_id"), F.concat(F.lit("op:"), "o_orderkey").alias("operation_id"), "event", F.lit("s").alias("source"),
+                    F.concat(F.lit("sha256:"), F.sha2(F.col("o_orderkey").cast("string"), 256)).alias("asset_id"), F.lit("epub").alias("format"), F.col("o_orderkey").alias("bytes"), F.lit("checked").alias("status"), F.lit("").alias("reason"), F.lit("2001-02-03T04:05:06Z").alias("at"))
+    r = records.read_relation(spark, _lines(spark, rows, "sequence"), "operations")
+    return r.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.max("sequence").cast("long").alias("last"))
+
+
+def marks_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of saved places, written as journals, read and folded."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("journal"), "event_id", F.row_number().over(Window.partitionBy(F.col("user_id") % 8).orderBy("event_id")).alias("sequence"), F.sha2(F.col("user_id").cast("string"), 256).alias("u"))
+    on = F.col("sequence") == 1
+    rows = e.select("journal", F.lit(1).alias("schema_version"), "sequence", F.lit(_LIBRARY).alias("library_id"), F.when(on, "enabled").otherwise("save").alias("event"), F.when(~on, F.concat(F.lit("m"), "event_id")).alias("id"),
+                    F.when(~on, F.concat(F.lit("sha256:"), "u")).alias("asset_id"), F.when(~on, "epub-text/2").alias("representation"), F.lit(0).alias("unit"), F.lit(3).alias("offset"), F.lit("é & <n>").alias("note"), F.lit("t").alias("at"))
+    m = records.read_relation(spark, _lines(spark, rows, "sequence"), "marks")
+    f = folds.mark_log_fold(m, "file", "sequence", "event", "asset_id", "id")
+    return f.select(F.regexp_extract("file", "journal=([0-9]+)", 1).cast("long").alias("journal"), "asset_id", "id", F.col("saved_line").cast("long").alias("saved_line"), "valid")
+
+
+_NAMES = (catalog_file, journal_files, holdings_journal, operations_journal, marks_journal, value_checks, href_targets, position_tokens, canonical_lines, archive_volumes, file_formats, assessments, scanner_report, page_labels, identical_documents, related_evidence, declared_manifests,
           merged_flags, capped_evidence, first_seen_users, source_answers, declaration_logs, rolled_forward, appended_absent)
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -187,6 +231,10 @@ SQL = {
     "catalog_file": r"""WITH one AS (SELECT text_num, arg_min(struct_pack(a := authors, s := subjects), row_id) AS x FROM gutenberg_catalog WHERE text_num > 0 AND title IS NOT NULL AND trim(title) <> '' GROUP BY 1)
         SELECT CAST(text_num AS INTEGER) AS text_num, '2001-02-03' AS issued, CAST(len(list_filter(string_split(coalesce(x.a, ''), ';'), lambda v: regexp_matches(v, '[^\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]'))) AS INTEGER) AS n_authors,
         CAST(len(list_filter(string_split(coalesce(x.s, ''), ';'), lambda v: regexp_matches(v, '[^\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]'))) AS INTEGER) AS n_subjects, 64 AS digest_length FROM one""",
+    "holdings_journal": "SELECT track_id, CASE WHEN channels IS NULL THEN 'review' ELSE 'checked' END AS status, CASE WHEN channels IS NULL THEN 'scanner_failed' ELSE '' END AS reason, track_no AS position, 'T <1>' AS title FROM audio_tracks",
+    "operations_journal": """SELECT unnest(['intent', 'completed']) AS event, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS bytes, unnest([(SELECT max(c) * 2 - 1 FROM (SELECT count(*) AS c FROM orders GROUP BY o_orderkey % 8)), (SELECT max(c) * 2 FROM (SELECT count(*) AS c FROM orders GROUP BY o_orderkey % 8))]) AS last FROM orders""",
+    "marks_journal": """WITH e AS (SELECT user_id, event_id, user_id % 8 AS journal, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS n FROM events), s AS (SELECT journal, user_id, max(n) AS saved_line, arg_max(event_id, n) AS e FROM e WHERE n > 1 GROUP BY 1, 2)
+        SELECT j.journal, 'sha256:' || sha256(CAST(user_id AS VARCHAR)) AS asset_id, 'm' || e AS id, saved_line, true AS valid FROM (SELECT DISTINCT journal FROM e) j LEFT JOIN s USING (journal)""",
     "journal_files": "SELECT user_id % 20 AS journal, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS line_no, event_type AS event, event_id AS id FROM events",
     "value_checks": """WITH c AS (SELECT *, row_id % 3 AS a, row_id % 4 AS b, row_id % 2 AS h, length(CAST(text_num AS VARCHAR)) AS n FROM gutenberg_catalog)
         SELECT row_id, text_num > 0 AND n <= 8 AS gutenberg, CASE WHEN text_num IS NULL THEN NULL ELSE a = 0 AND text_num > 0 AND n <= 12 END AS openalex, text_num > 0 AND n <= 8 AS librivox, CASE WHEN text_num IS NULL THEN NULL ELSE a = 0 END AS resource,

@@ -144,3 +144,89 @@ def test_sinks(spark, tmp_path):
     assert line == "- [A \\[b\\]](http://u) — X"
     w = bytes(spark.range(1).select(sinks.wav(F.lit(bytearray(b"\1\2\3\4")), 8000, 1).alias("w")).first().w)
     assert w[:4] == b"RIFF" and struct.unpack("<I", w[4:8])[0] == 40 and w[-4:] == b"\1\2\3\4" and len(w) == 48
+
+
+LIBRARY = "library:" + "0" * 32
+
+
+def test_relations_refuse_what_breaks_them(spark, tmp_path):
+    from shelfmark.sources import records
+
+    sha = "a" * 64
+    good = f'{{"schema_version":1,"library_id":"{LIBRARY}","id":"sha256:{sha}","sha256":"{sha}","bytes":1,"format":"mp3","status":"checked","reason":"","path":"p","titles":["\\u003cb\\u003e"],"languages":[],"sources":[]}}'
+    path = tmp_path / "h.jsonl"
+    path.write_text(good + "\n" + good.replace("\\u003c", "<").replace("\\u003e", ">") + "\n" + good[:50])
+    df = records.read_relation(spark, str(path), "holdings")
+    assert df.count() == 2 and df.first().titles == ["<b>"]
+    for bad in (good.replace('"schema_version":1', '"schema_version":2'), good.replace('"bytes":1', '"bytes":-1'), good.replace('"bytes":1', '"bytes":1,"bytes":1'), good.replace('"bytes":1', '"bytes":1,"other":1'),
+                good.replace('"bytes":1,"format":"mp3"', '"format":"mp3","bytes":1'), good.replace('"bytes":1', '"bytes": 1'), good.replace("checked", "review"), good.replace('"id":"sha256:a', '"id":"sha256:b'), good + " x"):
+        path.write_text(bad + "\n")
+        with pytest.raises(Exception):  # noqa: B017
+            records.read_relation(spark, str(path), "holdings").select("line_no").collect()
+    two = [f'{{"schema_version":1,"sequence":{n},"library_id":"{LIBRARY}","operation_id":"o","event":"{e}","at":"t"}}' for n, e in ((1, "intent"), (2, "completed"))]
+    path.write_text("\n".join(two) + "\n")
+    assert records.read_relation(spark, str(path), "identity").count() == 2
+    for bad in ([two[1]], [two[0], two[0]], [*two, two[0].replace(":1,\"lib", ":3,\"lib")]):
+        path.write_text("\n".join(bad) + "\n")
+        with pytest.raises(Exception):  # noqa: B017
+            records.read_relation(spark, str(path), "identity").count()
+    d = [f'{{"schema_version":1,"sequence":1,"library_id":"{LIBRARY}","event":"declared","id":"d","declaration":{{"schema":"s","narration_id":"n","recordings":[]}},"at":"t"}}', f'{{"schema_version":1,"sequence":2,"library_id":"{LIBRARY}","event":"retracted","id":"d","at":"t"}}']
+    path.write_text("\n".join(d) + "\n")
+    assert [r.event for r in records.read_relation(spark, str(path), "declarations").orderBy("sequence").collect()] == ["declared", "retracted"]
+    path.write_text(d[1].replace('"sequence":2', '"sequence":1').replace("retracted", "declared") + "\n")
+    with pytest.raises(Exception):  # noqa: B017
+        records.read_relation(spark, str(path), "declarations").count()
+
+
+def test_named_documents(spark, tmp_path):
+    import hashlib
+
+    from shelfmark.sources import records
+
+    def read(name, value, **kw):
+        path = tmp_path / "d.json"
+        path.write_text(value if isinstance(value, str) else json.dumps(value))
+        return records.read_named_document(spark, str(path), name, **kw).first()
+
+    sha = "a" * 64
+    good = {
+        "snapshot": {"schema_version": 1, "id": "x", "complete": True, "assets": [{"id": f"sha256:{sha}", "sha256": sha, "bytes": 1, "locations": [{"path": "p", "candidate_kind": "other"}]}]},
+        "collection": {"schema_version": 1, "name": "n", "items": [{"source": "s", "file": "f"}, {"source": "s", "recording": "r"}]},
+        "manifest": {"schema_version": 1, "title": "t", "resources": [{"id": "r", "assets": [{"name": "n"}]}]},
+        "cleanup_manifest": {"schema_version": 1, "cleanup_id": "c", "library_id": LIBRARY, "plan_digest": sha, "entries": [{"path": "p", "disposition": "move"}]},
+        "purge_manifest": {"schema_version": 2, "cleanup_id": "c", "library_id": LIBRARY, "plan_digest": sha, "files": [], "archive_groups": [{"path": "a"}]},
+        "mark_export": {"schema_version": 1, "kind": "bookmarks", "library_id": LIBRARY, "bookmarks": [{"id": "m", "asset_id": "a"}]},
+        "declaration": {"schema": "s", "narration_id": "n", "recordings": [{"source_id": "a"}, {"source_id": "b"}]},
+    }
+    for name, value in good.items():
+        assert read(name, value) is not None
+        with pytest.raises(ValueError):
+            read(name, {**value, "other": 1})
+        with pytest.raises(ValueError):
+            read(name, json.dumps(value) + "{}")
+    raw = json.dumps(good["purge_manifest"])
+    assert read("purge_manifest", raw, sha256=hashlib.sha256(raw.encode()).hexdigest()).schema_version == 2
+    with pytest.raises(ValueError):
+        read("purge_manifest", raw, sha256=sha)
+    for name, change in (("purge_manifest", {"schema_version": 1}), ("purge_manifest", {"schema_version": 3}), ("collection", {"items": []}), ("collection", {"items": [{"source": "s", "file": "f", "recording": "r"}]}),
+                         ("collection", {"items": [{"source": "s", "file": "f"}] * 2}), ("snapshot", {"assets": [{"id": "x", "sha256": sha, "locations": []}]}), ("declaration", {"recordings": [{"source_id": "a"}]}), ("cleanup_manifest", {"entries": [{"disposition": "burn"}]})):
+        with pytest.raises(Exception):  # noqa: B017
+            read(name, {**good[name], **change})
+
+
+def test_short_and_odd_pages_are_refused(spark):
+    from shelfmark.sources import providers
+
+    def df(*texts):
+        return spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+
+    page = '{"size":%d,"entries":[{"key":"/books/OL1M"},{"key":"/books/OL2M"}]}'
+    assert providers.editions(df(page % 2), "k", "t", F.lit(0), 50).count() == providers.editions(df(page % 9), "k", "t", F.lit(4), 2).count() == 2
+    for size, offset, limit in ((3, 0, 50), (1, 0, 50), (2, 1, 50)):
+        with pytest.raises(Exception):  # noqa: B017
+            providers.editions(df(page % size), "k", "t", F.lit(offset), limit).select("id").collect()
+    with pytest.raises(Exception):  # noqa: B017
+        providers.editions(df("{}"), "k", "t", F.lit(0), 50).collect()
+    assert providers.bitstreams(df("{}", None, '{"bitstreams":[]}'), "k", "t").count() == 0
+    assert providers.project_sections(df('{"books":[]}', "x", None), "k", "t").count() == 0
+    assert providers.latest_version(df("<a/>", "<a><IsTruncated>false</IsTruncated></a>"), "k", "t").count() == 0
