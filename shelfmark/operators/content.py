@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import text as texts
 from shelfmark.operators.structure import bind_references, unit_views
-from shelfmark.sources import containers
+from shelfmark.session import cut
+from shelfmark.sources import containers, pdf
 
 #: Representations and the operations each has.
 REPRESENTATIONS = {
     "epub-text/2": ("units", "read", "locate"), "epub-text/1": ("units", "read"), "epub-structure/1": ("units", "read", "resource"), "epub-source/1": ("read",),
+    "pdf-text/1": ("units", "read", "locate"),
     "epub-nav/1": ("units",), "epub-page-list/1": ("units",), "mpeg-audio/1": ("units",), "mp4-audio/1": ("units",), "mp4-packets/1": ("units",),
 }
-TEXTS = ("epub-text/2",)
+#: Text representations, in the order in which they are tried.
+TEXTS = ("epub-text/2", "pdf-text/1")
 
 
 def capabilities(spark: SparkSession) -> DataFrame:
@@ -61,10 +64,23 @@ def _listed(read: Callable[[DataFrame], DataFrame], number: str) -> Callable[[Da
     return lambda files: read(files).withColumnRenamed(number, "unit")
 
 
+def _pages(files: DataFrame) -> DataFrame:
+    """Pages of PDF files as documents; ``unit`` counts from 1."""
+    p = pdf.pdf_pages(files)
+    gaps = F.transform("gaps", lambda g: F.struct(g["kind"].alias("kind"), g["at"].alias("at"), g["detail"].alias("alt")))
+    return p.select("path", (F.col("page") + 1).alias("unit"), "label", "text", gaps.alias("gaps"), "n_images", "finding")
+
+
+def _page_units(files: DataFrame) -> DataFrame:
+    p = _pages(files)
+    status = F.when(F.col("finding").isNotNull(), "unreadable").when(F.size("gaps") > 0, "text_with_gaps").otherwise("text")
+    return p.select("path", "unit", "label", F.octet_length("text").cast("long").alias("bytes"), status.alias("status"), F.size("gaps").alias("n_gaps"), "n_images", "finding")
+
+
 _UNITS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "epub-text/2": _text_units, "epub-text/1": _strict_units, "epub-structure/1": _structure_units, "epub-nav/1": _listed(containers.epub_navigation, "ord"),
     "epub-page-list/1": _listed(containers.epub_page_lists, "ord"), "mpeg-audio/1": _listed(containers.mp3_frames, "frame_no"), "mp4-audio/1": _listed(containers.mp4_boxes, "ord"),
-    "mp4-packets/1": _listed(containers.mp4_packets, "packet_no"),
+    "pdf-text/1": _page_units, "mp4-packets/1": _listed(containers.mp4_packets, "packet_no"),
 }
 
 
@@ -92,10 +108,13 @@ def read(files: DataFrame, representation: str, unit: int, start: int, limit: in
     _check(representation, "read")
     if representation == "epub-source/1":
         d = containers.epub_documents(files).filter("finding IS NULL").withColumnsRenamed({"ord": "unit", "markup": "text"}).withColumn("gaps", F.expr("CAST(array() AS array<struct<kind:string,at:bigint,alt:string>>)"))
+    elif representation == "pdf-text/1":
+        d = _pages(files).filter("finding IS NULL")
     else:
         d = _documents(files).filter("finding IS NULL")
         if representation == "epub-text/1":
             d = d.withColumn("text", F.when(F.size("gaps") == 0, F.col("text")))
+    d = cut(d.select("path", "unit", "text", "gaps"))  # containers are read once
     last = d.groupBy("path").agg(F.max("unit").alias("last_unit"))
     r = d.filter(F.col("unit") == unit).select("path", "unit", texts.read_range("text", start, limit, "gaps").alias("r")).join(last, "path")
     ended = F.coalesce(F.col("r.end_of_unit"), F.lit(False))
@@ -108,7 +127,7 @@ def read(files: DataFrame, representation: str, unit: int, start: int, limit: in
 def locate(files: DataFrame, representation: str, needle: str) -> DataFrame:
     """Occurrences of a literal in the units of each asset: ``path, unit, start_byte, end_byte``."""
     _check(representation, "locate")
-    d = _documents(files).filter("finding IS NULL").select(F.struct("path", "unit").alias("doc"), "text")
+    d = (_pages if representation == "pdf-text/1" else _documents)(files).filter("finding IS NULL").select(F.struct("path", "unit").alias("doc"), "text")
     return texts.locate(d, "doc", "text", needle).select("doc.path", "doc.unit", "start_byte", "end_byte")
 
 
@@ -124,9 +143,10 @@ def parts(files: DataFrame, asset: Column | None = None) -> DataFrame:
 
 def text_units(files: DataFrame) -> DataFrame:
     """Units of each asset in the first text representation that reads it; an asset that none reads has one row with its finding."""
-    out = None
+    out, left = None, files
     for name in TEXTS:
-        u = units(files, name).withColumn("representation", F.lit(name))
+        u = units(left, name).withColumn("representation", F.lit(name))
         good = u.filter("finding IS NULL")
-        out = u if out is None else out.join(good.select("path").distinct(), "path", "left_anti").unionByName(u, allowMissingColumns=True)
-    return out
+        out = good if out is None else out.unionByName(good, allowMissingColumns=True)
+        left = left.join(good.select("path").distinct(), "path", "left_anti")
+    return out.unionByName(u.filter("finding IS NOT NULL").select("path", "finding"), allowMissingColumns=True)

@@ -207,6 +207,20 @@ def page_labels(pages: DataFrame, ranges: DataFrame, doc: str, index: str) -> Da
     return j.select(doc, index, F.concat(F.coalesce("rule.prefix", F.lit("")), text).alias("label"))
 
 
+def printed_number(style: str, n: int) -> str:
+    """A page number in a style of PDF labels: D decimal, R and r roman, A and a letters; empty for any other."""
+    if style in ("R", "r"):
+        out = ""
+        rest = n
+        for value, mark in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out, rest = out + mark * (rest // value), rest % value
+        out = out if 1 <= n <= 3999 else str(n)
+        return out.upper() if style == "R" else out
+    if style in ("A", "a"):
+        return chr((65 if style == "A" else 97) + (n - 1) % 26) * ((n - 1) // 26 + 1) if 1 <= n <= 2600 else str(n)
+    return str(n) if style == "D" else ""
+
+
 def greedy_ranges(frames: DataFrame, key: str, order: str, size: str, limit: int) -> DataFrame:
     """Consecutive items packed into ranges of at most ``limit`` bytes: ``key, range_no, first, last, bytes``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators import content, library
-from shelfmark.sources import containers, packing, sinks
+from shelfmark.sources import containers, packing, pdf, sinks
 from shelfmark.session import table
 
 
@@ -82,8 +82,40 @@ def content_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of the books in the first representation that reads each, beside files that are none."""
     books = _books(spark, sf_dir)
     other = table(spark, sf_dir, "part").select(F.concat(F.lit("-"), "p_partkey").alias("path"), F.encode("p_name", "UTF-8").alias("content"))
-    u = content.text_units(books.unionByName(other))
-    return _id(u).groupBy("doc_id").agg(F.count("unit").alias("units"), F.bool_or(F.col("finding").isNotNull()).alias("unread"))
+    papers = _papers(spark, sf_dir).withColumn("path", F.concat(F.lit("1000000000"), "path"))
+    u = content.text_units(books.unionByName(other).unionByName(papers))
+    return _id(u).groupBy("doc_id").agg(F.count("unit").alias("units"), F.max("representation").alias("representation"), F.bool_or(F.col("finding").isNotNull()).alias("unread"))
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a PDF of three pages: its text (a line for each word), its language with an image, and nothing."""
+
+    def pack(text: str | None, lang: str | None) -> bytes:
+        return packing.pdf_of(["\n".join((text or "").split()), lang or "", ""], [(0, "r", "", 3), (1, "D", "B-", 1)], 1)
+
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id", pack)
+
+
+def pdf_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a PDF of every document, with printed labels and gaps."""
+    u = content.units(_papers(spark, sf_dir), "pdf-text/1")
+    return _id(u).select("doc_id", "unit", "label", "bytes", "status", "n_gaps", "n_images")
+
+
+def pdf_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of the second page of every PDF, and its gaps."""
+    r = _id(content.read(_papers(spark, sf_dir), "pdf-text/1", 2, 0, 4096))
+    return r.select("doc_id", "status", "text", F.array_join(F.transform("gaps", lambda g: F.concat_ws("@", g["kind"], g["at"].cast("string"))), ",").alias("gaps"), F.col("next_unit").cast("long").alias("next_unit"))
+
+
+def pdf_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of a word that ends a line in the pages of every PDF."""
+    return _id(content.locate(_papers(spark, sf_dir), "pdf-text/1", "the\n")).groupBy("doc_id", "unit").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pdf_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version, pages and labels of every PDF."""
+    return _id(pdf.pdf_facts(_papers(spark, sf_dir))).select("doc_id", "version", "pages", "labelled", F.size("active").alias("active"))
 
 
 def content_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +156,22 @@ def mp3_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("track_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"), F.sum("samples").cast("long").alias("samples"))
 
 
+def chapter_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of an MP3 and an MP4 file for every track: as many as its number, modulo four, asks for."""
+
+    def mp3(no: int | None) -> bytes:
+        n = (no or 0) % 4
+        return packing.mp3_of(2, 9, 0, packing.id3_chapters([(f"ch{k}", 1000 * k, 1000 * k + 500, f"Título {k}") for k in range(n)]))
+
+    def mp4(no: int | None) -> bytes:
+        return packing.mp4_of([5], 1024, 1, 0, [(1000 * k, f"Título {k}") for k in range((no or 0) % 4)])
+
+    t = table(spark, sf_dir, "audio_tracks").select("track_id", "track_no")
+    a = _id(containers.mp3_chapters(packing.packed(t, "track_id", mp3)), "track_id").select("track_id", F.lit("mp3").alias("file"), F.col("ord").alias("chapter_no"), "start_ms", "end_ms", "title")
+    b = _id(containers.mp4_chapters(packing.packed(t, "track_id", mp4)), "track_id").select("track_id", F.lit("mp4").alias("file"), F.col("ord").alias("chapter_no"), "start_ms", F.lit(None).cast("long").alias("end_ms"), "title")
+    return a.unionByName(b)
+
+
 def mp4_packet_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of an MP4 file for every track."""
 
@@ -174,14 +222,16 @@ def reading_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("resource_no", sinks.reading_list_line("title", "authors", "landing_url").alias("line"))
 
 
-_NAMES = (epub_units, epub_strict_units, epub_contents, epub_pages, epub_declared, epub_covers, epub_ranges, epub_located, epub_text_ids, epub_parts, content_fallback, content_capabilities, zip_listing,
-          nested_archives, mp3_listing, mp4_packet_listing, mp4_box_listing, recovery_set_report, wav_heads, reading_list)
+_NAMES = (epub_units, epub_strict_units, epub_contents, epub_pages, epub_declared, epub_covers, epub_ranges, epub_located, epub_text_ids, epub_parts, content_fallback, content_capabilities, pdf_units, pdf_ranges, pdf_located, pdf_facts, zip_listing,
+          nested_archives, mp3_listing, chapter_marks, mp4_packet_listing, mp4_box_listing, recovery_set_report, wav_heads, reading_list)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: The documents with what XML does not allow taken out, their words joined by blanks, and that as the text of the first unit.
 _READ = rf"""WITH d AS (SELECT *, regexp_replace(coalesce(text, ''), '[\x{{00}}-\x{{08}}\x{{0B}}\x{{0C}}\x{{0E}}-\x{{1F}}\x{{FFFE}}\x{{FFFF}}]', '', 'g') AS x FROM documents),
 w AS (SELECT *, trim(regexp_replace(x, '{_SPACE}+', ' ', 'g')) AS plain FROM d), u AS (SELECT *, CASE WHEN plain = '' THEN 'One' ELSE 'One' || chr(10) || plain END AS first FROM w)"""
+#: The words of the documents, a line for each.
+_WORDS = r"""WITH p AS (SELECT doc_id, lang, array_to_string(list_filter(string_split_regex(coalesce(text, ''), '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> ''), chr(10)) AS lines FROM documents)"""
 _BYTES64 = "list_max(list_filter(range(0, 65), lambda k: strlen(left(first, k)) <= 64))"
 
 SQL = {
@@ -201,9 +251,15 @@ SQL = {
     "epub_parts": f"""{_READ}, p AS (SELECT doc_id, 1 AS unit, 1 AS part, 'h1' AS kind, 'One' AS t, 0 AS s, 3 AS e FROM u UNION ALL SELECT doc_id, 1, 2, 'p', plain, 4, 4 + strlen(plain) FROM u WHERE plain <> ''
         UNION ALL SELECT doc_id, 2, 1, 'p', lang, 0, strlen(lang) FROM u WHERE lang IS NOT NULL AND lang <> '')
         SELECT doc_id, unit, part, kind, sha256(t) AS sha256, rtrim(replace(replace(to_base64(encode('{{"asset":"' || doc_id || '","end":' || e || ',"member":"OPS/c' || unit || '.xhtml","part":' || part || ',"representation":"epub-structure/1","start":' || s || ',"unit":' || unit || '}}')), '+', '-'), '/', '_'), '=') AS reference FROM p""",
-    "content_fallback": "SELECT doc_id, CAST(2 AS BIGINT) AS units, false AS unread FROM documents UNION ALL SELECT -p_partkey, 0, true FROM part",
-    "content_capabilities": """SELECT unnest(['epub-text/2', 'epub-text/2', 'epub-text/2', 'epub-text/1', 'epub-text/1', 'epub-structure/1', 'epub-structure/1', 'epub-structure/1', 'epub-source/1', 'epub-nav/1', 'epub-page-list/1', 'mpeg-audio/1', 'mp4-audio/1', 'mp4-packets/1']) AS representation,
-        unnest(['units', 'read', 'locate', 'units', 'read', 'units', 'read', 'resource', 'read', 'units', 'units', 'units', 'units', 'units']) AS operation""",
+    "content_fallback": """SELECT doc_id, CAST(2 AS BIGINT) AS units, 'epub-text/2' AS representation, false AS unread FROM documents UNION ALL SELECT -p_partkey, 0, NULL, true FROM part
+        UNION ALL SELECT CAST('1000000000' || doc_id AS BIGINT), 3, 'pdf-text/1', false FROM documents""",
+    "pdf_units": f"""{_WORDS} SELECT doc_id, 1 AS unit, 'iii' AS label, strlen(lines) AS bytes, CASE WHEN lines = '' THEN 'text_with_gaps' ELSE 'text' END AS status, CASE WHEN lines = '' THEN 1 ELSE 0 END AS n_gaps, 0 AS n_images FROM p
+        UNION ALL SELECT doc_id, 2, 'B-1', strlen(coalesce(lang, '')), 'text_with_gaps', CASE WHEN lang IS NULL THEN 2 ELSE 1 END, 1 FROM p UNION ALL SELECT doc_id, 3, 'B-2', 0, 'text_with_gaps', 1, 0 FROM p""",
+    "pdf_ranges": "SELECT doc_id, 'complete_range' AS status, coalesce(lang, '') AS text, CASE WHEN lang IS NULL THEN 'image@0,no_text_layer@0' ELSE 'image@' || strlen(lang) END AS gaps, CAST(3 AS BIGINT) AS next_unit FROM documents",
+    "pdf_located": f"""{_WORDS} SELECT doc_id, 1 AS unit, CAST(len(string_split(lines, 'the' || chr(10))) - 1 AS BIGINT) AS n FROM p WHERE contains(lines, 'the' || chr(10))""",
+    "pdf_facts": "SELECT doc_id, '1.7' AS version, 3 AS pages, true AS labelled, 0 AS active FROM documents",
+    "content_capabilities": """SELECT unnest(['epub-text/2', 'epub-text/2', 'epub-text/2', 'epub-text/1', 'epub-text/1', 'epub-structure/1', 'epub-structure/1', 'epub-structure/1', 'epub-source/1', 'pdf-text/1', 'pdf-text/1', 'pdf-text/1', 'epub-nav/1', 'epub-page-list/1', 'mpeg-audio/1', 'mp4-audio/1', 'mp4-packets/1']) AS representation,
+        unnest(['units', 'read', 'locate', 'units', 'read', 'units', 'read', 'resource', 'read', 'units', 'read', 'locate', 'units', 'units', 'units', 'units', 'units']) AS operation""",
     "zip_listing": """SELECT doc_id, 1 AS member_no, 'text.txt' AS name, strlen(coalesce(text, '')) AS bytes, 'ok' AS disposition FROM documents UNION ALL SELECT doc_id, 2, 'dir/lang.txt', strlen(coalesce(lang, '')), 'ok' FROM documents
         UNION ALL SELECT doc_id, 3, '../up.txt', 1, 'unsafe_name' FROM documents""",
     "nested_archives": """WITH n AS (SELECT * FROM (VALUES (1, 'level1.zip', 'archive'), (2, 'level1.zip!/level2.zip', 'archive'), (2, 'level1.zip!/lang.txt', 'ok'), (3, 'level1.zip!/level2.zip!/level3.zip', 'archive'), (3, 'level1.zip!/level2.zip!/lang.txt', 'ok'),
@@ -212,6 +268,8 @@ SQL = {
     "mp3_listing": """WITH t AS (SELECT track_id, coalesce(track_no, 0) % 7 + 2 AS f, coalesce(channels = 2, false) AS broken, strlen(coalesce(recording_id, '')) AS tag FROM audio_tracks)
         SELECT track_id, 'frame' AS kind, CAST(f - CASE WHEN broken THEN 1 ELSE 0 END AS BIGINT) AS n, CAST(417 * (f - CASE WHEN broken THEN 1 ELSE 0 END) AS BIGINT) AS bytes, CAST(1152 * (f - CASE WHEN broken THEN 1 ELSE 0 END) AS BIGINT) AS samples FROM t
         UNION ALL SELECT track_id, 'gap', 1, 421, NULL FROM t WHERE broken UNION ALL SELECT track_id, 'id3v2', 1, tag + 10, NULL FROM t WHERE tag > 0""",
+    "chapter_marks": """WITH t AS (SELECT track_id, unnest(range(0, coalesce(track_no, 0) % 4)) AS k FROM audio_tracks) SELECT track_id, 'mp3' AS file, CAST(k + 1 AS INTEGER) AS chapter_no, 1000 * k AS start_ms, 1000 * k + 500 AS end_ms, 'Título ' || k AS title FROM t
+        UNION ALL SELECT track_id, 'mp4', k + 1, 1000 * k, NULL, 'Título ' || k FROM t""",
     "mp4_packet_listing": """WITH t AS (SELECT track_id, unnest(range(0, coalesce(track_no, 0) % 5 + 1)) AS k FROM audio_tracks)
         SELECT track_id, CAST(k + 1 AS INTEGER) AS packet_no, 100 + 5 * k * (k - 1) + 7 * k AS at, 10 * k + 7 AS length, 1024 * k AS start_ticks FROM t""",
     "mp4_box_listing": """SELECT unnest(['/ftyp', '/moov', '/moov/trak', '/moov/trak/mdia', '/moov/trak/mdia/minf', '/moov/trak/mdia/minf/stbl', '/moov/trak/mdia/minf/stbl/stsz', '/moov/trak/mdia/minf/stbl/stts', '/moov/trak/mdia/minf/stbl/stsc', '/moov/trak/mdia/minf/stbl/stco']) AS box,

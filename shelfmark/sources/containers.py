@@ -240,8 +240,12 @@ def epub_cover(files: DataFrame) -> DataFrame:
 
 # MP3 ---------------------------------------------------------------------------------------------------------------
 
-#: Bit rates in kbit/s of MPEG 1 and 2 layer III, and sample rates (fixed values).
-_RATES = {1: (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
+#: Bit rates in kbit/s by MPEG version (1, and 2 for 2 and 2.5) and layer, and sample rates (fixed values).
+_RATES = {
+    (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448), (1, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (1, 3): (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), (2, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160), (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
 _SAMPLES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
 
@@ -250,17 +254,23 @@ def _syncsafe(b: bytes) -> int:
 
 
 def mp3_frames(files: DataFrame) -> DataFrame:
-    """Frames, tags and gaps of MP3 files: kind, place, length, bit rate, sample rate, samples."""
+    """Frames, tags and gaps of MPEG audio files of all layers: kind, place, length, bit rate, sample rate, samples.
+
+    A first frame that only describes the stream (Xing, Info or VBRI) is of kind ``info`` and counts no samples.
+    """
 
     def frame(b: bytes, at: int) -> tuple | None:
         if at + 4 > len(b):
             return None
         h = int.from_bytes(b[at : at + 4], "big")
         version, layer, rate, sample = h >> 19 & 3, h >> 17 & 3, h >> 12 & 15, h >> 10 & 3
-        if h >> 21 != 0x7FF or layer != 1 or version == 1 or rate in (0, 15) or sample == 3:
+        if h >> 21 != 0x7FF or layer == 0 or version == 1 or rate in (0, 15) or sample == 3:
             return None
-        kbit, hz = _RATES[1 if version == 3 else 2][rate], _SAMPLES[version][sample]
-        samples = 1152 if version == 3 else 576
+        layer = 4 - layer
+        kbit, hz = _RATES[1 if version == 3 else 2, layer][rate], _SAMPLES[version][sample]
+        samples = 384 if layer == 1 else 1152 if version == 3 or layer == 2 else 576
+        if layer == 1:
+            return (12 * kbit * 1000 // hz + (h >> 9 & 1)) * 4, kbit, hz, samples
         return samples // 8 * kbit * 1000 // hz + (h >> 9 & 1), kbit, hz, samples
 
     def parse(b: bytes) -> Iterator[tuple]:
@@ -279,6 +289,10 @@ def mp3_frames(files: DataFrame) -> DataFrame:
                 if gap is not None:
                     yield n, "gap", gap, at - gap, None, None, None
                     gap = None
+                if n == 0 and (b[at + 36 : at + 40] == b"VBRI" or any(m in b[at + 4 : at + 40] for m in (b"Xing", b"Info"))):
+                    yield n, "info", at, min(f[0], end - at), f[1], f[2], None
+                    at += f[0]
+                    continue
                 n += 1
                 whole = at + f[0] <= end
                 yield n, "frame" if whole else "truncated", at, min(f[0], end - at), f[1], f[2], f[3]
@@ -292,6 +306,37 @@ def mp3_frames(files: DataFrame) -> DataFrame:
     return _rows(files, parse, "frame_no int, kind string, at long, length long, kbit int, hz int, samples int")
 
 
+def mp3_chapters(files: DataFrame) -> DataFrame:
+    """Chapters of the ID3 tag of MPEG audio files: ``ord, id, start_ms, end_ms, title``; a file without has none."""
+
+    def text(b: bytes) -> str:
+        kinds = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
+        return b[1:].decode(kinds.get(b[0] if b else 0, "latin-1"), "replace").split("\0")[0]
+
+    def fields(b: bytes, wide: bool) -> Iterator[tuple[bytes, bytes]]:
+        at = 0
+        while at + 10 <= len(b) and b[at : at + 4].strip(b"\0"):
+            size = _syncsafe(b[at + 4 : at + 8]) if wide else int.from_bytes(b[at + 4 : at + 8], "big")
+            if size <= 0 or at + 10 + size > len(b):
+                raise ValueError("an ID3 field leaves its tag")
+            yield b[at : at + 4], b[at + 10 : at + 10 + size]
+            at += 10 + size
+
+    def parse(b: bytes) -> Iterator[tuple]:
+        if b[:3] != b"ID3" or b[3] not in (3, 4):
+            return
+        n, wide = 0, b[3] == 4
+        for kind, body in fields(b[10 : 10 + _syncsafe(b[6:10])], wide):
+            if kind == b"CHAP":
+                ident, _, rest = body.partition(b"\0")
+                start, end = struct.unpack_from(">II", rest)
+                title = next((text(x) for k, x in fields(rest[16:], wide) if k == b"TIT2"), None)
+                n += 1
+                yield n, ident.decode("latin-1"), start, end, title
+
+    return _rows(files, parse, "ord int, id string, start_ms long, end_ms long, title string")
+
+
 # MP4 ---------------------------------------------------------------------------------------------------------------
 
 _NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"udta", b"edts"}
@@ -360,6 +405,24 @@ def mp4_packets(files: DataFrame) -> DataFrame:
     return _rows(files, parse, "packet_no int, at long, length long, start_ticks long, ticks long")
 
 
+def mp4_chapters(files: DataFrame) -> DataFrame:
+    """Chapters of the chapter list of MP4 files: ``ord, start_ms, title``; starts are stored in units of 100 ns."""
+
+    def parse(b: bytes) -> Iterator[tuple]:
+        for path, at, end in _boxes(b, 0, len(b), ""):
+            if path == "/moov/udta/chpl":
+                version, count = b[at], b[at + 8 if b[at] else at + 4]
+                at += 9 if version else 5
+                for n in range(1, count + 1):
+                    start, size = struct.unpack_from(">QB", b, at)
+                    if at + 9 + size > end:
+                        raise ValueError("a chapter leaves its list")
+                    yield n, start // 10_000, b[at + 9 : at + 9 + size].decode("utf-8", "replace")
+                    at += 9 + size
+
+    return _rows(files, parse, "ord int, start_ms long, title string")
+
+
 # recovery packets --------------------------------------------------------------------------------------------------
 
 _MAGIC = b"PAR2\x00PKT"

@@ -11,6 +11,7 @@ import io
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape, quoteattr
 
@@ -64,12 +65,19 @@ def mp3_of(frames: int, rate_index: int = 9, gap_after: int = 0, tag: bytes = b"
     return head + b"".join(frame + (b"junk" if k == gap_after else b"") for k in range(1, frames + 1))
 
 
+def id3_chapters(chapters: list[tuple[str, int, int, str]]) -> bytes:
+    """The fields of an ID3 tag (version 4) for chapters ``(id, start, end, title)``."""
+    size = lambda n: bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127])
+    field = lambda kind, body: kind + size(len(body)) + b"\0\0" + body
+    return b"".join(field(b"CHAP", i.encode("latin-1") + b"\0" + struct.pack(">IIII", a, z, 0xFFFFFFFF, 0xFFFFFFFF) + field(b"TIT2", b"\x03" + t.encode())) for i, a, z, t in chapters)
+
+
 def _box(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I4s", 8 + len(body), kind) + body
 
 
-def mp4_of(sizes: list[int], ticks: int, a_chunk: int, start: int) -> bytes:
-    """The tables of an MP4 audio track: packets of ``sizes`` and ``ticks`` each, ``a_chunk`` to a chunk, beginning at ``start``."""
+def mp4_of(sizes: list[int], ticks: int, a_chunk: int, start: int, chapters: list[tuple[int, str]] | None = None) -> bytes:
+    """The tables of an MP4 audio track: packets of ``sizes`` and ``ticks`` each, ``a_chunk`` to a chunk, beginning at ``start``; a list of chapters ``(start in ms, title)``."""
     full = lambda *n: struct.pack(f">{len(n) + 1}I", 0, *n)
     chunks = [sizes[k : k + a_chunk] for k in range(0, len(sizes), a_chunk)]
     places, at = [], start
@@ -80,7 +88,9 @@ def mp4_of(sizes: list[int], ticks: int, a_chunk: int, start: int) -> bytes:
     if len(chunks) == 1:
         rule = [(1, len(sizes), 1)]
     stbl = _box(b"stsz", full(0, len(sizes), *sizes)) + _box(b"stts", full(1, len(sizes), ticks)) + _box(b"stsc", full(len(rule), *[x for r in rule for x in r])) + _box(b"stco", full(len(places), *places))
-    return _box(b"ftyp", b"M4A \0\0\0\0") + _box(b"moov", _box(b"trak", _box(b"mdia", _box(b"minf", _box(b"stbl", stbl)))))
+    listed = b"".join(struct.pack(">QB", ms * 10_000, len(t.encode())) + t.encode() for ms, t in chapters or [])
+    marks = b"" if chapters is None else _box(b"udta", _box(b"chpl", b"\1\0\0\0" + bytes(4) + bytes([len(chapters)]) + listed))
+    return _box(b"ftyp", b"M4A \0\0\0\0") + _box(b"moov", _box(b"trak", _box(b"mdia", _box(b"minf", _box(b"stbl", stbl)))) + marks)
 
 
 def recovery_of(set_id: bytes, packets: list[tuple[str, bytes]]) -> bytes:
@@ -94,6 +104,46 @@ def recovery_of(set_id: bytes, packets: list[tuple[str, bytes]]) -> bytes:
     return b"".join(out)
 
 
+def pdf_of(pages: list[str], labels: list[tuple[int, str, str, int]] | None = None, image_on: int = -1) -> bytes:
+    """A PDF of text pages. Characters are written as codes of a font whose ToUnicode map names them, a line for each line of the text.
+
+    ``labels`` are ``(first page, style, prefix, start)``; the page ``image_on`` draws an image at its end.
+    """
+    letters = sorted({c for p in pages for c in p if c not in "\n"})
+    code = {c: k + 1 for k, c in enumerate(letters)}
+    chars = [f"<{k:04x}> <{c.encode('utf-16-be').hex()}>" for c, k in code.items()]
+    maps = "".join(f"{len(chars[k : k + 100])} beginbfchar\n" + "\n".join(chars[k : k + 100]) + "\nendbfchar\n" for k in range(0, len(chars), 100))
+    cmap = f"/CIDInit /ProcSet findresource begin begincmap 1 begincodespacerange <0000> <ffff> endcodespacerange\n{maps}endcmap end".encode()
+    objects: list[bytes] = []
+
+    def put(body: bytes) -> int:
+        objects.append(body)
+        return len(objects)
+
+    def stream(data: bytes, more: str = "") -> int:
+        z = zlib.compress(data)
+        return put(f"<</Length {len(z)}/Filter/FlateDecode{more}>>stream\n".encode() + z + b"\nendstream")
+
+    to = stream(cmap)
+    font = put(f"<</Type/Font/Subtype/Type0/BaseFont/F/Encoding/Identity-H/ToUnicode {to} 0 R/DescendantFonts[]>>".encode())
+    image = stream(b"\0", "/Type/XObject/Subtype/Image/Width 1/Height 1/BitsPerComponent 8/ColorSpace/DeviceGray")
+    tree = len(objects) + 2 * len(pages) + 1
+    kids = []
+    for k, p in enumerate(pages):
+        lines = [f"<{''.join(f'{code[c]:04x}' for c in line)}> Tj" for line in p.split("\n")]
+        content = stream(("BT /F 12 Tf 72 720 Td " + " 0 -14 Td ".join(lines) + " ET" + (" /I Do" if k == image_on else "")).encode())
+        kids.append(put(f"<</Type/Page/Parent {tree} 0 R/Contents {content} 0 R>>".encode()))
+    put(f"<</Type/Pages/Count {len(pages)}/Kids[{' '.join(f'{k} 0 R' for k in kids)}]/Resources<</Font<</F {font} 0 R>>/XObject<</I {image} 0 R>>>>>>".encode())
+    rules = "" if labels is None else "/PageLabels<</Nums[" + " ".join(f"{at}<</S/{style}/P({prefix})/St {start}>>" for at, style, prefix, start in labels) + "]>>"
+    root = put(f"<</Type/Catalog/Pages {tree} 0 R{rules}>>".encode())
+    out, places = b"%PDF-1.7\n", []
+    for n, body in enumerate(objects, 1):
+        places.append(len(out))
+        out += f"{n} 0 obj\n".encode() + body + b"\nendobj\n"
+    table = f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n" + "".join(f"{p:010d} 00000 n \n" for p in places)
+    return out + table.encode() + f"trailer<</Size {len(objects) + 1}/Root {root} 0 R>>\nstartxref\n{len(out)}\n%%EOF".encode()
+
+
 def packed(rows: DataFrame, key: str, pack: Callable[..., bytes]) -> DataFrame:
     """``path, content`` of a container for each row: ``path`` is the key, ``pack`` gets the other columns in their order."""
 

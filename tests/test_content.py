@@ -122,7 +122,7 @@ def test_page_lists_and_budgets(spark):
     with pytest.raises(ValueError):
         content.units(f, "epub-source/1")
     with pytest.raises(ValueError):
-        content.units(f, "pdf-text/1")
+        content.units(f, "docx/1")
     assert content.read(files.filter("path = 'one'"), "epub-source/1", 1, 0, 64).first().text.startswith("<html")
 
 
@@ -212,3 +212,60 @@ def test_store_and_escapes(spark, tmp_path):
     root = f"file://{tmp_path}/store"
     assert sinks.store_by_content(files, root).count() == sinks.store_by_content(files, root).count() == 1
     assert spark.read.parquet(root).count() == 1
+
+
+SIMPLE = b"""%PDF-1.4
+1 0 obj <</Type/Catalog/Pages 2 0 R/OpenAction 9 0 R>> endobj
+2 0 obj <</Type/Pages/Kids[3 0 R 2 0 R]/Count 1>> endobj
+3 0 obj <</Type/Page/Parent 2 0 R/Resources<</Font<</F1 4 0 R>>/XObject<</X 6 0 R>>>>/Contents [5 0 R 7 0 R]>> endobj
+4 0 obj <</Type/Font/Subtype/Type1/Encoding<</BaseEncoding/WinAnsiEncoding/Differences[1/fi/eacute/zzz 65/B]>>>> endobj
+5 0 obj <</Length 300>>stream
+BT /F1 12 Tf 1 0 0 1 72 700 Tm (A\\(x\\)\\001\\002\\003 (in) ) Tj [(Wo)-20(rd)-300(gap)] TJ T* (next) ' ET /X Do
+BI /W 1 /H 1 ID x EI BT (after) Tj ET
+endstream endobj
+6 0 obj <</Subtype/Form/Resources<</Font<</F1 4 0 R>>>>/Length 40>>stream
+BT /F1 9 Tf (form) Tj ET /X Do
+endstream endobj
+7 0 obj <</Length 4/Filter/DCTDecode>>stream
+jpeg
+endstream endobj
+trailer <</Root 1 0 R>>"""
+
+
+def test_pdf_pages(spark):
+    import zlib
+
+    from shelfmark.sources import pdf
+
+    first = b"<</Type/Catalog/Pages 2 0 R/PageLabels<</Nums[0<</P(x)>>]>>>> "
+    objects = first + b"<</Type/Pages/Kids[3 0 R]/Count 1>>"
+    head = f"1 0 2 {len(first)} ".encode()
+    z = zlib.compress(head + objects)
+    compact = (b"%PDF-1.5\n3 0 obj <</Type/Page/Contents 5 0 R>> endobj 5 0 obj <</Length 0>>stream\n\nendstream endobj\n" + f"9 0 obj <</Type/ObjStm/N 2/First {len(head)}/Length {len(z)}/Filter/FlateDecode>>stream\n".encode() + z
+               + b"\nendstream endobj\n10 0 obj <</Type/XRef/Root 1 0 R/Length 0>>stream\n\nendstream endobj")
+    files = [("simple", SIMPLE), ("compact", compact), ("locked", SIMPLE.replace(b"trailer <<", b"trailer <</Encrypt 8 0 R")), ("cut", SIMPLE[:150]), ("no", b"text"), ("empty", b"")]
+    df = spark.createDataFrame([(n, bytearray(b)) for n, b in files], "path string, content binary")
+    rows = {r.path: r for r in pdf.pdf_pages(df).collect()}
+    simple = rows["simple"]
+    assert simple.text == "B(x)fié (in) Word gap\nnext\nform\nafter" and simple.n_images == 1 and simple.label is None
+    assert [(g.kind, g.detail) for g in simple.gaps] == [("unmapped_code", None), ("image", "inline"), ("unreadable_stream", "filter DCTDecode")]
+    assert rows["compact"].label == "x" and [g.kind for g in rows["compact"].gaps] == ["no_text_layer"]
+    assert all(rows[n].finding for n in ("locked", "no", "empty")) and rows["simple"].finding is None
+    assert {r.path: (r.version, r.pages, r.active) for r in pdf.pdf_facts(df).filter("finding IS NULL").collect()}["simple"] == ("1.4", 1, ["open_action"])
+    assert [pdf.glyph(n) for n in ("eacute", "Scaron", "ccedilla", "uni4E00", "u1F600", "a", "zzz", "fl.alt")] == ["é", "Š", "ç", "一", "😀", "a", None, "fl"]
+    rowsize = 3
+    raw = bytes([0, 1, 2, 3, 1, 1, 1, 1, 2, 1, 1, 1, 3, 1, 1, 1, 4, 1, 1, 1])
+    assert pdf._unpredict(raw, {"Columns": rowsize}) == bytes([1, 2, 3, 1, 2, 3, 2, 3, 4, 2, 3, 4, 3, 4, 5])
+
+
+def test_audio_layers_and_info(spark):
+    layer1 = bytes([0xFF, 0xFF, 0x50, 0]) + b"\0" * (12 * 160000 // 44100 * 4 - 4)
+    layer2 = bytes([0xFF, 0xFD, 0x50, 0]) + b"\0" * (144 * 80000 // 44100 - 4)
+    info = bytes([0xFF, 0xFB, 0x90, 0]) + (b"\0" * 32 + b"Info").ljust(413, b"\0")
+    files = spark.createDataFrame([("1", bytearray(layer1 * 3)), ("2", bytearray(layer2 * 3)), ("3", bytearray(info + packing.mp3_of(2)))], "path string, content binary")
+    got = {}
+    for r in containers.mp3_frames(files).orderBy("path", "at").collect():
+        got.setdefault(r.path, []).append((r.kind, r.samples))
+    assert got == {"1": [("frame", 384)] * 3, "2": [("frame", 1152)] * 3, "3": [("info", None), ("frame", 1152), ("frame", 1152)]}
+    bad = packing.mp3_of(2, tag=packing.id3_chapters([("c", 0, 1, "t")])[:-1])
+    assert containers.mp3_chapters(spark.createDataFrame([("x", bytearray(bad)), ("y", bytearray(b"abcd"))], "path string, content binary")).select("path", F.col("finding").isNotNull().alias("f")).collect() == [("x", True)]
