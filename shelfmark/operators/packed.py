@@ -266,11 +266,17 @@ def _hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, t
     hot = right.filter(heavy).select(*keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in added])
     marked = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(spread_by), F.lit(1 << 20))).otherwise(0).cast("long"))
     # a heavy row's last key is not needed any more, so its text is not shuffled
-    marked = marked.withColumn(keys[-1], F.when(F.col("_hot"), "").otherwise(F.col(keys[-1])))
+    if dict(left.dtypes)[keys[-1]] == "string":
+        marked = marked.withColumn(keys[-1], F.when(F.col("_hot"), "").otherwise(F.col(keys[-1])))
     joined = marked.join(right.filter(~heavy).withColumn("_salt", F.lit(0).cast("long")), [*keys, "_salt"], "left")
     return joined.select(*[c for c in left.columns if c not in keys[-1:]], *[F.coalesce(f"_hot_{c}", c).alias(c) for c in added])
 
 
+def _code(item: F.Column) -> list[F.Column]:
+    """A value as two 64-bit codes. The dictionary only weighs values, so it is joined by these and not by their text."""
+    return [F.xxhash64(item).alias("code"), F.xxhash64(F.reverse(item), F.lit(7)).alias("check")]
+
+
 def choose_readings(fields: DataFrame) -> DataFrame:
     """The cheapest reading of each distinct (``field_name``, ``raw``): ``field_name, raw, items array<string>, n_rows``."""
     spark = fields.sparkSession
@@ -279,7 +285,8 @@ def choose_readings(fields: DataFrame) -> DataFrame:
     read = cut(distinct.select("field_name", "raw", "n_rows", "raw_id").mapInArrow(_read, _FIELDS).filter(F.size("items") > 0))
     # the dictionary: how many distinct fields hold a value, the readings of a field sharing its one vote
     votes = read.select("field_name", F.explode(F.arrays_zip(F.flatten("items").alias("item"), F.flatten("votes").alias("vote"))).alias("v"))
-    words = cut(votes.filter("v.vote > 0").groupBy("field_name", F.col("v.item").alias("item")).agg(F.sum("v.vote").alias("held")))
+    votes = votes.filter("v.vote > 0").select("field_name", *_code(F.col("v.item")), "v.vote")
+    words = cut(votes.groupBy("field_name", "code", "check").agg(F.sum("vote").alias("held")))
     totals = {r["field_name"]: r["t"] for r in words.groupBy("field_name").agg(F.sum("held").alias("t")).collect()}
     total = F.lit(1.0)
     for name, t in totals.items():
@@ -287,8 +294,8 @@ def choose_readings(fields: DataFrame) -> DataFrame:
     several = read.filter(F.size("items") > 1)
     each = several.select("field_name", "raw_id", F.posexplode(F.arrays_zip("items", "own", "spelled", "extra")).alias("reading", "r"))
     each = each.select("field_name", "raw_id", "reading", F.explode(F.arrays_zip("r.items", "r.own", "r.spelled", "r.extra")).alias("v"))
-    each = each.select("field_name", "raw_id", "reading", F.col("v.items").alias("item"), "v.own", "v.spelled", "v.extra")
-    scored = _hot_join(each, words, ["field_name", "item"], "held", total, "raw_id")
+    each = each.select("field_name", "raw_id", "reading", *_code(F.col("v.items")), "v.own", "v.spelled", "v.extra")
+    scored = _hot_join(each, words, ["field_name", "code", "check"], "held", total, "raw_id")
     others = F.greatest(F.coalesce("held", F.lit(0.0)) - F.col("own"), F.lit(0.0))
     known = F.when(others > 1e-9, F.log2(total / others) + 1)
     scored = scored.select("raw_id", "reading", (F.least(F.col("spelled"), known) + F.col("extra")).alias("bits"))
