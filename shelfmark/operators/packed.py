@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -53,8 +54,11 @@ SEPARATORS = (
     ("\t", r"\t"),
 )
 _ANY = {name: re.compile(p) for name, p in SEPARATORS}
+#: Separators of one character that need nothing beside them.
+_PLAIN = {";", "；", "|", "•", "\t"}
 
 _MAYBE = re.compile("[;；|/·•\n\r\t\x85\u2028\u2029]")
+_ASCII_LETTERS = (string.ascii_letters + " ").encode()
 _OTHER = re.compile(r"[^\w ]|[\d_]")
 _NOTHING = re.compile(f"[{WHITE_SPACE};；|/·•,]*")
 #: White space that folding changes.
@@ -168,12 +172,22 @@ def read_json(raw: str) -> list[Value] | None:
     return [(v, True, 0) for v in (fold(x or "") for x in got) if v]
 
 
+def _present(raw: str) -> list[str]:
+    """The separators that stand in a field."""
+    marks = set(_MAYBE.findall(raw))
+    if not marks:
+        return []
+    if len(marks) == 1 and (mark := marks.pop()) in _PLAIN:
+        return [mark]
+    return [n for n, _ in SEPARATORS if _ANY[n].search(raw)]
+
+
 def readings(raw: str | None) -> list[list[Value]]:
     """The different readings of a field, one for each set of values that a dialect gives."""
     if not raw or not raw[0].isalnum() and _NOTHING.fullmatch(raw):
         return []
     out: dict[tuple, list] = {}
-    present = [n for n, _ in SEPARATORS if _ANY[n].search(raw)] if _MAYBE.search(raw) else []
+    present = _present(raw)
     if not present and '"' not in raw and raw[0] != "[":
         got = [(fold(raw), False, 0)]
         return [got] if got[0][0] else []
@@ -194,7 +208,8 @@ def readings(raw: str | None) -> list[list[Value]]:
 @lru_cache(200_000)
 def spelled_bits(value: str) -> float:
     """Code length of a value that no other field holds."""
-    return VALUE_BITS + LETTER_BITS * len(value) + (OTHER_BITS - LETTER_BITS) * len(_OTHER.findall(value))
+    others = len(value.encode().translate(None, _ASCII_LETTERS)) if value.isascii() else len(_OTHER.findall(value))
+    return VALUE_BITS + LETTER_BITS * len(value) + (OTHER_BITS - LETTER_BITS) * others
 
 
 def extra_bits(value: str, enclosed: bool, separators: int) -> float:
@@ -231,6 +246,28 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items, votes, own, spelled, extra = [], [], [], [], []
             ends, readings_to = [0], [0]
             for raw in batch.column(1).to_pylist():
+                marks = set(_MAYBE.findall(raw)) if raw[:1].isalnum() and '"' not in raw and "[" not in raw else ()
+                if len(marks) == 1 and (mark := next(iter(marks))) in _PLAIN:
+                    # most fields: one separator and no enclosure, so just two readings
+                    own_values = [v for x in raw.split(mark) if (v := fold(x))]
+                    first = dict.fromkeys(own_values)
+                    unsplit = fold(raw)
+                    items += own_values
+                    items.append(unsplit)
+                    k = len(own_values) + 1
+                    own += [0.5] * k
+                    if len(first) == k - 1:
+                        votes += [0.5] * k
+                    else:
+                        votes += [0.5 if first.pop(v, 0) is None else 0.0 for v in own_values]
+                        votes.append(0.5)
+                    spelled += map(spelled_bits, own_values)
+                    spelled.append(spelled_bits.__wrapped__(unsplit))  # a whole field hardly comes again
+                    extra += [0.0] * (k - 1)
+                    extra.append(ESCAPE_BITS * raw.count(mark))
+                    ends += (len(items) - 1, len(items))
+                    readings_to.append(len(ends) - 1)
+                    continue
                 all_readings = readings(raw)
                 n = len(all_readings)
                 if n == 1:
