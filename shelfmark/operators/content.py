@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators import text as texts
-from shelfmark.operators.structure import bind_references, unit_views
+from shelfmark.operators.structure import bind_references, frame_range, unit_views
 from shelfmark.session import cut
 from shelfmark.sources import containers, pdf
 
@@ -131,6 +131,20 @@ def locate(files: DataFrame, representation: str, needle: str) -> DataFrame:
     return texts.locate(d, "doc", "text", needle).select("doc.path", "doc.unit", "start_byte", "end_byte")
 
 
+def resource(files: DataFrame, representation: str, member: str, most: int) -> DataFrame:
+    """One declared member of each asset, at most ``most`` bytes of it or a finding: ``path, media, bytes, sha256, content``."""
+    _check(representation, "resource")
+    return containers.epub_member(files, member, most)
+
+
+def frame_ranges(files: DataFrame, first: int, max_bytes: int) -> DataFrame:
+    """Whole frames of each MPEG audio file from frame ``first`` (from 0) on, with the frames that a decoder needs before it."""
+    f = cut(containers.mp3_frames(files).filter("kind = 'frame'"))
+    f = f.select("path", (F.col("frame_no") - 1).cast("long").alias("no"), "at", "length", F.col("borrows").cast("long").alias("need"), F.col("lends").cast("long").alias("have"))
+    asked = f.filter(F.col("no") == first).select("path", F.col("no").alias("first"), F.lit(max_bytes).cast("long").alias("max_bytes"))
+    return frame_range(f, asked, "path", "no", "at", "length", "need", "have")
+
+
 def parts(files: DataFrame, asset: Column | None = None) -> DataFrame:
     """Parts of structured documents, each with its bytes, its text and a reference token that leads back to it."""
     d = _documents(files).filter("finding IS NULL")

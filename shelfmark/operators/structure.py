@@ -76,10 +76,11 @@ def resolve_images(images: DataFrame, members: DataFrame, doc: str) -> DataFrame
     from shelfmark.functions.codecs import resolve_href_udf
 
     r = images.withColumn("_r", resolve_href_udf("base", "src"))
-    m = members.select(doc, F.col("member").alias("_member"), "bytes", "sha256")
-    j = r.join(m, (r[doc] == m[doc]) & (F.col("_r.member") == F.col("_member")) & (F.col("_r.status") == "internal"), "left").drop(m[doc])
-    status = F.when(F.col("_r.status") != "internal", F.col("_r.status")).when(F.col("_member").isNull(), "missing_member").otherwise("local_resource")
-    return j.select(*images.columns, status.alias("status"), F.col("_member").alias("member"), F.col("bytes").alias("image_bytes"), F.col("sha256").alias("image_sha256"))
+    r = r.withColumn("_member", F.when(F.col("_r.status") == "internal", F.col("_r.member")))
+    m = members.select(doc, F.col("member").alias("_member"), "bytes", "sha256", F.lit(True).alias("_there"))
+    j = r.join(m, [doc, "_member"], "left")
+    status = F.when(F.col("_r.status") != "internal", F.col("_r.status")).when(F.col("_there").isNull(), "missing_member").otherwise("local_resource")
+    return j.select(*images.columns, status.alias("status"), F.when(F.col("_there"), F.col("_member")).alias("member"), F.col("bytes").alias("image_bytes"), F.col("sha256").alias("image_sha256"))
 
 
 def bind_references(parts: DataFrame, fields: dict[str, Column]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators import content, library
+from shelfmark.operators import content, library, structure
 from shelfmark.sources import containers, packing, pdf, sinks
 from shelfmark.session import table
 
@@ -172,6 +172,31 @@ def chapter_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def mp3_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole frames of every track's MP3 file from its third on, 1,000 bytes of them at most."""
+
+    def pack(no: int | None, channels: int | None) -> bytes:
+        return packing.mp3_of((no or 0) % 7 + 2, 9, 4 if channels == 2 else 0)
+
+    r = content.frame_ranges(packing.packed(table(spark, sf_dir, "audio_tracks").select("track_id", "track_no", "channels"), "track_id", pack), 2, 1_300)
+    return _id(r, "track_id").select("track_id", "preroll", "last", "byte_start", "byte_end", "complete", "stopped_at_gap", "end_of_track", "status")
+
+
+def epub_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cover of every book as a resource of at most 2,000 bytes."""
+    r = content.resource(_books(spark, sf_dir), "epub-structure/1", "OPS/cover.png", 2_000)
+    return _id(r).select("doc_id", "media", "bytes", "sha256", F.col("finding").isNotNull().alias("refused"))
+
+
+def image_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of every document beside the member each names."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    src = F.element_at(F.array(*map(F.lit, ("a.png", "../a.png", "http://e.example/a.png", "../../a.png", "b.png"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    members = d.select("doc_id", F.lit("OPS/a.png").alias("member"), F.col("doc_id").alias("bytes"), F.lit("s").alias("sha256"))
+    r = structure.resolve_images(d.select("doc_id", F.lit("OPS/c1.xhtml").alias("base"), src.alias("src")), members, "doc_id")
+    return r.select("doc_id", "status", "member", "image_bytes")
+
+
 def mp4_packet_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of an MP4 file for every track."""
 
@@ -223,7 +248,7 @@ def reading_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (epub_units, epub_strict_units, epub_contents, epub_pages, epub_declared, epub_covers, epub_ranges, epub_located, epub_text_ids, epub_parts, content_fallback, content_capabilities, pdf_units, pdf_ranges, pdf_located, pdf_facts, zip_listing,
-          nested_archives, mp3_listing, chapter_marks, mp4_packet_listing, mp4_box_listing, recovery_set_report, wav_heads, reading_list)
+          nested_archives, mp3_listing, mp3_ranges, epub_resources, image_members, chapter_marks, mp4_packet_listing, mp4_box_listing, recovery_set_report, wav_heads, reading_list)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -268,6 +293,11 @@ SQL = {
     "mp3_listing": """WITH t AS (SELECT track_id, coalesce(track_no, 0) % 7 + 2 AS f, coalesce(channels = 2, false) AS broken, strlen(coalesce(recording_id, '')) AS tag FROM audio_tracks)
         SELECT track_id, 'frame' AS kind, CAST(f - CASE WHEN broken THEN 1 ELSE 0 END AS BIGINT) AS n, CAST(417 * (f - CASE WHEN broken THEN 1 ELSE 0 END) AS BIGINT) AS bytes, CAST(1152 * (f - CASE WHEN broken THEN 1 ELSE 0 END) AS BIGINT) AS samples FROM t
         UNION ALL SELECT track_id, 'gap', 1, 421, NULL FROM t WHERE broken UNION ALL SELECT track_id, 'id3v2', 1, tag + 10, NULL FROM t WHERE tag > 0""",
+    "mp3_ranges": """WITH t AS (SELECT track_id, coalesce(track_no, 0) % 7 + 2 AS n, coalesce(channels = 2, false) AND coalesce(track_no, 0) % 7 + 2 >= 4 AS broken FROM audio_tracks),
+        f AS (SELECT *, CASE WHEN broken THEN n - 1 ELSE n END AS frames FROM t), r AS (SELECT *, least(frames - 1, CASE WHEN broken THEN 2 ELSE frames - 1 END, 3) AS last FROM f WHERE frames > 2)
+        SELECT track_id, 1 AS preroll, CAST(least(last, 3) AS BIGINT) AS last, CAST(417 AS BIGINT) AS byte_start, CAST(417 * (least(last, 3) + 1) AS BIGINT) AS byte_end, true AS complete, broken AND frames > 3 AS stopped_at_gap, last = frames - 1 AS end_of_track, 'ok' AS status FROM r""",
+    "epub_resources": "SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) <= 2000 THEN 'image/png' END AS media, CASE WHEN strlen(coalesce(text, '')) <= 2000 THEN strlen(coalesce(text, '')) END AS bytes, CASE WHEN strlen(coalesce(text, '')) <= 2000 THEN sha256(coalesce(text, '')) END AS sha256, strlen(coalesce(text, '')) > 2000 AS refused FROM documents",
+    "image_members": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'local_resource' WHEN 2 THEN 'external' WHEN 3 THEN 'invalid' ELSE 'missing_member' END AS status, CASE WHEN doc_id % 5 = 0 THEN 'OPS/a.png' END AS member, CASE WHEN doc_id % 5 = 0 THEN doc_id END AS image_bytes FROM documents""",
     "chapter_marks": """WITH t AS (SELECT track_id, unnest(range(0, coalesce(track_no, 0) % 4)) AS k FROM audio_tracks) SELECT track_id, 'mp3' AS file, CAST(k + 1 AS INTEGER) AS chapter_no, 1000 * k AS start_ms, 1000 * k + 500 AS end_ms, 'Título ' || k AS title FROM t
         UNION ALL SELECT track_id, 'mp4', k + 1, 1000 * k, NULL, 'Título ' || k FROM t""",
     "mp4_packet_listing": """WITH t AS (SELECT track_id, unnest(range(0, coalesce(track_no, 0) % 5 + 1)) AS k FROM audio_tracks)

@@ -198,6 +198,25 @@ def epub_navigation(files: DataFrame) -> DataFrame:
     return _rows(files, parse, "ord int, level int, parent int, label string, member string, fragment string, status string")
 
 
+def epub_member(files: DataFrame, name: str, most: int = MOST_MEMBER) -> DataFrame:
+    """One member of each EPUB that its manifest declares, by its path in the package: ``media, bytes, sha256, content``.
+
+    A member above ``most`` bytes, an undeclared or a missing one gives a finding.
+    """
+
+    def parse(b: bytes) -> Iterator[tuple]:
+        p = Package(b)
+        media = next((m for member, m, _ in p.items.values() if member == name), None)
+        if media is None:
+            raise ValueError(f"{name} is not declared")
+        if p.zip.getinfo(name).file_size > most:
+            raise ValueError(f"{name} is above {most} bytes")
+        data = _get(p.zip, name)
+        yield media, len(data), hashlib.sha256(data).hexdigest(), data
+
+    return _rows(files, parse, "media string, bytes long, sha256 string, content binary")
+
+
 def epub_page_lists(files: DataFrame) -> DataFrame:
     """Entries of the page list of EPUBs: order, label and target, and a ``problem`` where none can be chosen.
 
@@ -256,9 +275,20 @@ def _syncsafe(b: bytes) -> int:
 def mp3_frames(files: DataFrame) -> DataFrame:
     """Frames, tags and gaps of MPEG audio files of all layers: kind, place, length, bit rate, sample rate, samples.
 
-    A first frame that only describes the stream (Xing, Info or VBRI) is of kind ``info`` and counts no samples.
+    A first frame that only describes the stream (Xing, Info or VBRI) is of kind ``info`` and counts no samples. Of a frame
+    of layer III, ``borrows`` are the bytes of earlier frames it begins in and ``lends`` its own bytes of main data.
     """
 
+    def reservoir(b: bytes, at: int, length: int) -> tuple[int, int]:
+        version, layer = b[at + 1] >> 3 & 3, b[at + 1] >> 1 & 3
+        if layer != 1:
+            return 0, 0
+        mono, first = b[at + 3] >> 6 == 3, version == 3
+        side = at + 4 + (0 if b[at + 1] & 1 else 2)
+        size = (17 if mono else 32) if first else (9 if mono else 17)
+        begin = int.from_bytes(b[side : side + 2].ljust(2, b"\0"), "big")
+        return begin >> 7 if first else begin >> 8, max(0, length - (side - at) - size)
+
     def frame(b: bytes, at: int) -> tuple | None:
         if at + 4 > len(b):
             return None
@@ -277,33 +307,33 @@ def mp3_frames(files: DataFrame) -> DataFrame:
         at, end, n = 0, len(b), 0
         if b[:3] == b"ID3":
             size = 10 + _syncsafe(b[6:10])
-            yield n, "id3v2", 0, size, None, None, None
+            yield n, "id3v2", 0, size, None, None, None, None, None
             at = size
         if b[-128:-125] == b"TAG" and len(b) >= 128:
             end -= 128
-            yield n, "id3v1", end, 128, None, None, None
+            yield n, "id3v1", end, 128, None, None, None, None, None
         gap = None
         while at < end:
             f = frame(b, at)
             if f and (at + f[0] >= end or frame(b, at + f[0])):
                 if gap is not None:
-                    yield n, "gap", gap, at - gap, None, None, None
+                    yield n, "gap", gap, at - gap, None, None, None, None, None
                     gap = None
                 if n == 0 and (b[at + 36 : at + 40] == b"VBRI" or any(m in b[at + 4 : at + 40] for m in (b"Xing", b"Info"))):
-                    yield n, "info", at, min(f[0], end - at), f[1], f[2], None
+                    yield n, "info", at, min(f[0], end - at), f[1], f[2], None, None, None
                     at += f[0]
                     continue
                 n += 1
                 whole = at + f[0] <= end
-                yield n, "frame" if whole else "truncated", at, min(f[0], end - at), f[1], f[2], f[3]
+                yield n, "frame" if whole else "truncated", at, min(f[0], end - at), f[1], f[2], f[3], *reservoir(b, at, f[0])
                 at += f[0]
             else:
                 gap = at if gap is None else gap
                 at += 1
         if gap is not None:
-            yield n, "gap", gap, end - gap, None, None, None
+            yield n, "gap", gap, end - gap, None, None, None, None, None
 
-    return _rows(files, parse, "frame_no int, kind string, at long, length long, kbit int, hz int, samples int")
+    return _rows(files, parse, "frame_no int, kind string, at long, length long, kbit int, hz int, samples int, borrows int, lends int")
 
 
 def mp3_chapters(files: DataFrame) -> DataFrame:

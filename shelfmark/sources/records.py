@@ -75,6 +75,8 @@ DOCUMENTS = {
                                  {"disposition": "forall(entries, e -> e.disposition IN ('move', 'keep'))"}, most=64 << 20),
     "purge_manifest": Relation(f"schema_version int NOT NULL, cleanup_id string NOT NULL, library_id string NOT NULL, plan_digest string NOT NULL, files array<{_struct(_FILE)}> NOT NULL, archive_groups array<struct<path:string,members:array<string>>>",
                                {"groups": "schema_version = 2 OR archive_groups IS NULL"}, versions=(1, 2), most=64 << 20),
+    "receipt": Relation("schema_version int NOT NULL, complete boolean NOT NULL, status string NOT NULL, final_url string, antivirus string, transfer struct<sha256:string,bytes:bigint>, intent struct<request:struct<source_id:string,source_file:string>,selection:struct<rights_statements:array<string>,declared_license_urls:array<string>>>",
+                        {"transfer": "NOT complete OR (transfer.bytes >= 0 AND rlike(transfer.sha256, '^[0-9a-f]{64}$'))"}, most=1 << 20),
     "mark_export": Relation(f"schema_version int NOT NULL, kind string NOT NULL, library_id string NOT NULL, bookmarks array<{_struct(_MARK)}> NOT NULL",
                             {"kind": "kind = 'bookmarks'", "once": "size(bookmarks) = size(array_distinct(transform(bookmarks, b -> b.asset_id)))"}, most=16 << 20),
     "declaration": Relation(_DECLARATION.replace("schema string", "schema string NOT NULL").replace("narration_id string", "narration_id string NOT NULL"),
@@ -124,6 +126,28 @@ def read_relation(spark: SparkSession, path: str, name: str) -> DataFrame:
     return _checked(df, relation)
 
 
+def create_library(folder: str, library_id: str, operation_id: str, at: str) -> None:
+    """The identity journal of a new library: its intent and its completion, published once and never over another one."""
+    from shelfmark.sources.sinks import publish_file
+
+    one = '{{"schema_version":1,"sequence":{},"library_id":"{}","operation_id":"{}","event":"{}","at":"{}"}}\n'
+    publish_file("".join(one.format(n, library_id, operation_id, e, at) for n, e in ((1, "intent"), (2, "completed"))), f"{folder}/identity.jsonl")
+
+
+def library_status(spark: SparkSession, folder: str) -> tuple[str, str | None]:
+    """Status and id of the library in a folder: not_initialized, initialized, or review where its identity cannot be relied on."""
+    import os
+
+    path = f"{folder}/identity.jsonl"
+    if not os.path.exists(path):
+        return "not_initialized", None
+    try:
+        rows = read_relation(spark, path, "identity").select("library_id").collect()  # two records at most
+    except Exception:  # whatever breaks the relation's rules
+        return "review", None
+    return ("initialized", rows[0].library_id) if len(rows) == 2 else ("review", None)
+
+
 def read_named_document(spark: SparkSession, path: str, name: str, sha256: str | None = None) -> DataFrame:
     """A document relation as one row; with ``sha256`` only the bytes that something else is bound to are accepted."""
     relation = DOCUMENTS[name]

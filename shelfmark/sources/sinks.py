@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import tempfile
 
@@ -30,6 +32,40 @@ def publish_file(text: str, path: str) -> None:
         os.unlink(f.name)
 
 
+def export_document(rows: DataFrame, path: str, head: dict[str, object], field: str, order: list[str], most: int = 16 << 20) -> str:
+    """A document of ``head`` and the rows as its list ``field``, published once and never over another one; its SHA-256.
+
+    The list is read in order, row by row, and refused as soon as it passes ``most`` bytes, so the driver never holds more.
+    """
+    items, size = [], 0
+    for r in rows.orderBy(*order).select(F.to_json(F.struct(*rows.columns)).alias("j")).toLocalIterator():
+        size += len(r.j.encode()) + 1
+        if size > most:
+            raise ValueError(f"the document is above {most} bytes")
+        items.append(r.j)
+    start = json.dumps(head, ensure_ascii=False, separators=(",", ":"))[:-1]
+    text = f"{start}{',' if head else ''}{json.dumps(field)}:[{','.join(items)}]}}"
+    publish_file(text, path)
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def copy_verified(source: str, path: str, sha256: str) -> None:
+    """A copy of one file that has the stated digest, complete or not there at all, never over another one."""
+    seen = hashlib.sha256()
+    with tempfile.NamedTemporaryFile("wb", dir=os.path.dirname(path), delete=False) as out, open(source, "rb") as f:
+        while block := f.read(1 << 20):
+            seen.update(block)
+            out.write(block)
+        out.flush()
+        os.fsync(out.fileno())
+    try:
+        if seen.hexdigest() != sha256:
+            raise ValueError("the bytes are not those of the stated digest")
+        os.link(out.name, path)
+    finally:
+        os.unlink(out.name)
+
+
 def escaped_json(*cols: str) -> Column:
     """A row as JSON in which control and format characters are escapes, so that it reads back the same; nulls kept out."""
     return visible_escapes_udf(F.to_json(F.struct(*cols)))

@@ -230,3 +230,54 @@ def test_short_and_odd_pages_are_refused(spark):
     assert providers.bitstreams(df("{}", None, '{"bitstreams":[]}'), "k", "t").count() == 0
     assert providers.project_sections(df('{"books":[]}', "x", None), "k", "t").count() == 0
     assert providers.latest_version(df("<a/>", "<a><IsTruncated>false</IsTruncated></a>"), "k", "t").count() == 0
+
+
+def test_documents_copies_and_identity(spark, tmp_path):
+    import hashlib
+
+    from shelfmark.sources import records
+
+    marks = spark.createDataFrame([("m2", "b"), ("m1", "a")], "id string, asset_id string")
+    out = str(tmp_path / "e.json")
+    digest = sinks.export_document(marks, out, {"schema_version": 1, "kind": "bookmarks", "library_id": LIBRARY}, "bookmarks", ["id"])
+    back = records.read_named_document(spark, out, "mark_export", sha256=digest).first()
+    assert [(b.id, b.asset_id) for b in back.bookmarks] == [("m1", "a"), ("m2", "b")]
+    with pytest.raises(FileExistsError):
+        sinks.export_document(marks, out, {}, "bookmarks", ["id"])
+    with pytest.raises(ValueError):
+        sinks.export_document(marks, str(tmp_path / "f.json"), {}, "x", ["id"], most=30)
+    assert sinks.export_document(marks.limit(0), str(tmp_path / "g.json"), {}, "x", ["id"]) and open(tmp_path / "g.json").read() == '{"x":[]}'
+    source = write(tmp_path / "src", b"abc")
+    good = hashlib.sha256(b"abc").hexdigest()
+    sinks.copy_verified(source, str(tmp_path / "copy"), good)
+    assert open(tmp_path / "copy", "rb").read() == b"abc"
+    for path, sha in ((tmp_path / "copy", good), (tmp_path / "other", "0" * 64)):
+        with pytest.raises((FileExistsError, ValueError)):
+            sinks.copy_verified(source, str(path), sha)
+    assert not (tmp_path / "other").exists() and sorted(p.name for p in tmp_path.iterdir()) == ["copy", "e.json", "g.json", "src"]
+    lib = tmp_path / "lib"
+    lib.mkdir()
+    assert records.library_status(spark, str(lib)) == ("not_initialized", None)
+    records.create_library(str(lib), LIBRARY, "op:1", "2001-01-01T00:00:00Z")
+    assert records.library_status(spark, str(lib)) == ("initialized", LIBRARY)
+    with pytest.raises(FileExistsError):
+        records.create_library(str(lib), LIBRARY, "op:1", "t")
+    (lib / "identity.jsonl").write_text("{}\n")
+    assert records.library_status(spark, str(lib)) == ("review", None)
+
+
+def test_scope_deletes_its_tables(spark):
+    from shelfmark.session import checkpoint_dir, cut, scope
+
+    def there():
+        root = checkpoint_dir(spark).removeprefix("file:").replace("///", "/")
+        return {n for n in os.listdir(root) if n.startswith("cut-")}
+
+    before = there()
+    with scope(spark):
+        df = cut(spark.range(3))
+        assert len(there() - before) == 1 and df.count() == 3
+        with scope(spark):
+            cut(spark.range(1))
+        assert len(there() - before) == 1
+    assert there() == before
