@@ -22,6 +22,8 @@ ng ndo; nl nld dut; nn nno; no nor; nr nbl; nv nav; ny nya; oc oci; oj oji; om o
 ro ron rum mo mol; ru rus; rw kin; sa san; sc srd; sd snd; se sme; sg sag; si sin; sk slk slo; sl slv; sm smo; sn sna; so som; sq sqi alb; sr srp; ss ssw; st sot; su sun;
 sv swe; sw swa; ta tam; te tel; tg tgk; th tha; ti tir; tk tuk; tl tgl; tn tsn; to ton; tr tur; ts tso; tt tat; tw twi; ty tah; ug uig; uk ukr; ur urd; uz uzb; ve ven;
 vi vie; vo vol; wa wln; wo wol; xh xho; yi yid ji; yo yor; za zha; zh zho chi; zu zul"""
+#: Languages of library catalogues that have a three-letter code only (fixed values of ISO 639).
+OTHER_LANGUAGES = tuple("ang arc ast bar ceb chr cop csb enm fil frm fro frr fur gmh goh grc haw ilo myn nah nai nap nds non ota pap peo pro sco scn sga syr tpi".split())
 #: Extension kinds of files (fixed values).
 KINDS = {
     "ebook_candidate": ("epub",), "pdf_candidate": ("pdf",), "audio_candidate": ("mp3", "m4b", "m4a", "flac", "ogg"),
@@ -68,9 +70,9 @@ def has_grammar(c: Column | str, name: str) -> Column:
     return ok & ~F.exists(F.split(col(c), "/"), lambda p: p.isin(".", "..")) if name == "doi" else ok
 
 
-def language_base(c: Column | str) -> Column:
-    """Two-letter base language of a tag that is exactly known, else null."""
-    pairs = [(form, row.split()[0]) for row in LANGUAGES.replace("\n", " ").split(";") for form in row.split()]
+def language_base(c: Column | str, others: tuple[str, ...] = OTHER_LANGUAGES) -> Column:
+    """Base language of a tag that is exactly known, else null: of two letters where it has such a code, or one of ``others``."""
+    pairs = [(form, row.split()[0]) for row in LANGUAGES.replace("\n", " ").split(";") for form in row.split()] + [(x, x) for x in others]
     table = F.create_map(*[F.lit(x) for p in pairs for x in p])
     head = F.regexp_extract(F.lower(col(c)), r"^([a-z]{2,3})(?:[-_][a-z0-9]{1,8})*$", 1)
     return F.when(head != "", F.try_element_at(table, head))
@@ -78,7 +80,7 @@ def language_base(c: Column | str) -> Column:
 
 def language_match(tags: Column | str, want: str) -> Column:
     """Whether an array of tags has the base language: true, false, or null where no tag is known."""
-    known = F.filter(F.transform(col(tags), language_base), lambda b: b.isNotNull())
+    known = F.filter(F.transform(col(tags), lambda t: language_base(t)), lambda b: b.isNotNull())
     return F.when(F.size(known) > 0, F.array_contains(known, want))
 
 

@@ -65,9 +65,7 @@ def ordered_identity(df: DataFrame, key: str, order: list[str], asset: str) -> D
     from shelfmark.operators.structure import ordered_digest
 
     first, *ties = order
-    at_place = F.transform(F.array_sort(F.collect_list(F.struct(*ties, asset))), lambda x: x[asset].cast("string"))
-    places = df.groupBy(key, first).agg(F.concat_ws("\n", at_place).alias("_assets"))
-    ids = ordered_digest(places, [key], first, F.col("_assets")).select(key, F.col("digest").alias("identity"))
+    ids = ordered_digest(df, [key], first, F.col(asset), [*ties, asset]).select(key, F.col("digest").alias("identity"))
     n = ids.groupBy("identity").agg(F.count(F.lit(1)).alias("sharing"))
     return ids.join(n, "identity").select(key, "identity", "sharing")
 

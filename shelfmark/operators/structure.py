@@ -94,19 +94,21 @@ def bind_references(parts: DataFrame, fields: dict[str, Column]) -> DataFrame:
 UNITS_A_BUCKET = 4_096
 
 
-def ordered_digest(df: DataFrame, keys: list[str], pos: str, value: Column) -> DataFrame:
-    """SHA-256 of the values of each key in the order of the integer ``pos``: ``keys, digest, n``.
+def ordered_digest(df: DataFrame, keys: list[str], pos: str, value: Column, ties: list[str] | None = None) -> DataFrame:
+    """SHA-256 of the values of each key in the order of the integer ``pos`` (from 0), then of ``ties``: ``keys, digest, n``.
 
     Values are joined by line feeds and hashed; above ``UNITS_A_BUCKET`` positions, the digests of as many positions each are
     what is joined and hashed, and so on. So no task lists more than a bucket of a key, provided its positions do not repeat.
     """
-    items = F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda x: x["_v"])
-    rows = df.select(*keys, F.col(pos).cast("long").alias("_p"), value.cast("string").alias("_v"))
-    level = rows.groupBy(*keys, F.floor(F.col("_p") / UNITS_A_BUCKET).alias("_p")).agg(F.sha2(F.concat_ws("\n", items), 256).alias("_v"), F.count(F.lit(1)).alias("_n"))
-    level = cut(level)
+    ties = ties or []
+    items = F.transform(F.array_sort(F.collect_list(F.struct("_p", *[f"_t{k}" for k in range(len(ties))], "_v"))), lambda x: x["_v"])
+    rows = df.select(*keys, F.col(pos).cast("long").alias("_p"), *[F.col(t).alias(f"_t{k}") for k, t in enumerate(ties)], value.cast("string").alias("_v"))
+    hashed = [F.sha2(F.concat_ws("\n", items), 256).alias("_v"), F.count(F.lit(1)).alias("_n")]
+    furthest = df.agg(F.max(pos)).first()[0]
+    if furthest is None or furthest < UNITS_A_BUCKET:  # every key has one bucket
+        return rows.groupBy(*keys).agg(*hashed).select(*keys, F.col("_v").alias("digest"), F.col("_n").alias("n"))
+    level = cut(rows.groupBy(*keys, F.floor(F.col("_p") / UNITS_A_BUCKET).alias("_p")).agg(*hashed))
     several = level.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(*keys)
-    if several.isEmpty():
-        return level.select(*keys, F.col("_v").alias("digest"), F.col("_n").alias("n"))
     # a key of one bucket has its digest; the bucket digests of the others are hashed in turn
     done = level.join(several, keys, "left_anti").select(*keys, F.col("_v").alias("digest"), F.col("_n").alias("n"))
     rest = level.join(several, keys, "left_semi")

@@ -131,7 +131,7 @@ def reader_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = (parent_chains, nested_ranges, chapter_links, link_cycles, packed_ranges, appended_ranges, parts_in_range, format_tallies, eligible_assets, review_reasons, purge_plan,
           merged_sources, order_changes, finished_jobs, unresolved_summary, reader_claims)
 QUERIES = {f.__name__: f for f in _NAMES}
-_KIND = "CASE " + " ".join(f"WHEN e IN ({', '.join(repr(x) for x in exts)}) THEN '{k}'" for k, exts in S.KINDS.items()) + " ELSE 'other' END"
+_KIND = "CASE e WHEN 'epub' THEN 'ebook_candidate' WHEN 'pdf' THEN 'pdf_candidate' WHEN 'mp3' THEN 'audio_candidate' WHEN 'm4b' THEN 'audio_candidate' WHEN 'm4a' THEN 'audio_candidate' WHEN 'zip' THEN 'archive_candidate' ELSE 'other' END"
 _ASSETS = "SELECT resource_no, i, a, regexp_extract(lower(a.name), '\\.([^./\\\\]*)$', 1) AS e FROM (SELECT resource_no, unnest(assets) AS a, unnest(range(len(assets))) AS i FROM discovery_validation)"
 SQL = {
     "parent_chains": "WITH RECURSIVE a(node, anc, d) AS (SELECT p_partkey, p_partkey // 3, 1 FROM part WHERE p_partkey // 3 > 0 UNION ALL SELECT node, anc // 3, d + 1 FROM a WHERE anc // 3 > 0) SELECT node, CAST(max(d) AS BIGINT) AS depth, min(anc) AS top FROM a GROUP BY node",
