@@ -16,3 +16,16 @@ def test_columns_and_rows_once(spark, sf, name):
     rows = [str(r) for r in df.collect()]
     assert rows and len(rows) == len(set(rows))
     assert name in entry.queries()
+
+
+def test_partitions_do_not_matter(spark, sf):
+    from shelfmark.llm.queries import QUERIES
+
+    names = ["p2_found", "p3_found", "p5_found", "p7_found", "p8_found"]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        results.append([sorted(map(str, QUERIES[name](spark, sf).collect())) for name in names])
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1] and all(results[0])
