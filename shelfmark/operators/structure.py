@@ -68,6 +68,35 @@ def resolve_links(links: DataFrame, members: DataFrame, targets: DataFrame, doc:
     return j.select(*links.columns, F.when(ok, F.col("unit")).alias("unit"), F.when(ok, F.coalesce("offset", F.lit(0))).alias("offset"), status.alias("status"))
 
 
+def resolve_hrefs(links: DataFrame, members: DataFrame, targets: DataFrame, doc: str) -> DataFrame:
+    """Target of each link as written: ``links`` have ``base`` (the member it stands in) and ``href``; else as ``resolve_links``.
+
+    Statuses besides those of ``resolve_links``: external, invalid, unlinked (no href at all).
+    """
+    from shelfmark.functions.codecs import resolve_href_udf
+
+    r = links.withColumn("_r", resolve_href_udf("base", F.coalesce("href", F.lit(""))))
+    own = F.when(F.col("href").isNull(), "unlinked").when(F.col("_r.status") != "internal", F.col("_r.status"))
+    r = r.withColumns({"_own": own, "member": F.when(own.isNull(), F.col("_r.member")), "fragment": F.when(own.isNull(), F.col("_r.fragment"))}).drop("_r")
+    j = resolve_links(r, members, targets, doc)
+    status = F.coalesce("_own", "status")
+    return j.select(*links.columns, "unit", "offset", status.alias("status"))
+
+
+def entry_text(ranges: DataFrame, units: DataFrame, doc: str) -> DataFrame:
+    """The text of each entry's range in every unit it touches: ``ranges`` have ``entry, unit, offset, end_unit, end_offset``
+    (null: to the end of the source), ``units`` have ``unit, text``. One row for each entry and unit, in bytes cut at characters.
+
+    Joined by document; a unit outside the range is dropped at once, so an entry costs the units it covers.
+    """
+    r = ranges.select(doc, "entry", F.col("unit").alias("from_unit"), F.col("offset").alias("from_at"), "end_unit", "end_offset")
+    j = r.join(units.select(doc, "unit", F.encode("text", "UTF-8").alias("_raw")), doc).filter(
+        (F.col("unit") >= F.col("from_unit")) & (F.col("end_unit").isNull() | (F.col("unit") < F.col("end_unit")) | ((F.col("unit") == F.col("end_unit")) & (F.col("end_offset") > 0))))
+    start = F.when(F.col("unit") == F.col("from_unit"), F.col("from_at")).otherwise(0).cast("int")
+    end = F.when(F.col("unit") == F.col("end_unit"), F.col("end_offset")).otherwise(F.octet_length("_raw")).cast("int")
+    return j.select(doc, "entry", "unit", start.alias("start"), end.alias("end"), F.decode(F.substring("_raw", start + 1, F.greatest(end - start, F.lit(0))), "UTF-8").alias("text"))
+
+
 def resolve_images(images: DataFrame, members: DataFrame, doc: str) -> DataFrame:
     """Images of documents beside the members they name: ``images`` have ``base`` (the member that shows them) and ``src``.
 

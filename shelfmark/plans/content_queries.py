@@ -188,6 +188,25 @@ def epub_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _id(r).select("doc_id", "media", "bytes", "sha256", F.col("finding").isNotNull().alias("refused"))
 
 
+def href_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every document to members and their fragments, as written."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    href = F.element_at(F.array(*map(F.lit, ("c2.xhtml#a", "c2.xhtml", "#a", "c2.xhtml#twice", "c2.xhtml#none", "c3.xhtml", "http://e.example/", "../../x", None))), (F.col("doc_id") % 9 + 1).cast("int"))
+    links = d.select("doc_id", F.lit("OPS/c1.xhtml").alias("base"), href.alias("href"))
+    members = d.select("doc_id", F.explode(F.array(F.struct(F.lit("OPS/c1.xhtml").alias("member"), F.lit(1).alias("unit")), F.struct(F.lit("OPS/c2.xhtml").alias("member"), F.lit(2).alias("unit")))).alias("m")).select("doc_id", "m.*")
+    at = lambda u, f, o: F.struct(F.lit(u).alias("unit"), F.lit(f).alias("fragment"), F.lit(o).alias("offset"))
+    targets = d.select("doc_id", F.explode(F.array(at(1, "a", 10), at(2, "a", 20), at(2, "twice", 30), at(2, "twice", 31))).alias("t")).select("doc_id", "t.*")
+    return structure.resolve_hrefs(links, members, targets, "doc_id").select("doc_id", "unit", "offset", "status")
+
+
+def entry_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of an entry of every document that begins at its third byte in the first unit and ends in the second."""
+    u = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("unit"), F.concat(F.lit("abc"), F.coalesce("text", F.lit(""))).alias("text")), F.struct(F.lit(2).alias("unit"), F.concat(F.lit("xy"), F.coalesce("lang", F.lit(""))).alias("text")))).alias("u")).select("doc_id", "u.*")
+    r = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("entry"), F.lit(1).alias("unit"), F.lit(2).alias("offset"), F.when(F.col("doc_id") % 3 != 0, 2).alias("end_unit"), F.when(F.col("doc_id") % 3 == 1, 1).otherwise(0).alias("end_offset"))
+    t = structure.entry_text(r, u, "doc_id")
+    return t.select("doc_id", "unit", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.sha2("text", 256).alias("sha256"))
+
+
 def image_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of every document beside the member each names."""
     d = table(spark, sf_dir, "documents").select("doc_id")
@@ -248,7 +267,7 @@ def reading_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (epub_units, epub_strict_units, epub_contents, epub_pages, epub_declared, epub_covers, epub_ranges, epub_located, epub_text_ids, epub_parts, content_fallback, content_capabilities, pdf_units, pdf_ranges, pdf_located, pdf_facts, zip_listing,
-          nested_archives, mp3_listing, mp3_ranges, epub_resources, image_members, chapter_marks, mp4_packet_listing, mp4_box_listing, recovery_set_report, wav_heads, reading_list)
+          nested_archives, mp3_listing, mp3_ranges, epub_resources, href_statuses, entry_texts, image_members, chapter_marks, mp4_packet_listing, mp4_box_listing, recovery_set_report, wav_heads, reading_list)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -297,6 +316,10 @@ SQL = {
         f AS (SELECT *, CASE WHEN broken THEN n - 1 ELSE n END AS frames FROM t), r AS (SELECT *, least(frames - 1, CASE WHEN broken THEN 2 ELSE frames - 1 END, 3) AS last FROM f WHERE frames > 2)
         SELECT track_id, 1 AS preroll, CAST(least(last, 3) AS BIGINT) AS last, CAST(417 AS BIGINT) AS byte_start, CAST(417 * (least(last, 3) + 1) AS BIGINT) AS byte_end, true AS complete, broken AND frames > 3 AS stopped_at_gap, last = frames - 1 AS end_of_track, 'ok' AS status FROM r""",
     "epub_resources": "SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) <= 2000 THEN 'image/png' END AS media, CASE WHEN strlen(coalesce(text, '')) <= 2000 THEN strlen(coalesce(text, '')) END AS bytes, CASE WHEN strlen(coalesce(text, '')) <= 2000 THEN sha256(coalesce(text, '')) END AS sha256, strlen(coalesce(text, '')) > 2000 AS refused FROM documents",
+    "href_statuses": """SELECT doc_id, CAST(CASE doc_id % 9 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 1 END AS INTEGER) AS unit, CAST(CASE doc_id % 9 WHEN 0 THEN 20 WHEN 1 THEN 0 WHEN 2 THEN 10 END AS INTEGER) AS offset,
+        (['resolved', 'resolved', 'resolved', 'ambiguous_fragment', 'missing_fragment', 'missing_member', 'external', 'invalid', 'unlinked'])[doc_id % 9 + 1] AS status FROM documents""",
+    "entry_texts": """SELECT doc_id, 1 AS unit, CAST(2 AS BIGINT) AS start, strlen(coalesce(text, '')) + 3 AS "end", sha256('c' || coalesce(text, '')) AS sha256 FROM documents
+        UNION ALL SELECT doc_id, 2, 0, CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 2 + strlen(coalesce(lang, '')) END, sha256(CASE WHEN doc_id % 3 = 1 THEN 'x' ELSE 'xy' || coalesce(lang, '') END) FROM documents WHERE doc_id % 3 <> 2""",
     "image_members": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'local_resource' WHEN 2 THEN 'external' WHEN 3 THEN 'invalid' ELSE 'missing_member' END AS status, CASE WHEN doc_id % 5 = 0 THEN 'OPS/a.png' END AS member, CASE WHEN doc_id % 5 = 0 THEN doc_id END AS image_bytes FROM documents""",
     "chapter_marks": """WITH t AS (SELECT track_id, unnest(range(0, coalesce(track_no, 0) % 4)) AS k FROM audio_tracks) SELECT track_id, 'mp3' AS file, CAST(k + 1 AS INTEGER) AS chapter_no, 1000 * k AS start_ms, 1000 * k + 500 AS end_ms, 'Título ' || k AS title FROM t
         UNION ALL SELECT track_id, 'mp4', k + 1, 1000 * k, NULL, 'Título ' || k FROM t""",
