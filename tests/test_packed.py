@@ -63,3 +63,12 @@ def test_random_lists_come_back(spark):
         rows.append(rng.choice(["; ", "|", "\n", "；", ";"]).join(vs))
         want[k] = vs
     assert run(spark, rows) == want
+
+
+def test_very_long_fields_take_time_in_proportion():
+    import time
+
+    for raw, n in (("ab cd;" * 40_000, 2), ('"a ""b"" c"; ' * 20_000, 3), ('""' * 20_000 + ";" + '""' * 20_000 + ";x", 3), ('"a; ' * 20_000, 2)):
+        began = time.time()
+        assert len(readings(raw)) == n and time.time() - began < 5
+    assert len(readings("ab;" * 50_000 + "c")[0]) == 50_001
