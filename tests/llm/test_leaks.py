@@ -145,3 +145,12 @@ def test_misses_are_exactly_the_stretches_that_end_in_an_error(spark):
     got = {(r.doc_id, r.item_id) for r in leaks(d, "doc_id", "text", i, "item_id", "passage").collect()}
     assert got == {(a, b) for a, x in enumerate(docs) for b, p in enumerate(passages) if trimmed(x, p)}
     assert got < {(a, b) for a, x in enumerate(docs) for b, p in enumerate(passages) if brute(x, p)}
+
+
+def test_odd_texts_of_any_length_take_time_in_proportion():
+    import time
+
+    for text in ("<a " * 100_000, "<a x='" * 100_000, "&amp;" * 100_000, "\\u00e9" * 50_000, "<!--" * 100_000, "%41" * 100_000, "a-\n" * 100_000, "a'" * 100_000):
+        began = time.time()
+        words(text)
+        assert time.time() - began < 5
