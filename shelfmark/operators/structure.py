@@ -124,19 +124,29 @@ UNITS_A_BUCKET = 4_096
 
 
 def ordered_digest(df: DataFrame, keys: list[str], pos: str, value: Column, ties: list[str] | None = None) -> DataFrame:
-    """SHA-256 of the values of each key in the order of the integer ``pos`` (from 0), then of ``ties``: ``keys, digest, n``.
+    """SHA-256 of the values of each key in the order of the integer ``pos`` (from 0), then of ``ties`` and value: ``keys, digest, n``.
 
     Values are joined by line feeds and hashed; above ``UNITS_A_BUCKET`` positions, the digests of as many positions each are
-    what is joined and hashed, and so on. So no task lists more than a bucket of a key, provided its positions do not repeat.
+    what is joined and hashed, and so on. Where positions repeat so often that a bucket would hold more values than that,
+    equal values are named once with their number, and buckets are divided by the first digits of the values' digests; how
+    far, depends on the data alone. So no task lists a hot key.
     """
-    ties = ties or []
-    items = F.transform(F.array_sort(F.collect_list(F.struct("_p", *[f"_t{k}" for k in range(len(ties))], "_v"))), lambda x: x["_v"])
-    rows = df.select(*keys, F.col(pos).cast("long").alias("_p"), *[F.col(t).alias(f"_t{k}") for k, t in enumerate(ties)], value.cast("string").alias("_v"))
-    hashed = [F.sha2(F.concat_ws("\n", items), 256).alias("_v"), F.count(F.lit(1)).alias("_n")]
-    furthest = df.agg(F.max(pos)).first()[0]
-    if furthest is None or furthest < UNITS_A_BUCKET:  # every key has one bucket
-        return rows.groupBy(*keys).agg(*hashed).select(*keys, F.col("_v").alias("digest"), F.col("_n").alias("n"))
-    level = cut(rows.groupBy(*keys, F.floor(F.col("_p") / UNITS_A_BUCKET).alias("_p")).agg(*hashed))
+    own = [f"_t{k}" for k in range(len(ties or []))]
+    items = F.transform(F.array_sort(F.collect_list(F.struct("_p", *own, "_v"))), lambda x: x["_v"])
+    rows = df.select(*keys, F.col(pos).cast("long").alias("_p"), *[F.col(t).alias(o) for t, o in zip(ties or [], own)], value.cast("string").alias("_v"))
+    bucket = F.floor(F.col("_p") / UNITS_A_BUCKET)
+    most = rows.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c").alias("c"), F.max("_b").alias("b")).first()
+    digits, left = 0, most["c"] or 0
+    while left > UNITS_A_BUCKET:
+        digits, left = digits + 1, left // 16
+    if not digits and not most["b"]:  # every key has one bucket
+        hashed = rows.groupBy(*keys).agg(F.sha2(F.concat_ws("\n", items), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+        return hashed.select(*keys, "digest", "n")
+    rows = rows.withColumn("_n", F.lit(1).cast("long"))
+    if digits:
+        rows = rows.groupBy(*keys, "_p", *own, "_v").agg(F.sum("_n").alias("_n")).withColumn("_v", F.concat_ws("\t", "_v", F.col("_n").cast("string")))
+        bucket = bucket * 16**digits + F.conv(F.substring(F.sha2("_v", 256), 1, digits), 16, 10).cast("long")
+    level = cut(rows.groupBy(*keys, bucket.alias("_p")).agg(F.sha2(F.concat_ws("\n", items), 256).alias("_v"), F.sum("_n").alias("_n")))
     several = level.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(*keys)
     # a key of one bucket has its digest; the bucket digests of the others are hashed in turn
     done = level.join(several, keys, "left_anti").select(*keys, F.col("_v").alias("digest"), F.col("_n").alias("n"))

@@ -144,6 +144,13 @@ def test_digests_in_levels(spark, monkeypatch):
     deep = {r.k: (r.digest, r.n) for r in structure.ordered_digest(df.repartition(5), ["k"], "p", F.col("v")).collect()}
     leaf = [h(*[f"v{n}" for n in range(a, min(10, a + 3))]) for a in (0, 3, 6, 9)]
     assert deep == {"a": (h(h(*leaf[:3]), h(leaf[3])), 10), "b": (h("x"), 1)}
+    # one position that holds more than a bucket: the same for any order of the rows, another for other rows or numbers of rows
+    hot = spark.createDataFrame([("h", 1, f"v{n}") for n in range(40)] + [("h", 1, "same")] * 50 + [("c", 1, "x")], "k string, p int, v string")
+    one = {r.k: (r.digest, r.n) for r in structure.ordered_digest(hot, ["k"], "p", F.col("v")).collect()}
+    assert one == {r.k: (r.digest, r.n) for r in structure.ordered_digest(hot.orderBy(F.desc("v")).repartition(7), ["k"], "p", F.col("v")).collect()} and one["h"][1] == 90
+    for other in (hot.filter("v != 'v3'"), hot.unionByName(hot.filter("v = 'same'").limit(1))):
+        assert {r.k: r.digest for r in structure.ordered_digest(other, ["k"], "p", F.col("v")).collect()}["h"] != one["h"][0]
+    assert structure.ordered_digest(hot.limit(0), ["k"], "p", F.col("v")).count() == 0
     plan = spark.createDataFrame([(n, f"p{n}" if n % 7 else None) for n in range(300)], "k int, n string")
     for size in (2_048, 20, 2):
         monkeypatch.setattr(changes, "DIGESTS_A_BUCKET", size)
