@@ -191,15 +191,23 @@ _LIBRARY = "library:0123456789abcdef0123456789abcdef"
 
 
 def holdings_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every track as a holding with its recording, written as a journal and read under its rules."""
+    """Every track as a holding with its recording, written as a journal and read under its rules.
+
+    A recording has at most 1000 tracks there, so a longer one is written in parts of 1000, each named in its ``source_file``.
+    """
     t = table(spark, sf_dir, "audio_tracks").withColumn("sha256", F.sha2(F.col("track_id").cast("string"), 256))
-    recording = F.when(F.col("track_no").isNotNull(), F.struct(F.coalesce("file_format", F.lit("x")).alias("source_format"), F.col("track_no").alias("position"), F.greatest("track_no", F.lit(2)).alias("tracks")))
-    source = F.struct(F.lit("archive").alias("kind"), F.concat(F.lit("p/"), F.col("track_id")).alias("path"), F.col("recording_id").alias("source_id"), recording.alias("recording"))
+    before = F.col("track_no").cast("long") - 1
+    part = F.floor(before / 1000)
+    place = (F.pmod(before, F.lit(1000)) + 1).cast("int")
+    recording = F.when(F.col("track_no").isNotNull(), F.struct(F.coalesce("file_format", F.lit("x")).alias("source_format"), place.alias("position"), F.greatest(place, F.lit(2)).alias("tracks")))
+    source = F.struct(F.lit("archive").alias("kind"), F.concat(F.lit("p/"), F.col("track_id")).alias("path"), F.col("recording_id").alias("source_id"), F.concat(F.lit("part "), part).alias("source_file"), recording.alias("recording"))
     late = F.col("channels").isNull()
     rows = t.select((F.col("track_id") % 4).alias("journal"), F.lit(1).alias("schema_version"), F.lit(_LIBRARY).alias("library_id"), F.concat(F.lit("sha256:"), F.col("sha256")).alias("id"), "sha256", F.col("track_id").alias("bytes"), F.lit("mp3").alias("format"),
                     F.when(late, "review").otherwise("checked").alias("status"), F.when(late, "scanner_failed").otherwise("").alias("reason"), F.lit("a").alias("path"), F.array(F.lit("T <1>")).alias("titles"), F.array(source).alias("sources"))
     h = records.read_relation(spark, _lines(spark, rows, "bytes"), "holdings")
-    return h.select(F.col("bytes").alias("track_id"), "status", "reason", F.col("sources")[0]["recording"]["position"].alias("position"), F.col("titles")[0].alias("title"))
+    x = F.col("sources")[0]
+    position = F.regexp_extract(x["source_file"], "^part (-?[0-9]+)$", 1).try_cast("long") * 1000 + x["recording"]["position"]
+    return h.select(F.col("bytes").alias("track_id"), "status", "reason", position.cast("int").alias("position"), F.col("titles")[0].alias("title"))
 
 
 def operations_journal(spark: SparkSession, sf_dir: str) -> DataFrame:

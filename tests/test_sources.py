@@ -178,6 +178,27 @@ def test_relations_refuse_what_breaks_them(spark, tmp_path):
         records.read_relation(spark, str(path), "declarations").count()
 
 
+def test_tracks_beyond_a_recording(spark, sf, tmp_path):
+    """A recording holds at most 1000 tracks; longer ones keep their positions in parts, and the rule stands."""
+    import __spark_entry__ as entry
+    from shelfmark.sources import records
+
+    places = [1, 2, 999, 1000, 1001, 1600, 2000, 2001, 123_456_789, 2**31 - 1, 0, -5, None]
+    t = spark.read.parquet(f"{sf}/audio_tracks.parquet")
+    rows = spark.createDataFrame(list(enumerate(places, 1)), "track_id long, track_no int")
+    t.drop("track_no").withColumn("recording_id", F.when(F.col("track_id") % 2 == 0, F.col("recording_id"))).join(rows, "track_id").select(t.columns).write.parquet(f"{tmp_path}/audio_tracks.parquet")
+    got = {r.track_id: r.position for r in entry.queries()["holdings_journal"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(places, 1))
+    sha = "a" * 64
+    line = f'{{"schema_version":1,"library_id":"{LIBRARY}","id":"sha256:{sha}","sha256":"{sha}","bytes":1,"format":"mp3","status":"checked","reason":"","path":"p","sources":[{{"kind":"archive","recording":{{"source_format":"x","position":1,"tracks":%d}}}}]}}\n'
+    path = tmp_path / "h.jsonl"
+    path.write_text(line % 1000)
+    assert records.read_relation(spark, str(path), "holdings").count() == 1
+    path.write_text(line % 1001)
+    with pytest.raises(Exception, match="recordings"):
+        records.read_relation(spark, str(path), "holdings").count()
+
+
 def test_named_documents(spark, tmp_path):
     import hashlib
 
