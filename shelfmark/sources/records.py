@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions.codecs import ordered_json, strict_json
-from shelfmark.sources.journals import _known, _required, check_sequence, journal_lines, read_document
+from shelfmark.sources.journals import _known, _required, check_pairs, check_sequence, journal_lines, read_document
 
 def _struct(fields: str) -> str:
     """Fields ``name type, ...`` as a struct type for use inside another type."""
@@ -119,11 +119,10 @@ def read_relation(spark: SparkSession, path: str, name: str) -> DataFrame:
     df = lines.select("file", "line_no", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).filter("r IS NOT NULL").select("file", "line_no", "r.*")
     if relation.sequence:
         df = check_sequence(df, "sequence")
+    df = _checked(df, relation)
     if relation.pairs:
-        from shelfmark.sources.journals import check_pairs
-
         df = check_pairs(df, "event", relation.pairs[0], relation.pairs[1], list(relation.pairs[2]))
-    return _checked(df, relation)
+    return df
 
 
 def create_library(folder: str, library_id: str, operation_id: str, at: str) -> None:

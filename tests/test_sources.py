@@ -47,6 +47,40 @@ def test_journal(spark, tmp_path):
     assert cover == {"files": 1, "bytes": os.path.getsize(path), "complete": True} and df.count() == 2
 
 
+def test_journal_lines_in_blocks(spark, tmp_path):
+    """Numbers, torn ends and bytes of journals that are read in many blocks are those of whole files; no plan reads a whole file."""
+    import random
+
+    rnd = random.Random(3)
+    folder = tmp_path / "a é=+%41 b"
+    folder.mkdir()
+    text = lambda n: "\n".join("".join(rnd.choice("aé\r\u2028 x") for _ in range(rnd.choice((0, 1, 7, 90)))) for _ in range(n))
+    files = {"long.jsonl": text(30) + "\n", "torn.jsonl": text(30) + "\nx", "only torn": "x", "empty": "", "feed": "\n", "feeds": "\n\na\n\n", "mark": "\ufeffa\nb\n", "torn mark": "\ufeffa\nb", "mark alone": "\ufeff"}
+    for n, t in files.items():
+        (folder / n).write_bytes(t.encode())
+    (folder / "torn bytes").write_bytes(b"a\n\xff")
+    want = {("torn bytes", 1, "a")} | {(n, k, x) for n, t in files.items() for k, x in enumerate(t.split("\n")[:-1], 1)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most in ("100", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            df = journals.journal_lines(spark, str(folder))
+            assert df.dtypes == [("file", "string"), ("line_no", "int"), ("line", "string")] and "BinaryFile" not in df._jdf.queryExecution().toString()
+            rows = df.collect()
+            assert {(os.path.basename(r.file), r.line_no, r.line) for r in rows} == want and len(rows) == len(want)
+            assert {r.file for r in rows} <= {r.path for r in spark.read.format("binaryFile").load(str(folder)).select("path").collect()}
+            for bad in (b"a\n\xff\nb\n", *(() if most != old else (b"a\n" + b"x" * (journals.MOST_TAIL + 1), b"x" * (journals.MOST_TAIL + 1)))):
+                (tmp_path / "bad.jsonl").write_bytes(bad)
+                with pytest.raises(Exception):  # noqa: B017
+                    journals.journal_lines(spark, str(tmp_path / "bad.jsonl")).select("line_no").collect()
+            pair = '{"event":"intent","id":"%d","sequence":%d}\n{"event":"completed","id":"%d","sequence":%d}\n'
+            (tmp_path / "p.jsonl").write_text("".join(pair % (k, 2 * k - 1, k, 2 * k) for k in range(1, 9)))
+            p = journals.read_journal(spark, str(tmp_path / "p.jsonl"), "event string, id string, sequence int")
+            assert journals.check_pairs(journals.check_sequence(p, "sequence"), "event", "intent", "completed", ["id"]).count() == 16
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_document(spark, tmp_path):
     item = T.StructType([T.StructField("source", T.StringType(), False), T.StructField("note", T.StringType())])
     schema = T.StructType([T.StructField("name", T.StringType(), False), T.StructField("items", T.ArrayType(item))])
