@@ -276,3 +276,27 @@ def test_audio_layers_and_info(spark):
     assert got == {"1": [("frame", 384)] * 3, "2": [("frame", 1152)] * 3, "3": [("info", None), ("frame", 1152), ("frame", 1152)]}
     bad = packing.mp3_of(2, tag=packing.id3_chapters([("c", 0, 1, "t")])[:-1])
     assert containers.mp3_chapters(spark.createDataFrame([("x", bytearray(bad)), ("y", bytearray(b"abcd"))], "path string, content binary")).select("path", F.col("finding").isNotNull().alias("f")).collect() == [("x", True)]
+
+
+def test_text_units_open_each_asset_once(spark):
+    """Units are those of the representation that reads each asset; one pass, no join, no second reading."""
+    from shelfmark.operators import content
+    from shelfmark.sources import packing
+
+    book = packing.epub_of("t", "en", ["i"], [("A", "<h1>One</h1><p>caf\u00e9</p>"), ("B", "<p>x</p><img src='a.png'/>")])
+    paper = packing.pdf_of(["one\ntwo", ""], [(0, "r", "", 3)], 0)
+    empty = packing.epub_of("t", "en", ["i"], [])
+    files = spark.createDataFrame([("book", book), ("paper", paper), ("none", b"no book"), ("empty", empty), ("cut", book[:200])], "path string, content binary")
+    u = content.text_units(files)
+    plan = u._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan and "Exchange" not in plan
+    got = {(r.path, r.unit): r for r in u.collect()}
+    assert set(got) == {("book", 1), ("book", 2), ("paper", 1), ("paper", 2), ("none", None), ("empty", None), ("cut", None)}
+    for rep, path in (("epub-text/2", "book"), ("pdf-text/1", "paper")):
+        for w in content.units(files.filter(files.path == path), rep).collect():
+            r = got[path, w.unit]
+            assert r.representation == rep and all(r[c] == w[c] for c in w.asDict())
+    for path in ("none", "empty", "cut"):
+        w = content.units(files.filter(files.path == path), "pdf-text/1").first()
+        r = got[path, None]
+        assert r.finding == w.finding and r.finding and r.representation is None and r.status is None and r.bytes is None
