@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.session import cut
+
+#: Lines of a log that one task puts in order to follow its state.
+BLOCK = 1 << 16
+
 
 def latest_per_key(df: DataFrame, key: str, line: str) -> DataFrame:
     """The last line of each key with ``first_line``, its place of first appearance. One partial aggregation, no window."""
@@ -31,26 +36,36 @@ def mark_log_fold(df: DataFrame, log: str, line: str, event: str, asset: str, ma
     enabled, and notes and deletes only the mark that its asset has then. An asset has at most one mark: a save replaces
     it. ``enabled`` is the log's last state. A log that breaks a rule anywhere comes out as one row with nothing but
     ``valid`` false; a valid log without marks as one row without an asset.
+
+    The rows are written once, so whatever makes them runs once, and no task sorts a whole log: the state that saves need is
+    followed in blocks of lines, from block to block by one row for each, and the marks asset by asset.
     """
-    in_log = Window.partitionBy(log).orderBy(line)
-    before = in_log.rowsBetween(Window.unboundedPreceding, -1)
-    of_asset = Window.partitionBy(log, asset).orderBy(line)
+    rows = cut(df.select(log, line, event, asset, mark))
     e = F.col(event)
-    on = F.last(F.when(e == "enabled", True).when(e == "disabled", False), True).over(before)
+    on = F.when(e == "enabled", True).when(e == "disabled", False)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    lines = rows.select(log, line, event, F.expr(f"`{line}` div {BLOCK}").alias("_block"))
+    lines = lines.withColumn("_on", F.last(on, True).over(before(Window.partitionBy(log, "_block").orderBy(line))))
+    # a save before the first change of its block needs the state with which the block begins
+    rule = F.when(e == "save", F.coalesce("_on", F.lit(True))).otherwise(F.coalesce(e.isin("enabled", "disabled", "note", "delete"), F.lit(False)))
+    blocks = lines.groupBy(log, "_block").agg(F.bool_and(rule).alias("_ok"), F.bool_or((e == "save") & F.col("_on").isNull()).alias("_open"), F.min_by(F.coalesce(e == "enabled", F.lit(False)), line).alias("_first"),
+                                              F.max_by(on, F.when(on.isNotNull(), F.col(line))).alias("_last"))
+    in_log = Window.partitionBy(log).orderBy("_block")
+    begins = F.coalesce(F.last("_last", True).over(before(in_log)), F.lit(False))
+    ok = F.col("_ok") & (~F.coalesce("_open", F.lit(False)) | begins) & ((F.row_number().over(in_log) > 1) | F.col("_first"))
+    of_blocks = blocks.select(log, ok.alias("_ok"), F.when(F.col("_last").isNotNull(), F.col("_block")).alias("_block"), "_last")
     # the mark an asset has before an event: that of the last save or delete before it, a delete leaving none
-    last = F.last(F.when(e.isin("save", "delete"), F.struct(e.alias("e"), F.col(mark).alias("m"))), True).over(of_asset.rowsBetween(Window.unboundedPreceding, -1))
-    has = F.coalesce((last["e"] == "save") & (last["m"] == F.col(mark)), F.lit(False))
-    first = F.row_number().over(in_log) == 1
-    ok = (F.when(first, e == "enabled").when(e.isin("enabled", "disabled"), True).when(e == "save", F.coalesce(on, F.lit(False)))
-          .when(e.isin("note", "delete"), has).otherwise(False))
-    checked = df.select(log, line, event, asset, mark, ok.alias("ok"))
-    logs = checked.groupBy(log).agg(F.bool_and("ok").alias("valid"), F.max_by(F.when(e == "enabled", True).when(e == "disabled", False), F.when(e.isin("enabled", "disabled"), F.col(line))).alias("enabled"))
+    last = F.last(F.when(e.isin("save", "delete"), F.struct(F.when(e == "save", F.col(mark)).alias("m"))), True).over(before(Window.partitionBy(log, asset).orderBy(line)))
     at = lambda *names: F.max(F.when(e.isin(*names), F.col(line)))
-    per = checked.filter(e.isin("save", "note", "delete")).groupBy(log, asset).agg(
-        at("save").alias("saved_line"), at("note").alias("n"), at("delete").alias("d"), F.max_by(mark, F.when(e == "save", F.col(line))).alias(mark))
-    live = per.filter("d IS NULL OR d < saved_line").select(log, asset, mark, "saved_line", F.when(F.col("n") > F.col("saved_line"), F.col("n")).alias("note_line"))
-    joined = logs.join(live, log, "left")
-    return joined.select(log, *[F.when(F.col("valid"), F.col(c)).alias(c) for c in (asset, mark, "saved_line", "note_line", "enabled")], "valid").distinct()
+    per = rows.filter(e.isin("save", "note", "delete")).withColumn("_has", (e == "save") | F.coalesce(last["m"] == F.col(mark), F.lit(False))).groupBy(log, asset).agg(
+        F.bool_and("_has").alias("_ok"), at("save").alias("saved_line"), at("note").alias("_n"), at("delete").alias("_d"), F.max_by(mark, F.when(e == "save", F.col(line))).alias(mark))
+    per = cut(per)
+    of_assets = per.select(log, "_ok", F.lit(None).cast("long").alias("_block"), F.lit(None).cast("boolean").alias("_last"))
+    logs = of_blocks.unionByName(of_assets).groupBy(log).agg(F.bool_and("_ok").alias("valid"), F.max_by("_last", "_block").alias("_last"))
+    logs = logs.select(F.col(log).alias("_log"), F.when(F.col("valid"), F.col("_last")).alias("enabled"), "valid")
+    live = per.filter("_d IS NULL OR _d < saved_line").select(log, asset, mark, "saved_line", F.when(F.col("_n") > F.col("saved_line"), F.col("_n")).alias("note_line"))
+    joined = logs.join(live, F.col("valid") & (F.col("_log") == F.col(log)), "left")
+    return joined.select(F.col("_log").alias(log), asset, mark, "saved_line", "note_line", "enabled", "valid")
 
 
 def job_fold(df: DataFrame, key: str, line: str, at: str, event: str, terminal: list[str]) -> DataFrame:

@@ -227,8 +227,9 @@ def marks_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.select("journal", F.lit(1).alias("schema_version"), "sequence", F.lit(_LIBRARY).alias("library_id"), F.when(on, "enabled").otherwise("save").alias("event"), F.when(~on, F.concat(F.lit("m"), "event_id")).alias("id"),
                     F.when(~on, F.concat(F.lit("sha256:"), "u")).alias("asset_id"), F.when(~on, "epub-text/2").alias("representation"), F.lit(0).alias("unit"), F.lit(3).alias("offset"), F.lit("é & <n>").alias("note"), F.lit("t").alias("at"))
     m = records.read_relation(spark, _lines(spark, rows, "sequence"), "marks")
-    f = folds.mark_log_fold(m, "file", "sequence", "event", "asset_id", "id")
-    return f.select(F.regexp_extract("file", "journal=([0-9]+)", 1).cast("long").alias("journal"), "asset_id", "id", F.col("saved_line").cast("long").alias("saved_line"), "valid")
+    m = m.withColumn("journal", F.regexp_extract("file", "journal=([0-9]+)", 1).cast("long"))  # a journal is one file
+    f = folds.mark_log_fold(m, "journal", "sequence", "event", "asset_id", "id")
+    return f.select("journal", "asset_id", "id", F.col("saved_line").cast("long").alias("saved_line"), "valid")
 
 
 _NAMES = (catalog_file, journal_files, holdings_journal, operations_journal, marks_journal, value_checks, href_targets, position_tokens, canonical_lines, archive_volumes, file_formats, assessments, scanner_report, page_labels, identical_documents, related_evidence, declared_manifests,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,11 +97,40 @@ def _fits(schema: T.StructType):
 
     @F.pandas_udf(T.BooleanType())
     def fits(x: pd.Series) -> pd.Series:
-        return x.map(one)
+        return x.map(one, na_action="ignore")
 
     return fits
 
 
+def _once(value: Column, name: str) -> Column:
+    """The value under a name; unlike an alias it is computed once a row, not in each filter above that needs it."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def _plain(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """``lines`` with ``_read``, what Spark reads in ``line``, and ``_plain``: whether it writes the same line for it, which then ``_fits``.
+
+    False says nothing: nulls and escapes other than those of ``< > &`` are left to ``_fits``.
+    """
+    lines = lines.select("*", _once(F.from_json("line", schema, {"mode": "PERMISSIVE"}), "_read"))
+    lines = lines.select("*", _once(F.to_json("_read", {"ignoreNullFields": "true"}), "_text"))
+    escaped = F.col("_text")
+    for c in "<>&":
+        escaped = F.replace(escaped, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    plain = ((F.col("line") == F.col("_text")) | (F.col("line") == escaped)) & ~F.contains("_text", F.lit("\\")) & ~F.contains("_text", F.lit("null"))
+    for f in schema:
+        if not f.nullable:
+            plain &= F.col("_read")[f.name].isNotNull()
+    return lines.select("*", _once(F.coalesce(plain, F.lit(False)), "_plain")).drop("_text")
+
+
+def _parsed(lines: DataFrame, schema: T.StructType, name: str) -> DataFrame:
+    """Lines with their records ``r``, failing on a line that is not the compact encoding of a record of the schema. Python sees only lines that are not plain."""
+    fits = F.col("_plain") | _fits(schema)(F.when(~F.col("_plain"), F.col("line")))
+    lines = _required(_plain(lines, schema), fits, F.concat(F.lit(f"no line of {name}: "), F.col("line_no").cast("string")))
+    return lines.select("file", "line_no", _once(F.when(F.col("_plain"), F.col("_read")).otherwise(F.from_json("line", schema, {"mode": "FAILFAST"})), "r"))
+
+
 def _checked(df: DataFrame, relation: Relation) -> DataFrame:
     """``df``, failing on a record of another version or one that breaks a rule; the message names the rule."""
     if relation.versions:
@@ -115,8 +144,7 @@ def read_relation(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Records of a journal relation with ``file`` and ``line_no``; a torn last line was never committed and is left out."""
     relation = JOURNALS[name]
     schema = T.StructType.fromDDL(relation.schema)
-    lines = _required(journal_lines(spark, path), _fits(schema)("line"), F.concat(F.lit(f"no line of {name}: "), F.col("line_no").cast("string")))
-    df = lines.select("file", "line_no", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).filter("r IS NOT NULL").select("file", "line_no", "r.*")
+    df = _parsed(journal_lines(spark, path), schema, name).filter("r IS NOT NULL").select("file", "line_no", "r.*")
     if relation.sequence:
         df = check_sequence(df, "sequence")
     df = _checked(df, relation)

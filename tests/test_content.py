@@ -197,6 +197,68 @@ def test_mark_logs(spark):
     assert folds.mark_log_fold(df.limit(0), "log", "line", "event", "asset", "mark").count() == 0
 
 
+def _marks_of(events):
+    """The rows of one log, read line by line."""
+    on, has, notes, ok = None, {}, {}, bool(events) and events[0][1] == "enabled"
+    for line, event, asset, mark in events:
+        if event in ("enabled", "disabled"):
+            on = event == "enabled"
+        elif event == "save":
+            ok &= on is True
+            has[asset], notes[asset] = (mark, line), None
+        elif event in ("note", "delete"):
+            ok &= asset in has and has[asset][0] == mark
+            if event == "note":
+                notes[asset] = line
+            else:
+                has.pop(asset, None)
+        else:
+            ok = False
+    if not ok:
+        return {(None, None, None, None, None, False)}
+    return {(a, m, n, notes[a], on, True) for a, (m, n) in has.items()} or {(None, None, None, None, on, True)}
+
+
+def test_mark_logs_in_blocks(spark, monkeypatch):
+    """Logs of many blocks give what reading line by line gives, and whatever makes their rows runs once for each."""
+    import random
+
+    rnd = random.Random(5)
+    logs = {}
+    for k in range(150):
+        line, on, has, events = rnd.choice((1, 5)), True, {}, [(1, "enabled", None, None)]
+        for _ in range(rnd.randrange(14)):
+            line += rnd.choice((1, 1, 1, 9))
+            asset = rnd.choice("ab")
+            event = rnd.choice(("save", "save", "note", "delete", "disabled", "enabled"))
+            if event == "save" and (on or rnd.random() < 0.1):
+                has[asset] = f"m{line}"
+                events.append((line, event, asset, has[asset]))
+            elif event in ("note", "delete") and (asset in has or rnd.random() < 0.05):
+                events.append((line, event, asset, has.get(asset, "m?")))
+                if event == "delete":
+                    has.pop(asset, None)
+            elif event in ("enabled", "disabled"):
+                on = event == "enabled"
+                events.append((line, event, None, None))
+        events += [(line + 1, None, "a", "m")] * (rnd.random() < 0.03)
+        logs[k] = events[rnd.random() < 0.05 :]
+    rows = [(k, *e) for k, events in logs.items() for e in events]
+    want = {(k, *r) for k, events in logs.items() if events for r in _marks_of(events)}
+    assert 20 < sum(r[-1] for r in want) and 20 < sum(not r[-1] for r in want)
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "log long, line int, event string, asset string, mark string")
+    monkeypatch.setattr(folds, "BLOCK", 3)
+    got = folds.mark_log_fold(df.mapInArrow(seen, df.schema), "log", "line", "event", "asset", "mark").select("log", "asset", "mark", "saved_line", "note_line", "enabled", "valid").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and made.value == len(rows)
+
+
 def test_filters_and_steps(spark):
     with pytest.raises(ValueError):
         library.has_format("f", "doc")

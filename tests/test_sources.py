@@ -212,6 +212,28 @@ def test_relations_refuse_what_breaks_them(spark, tmp_path):
         records.read_relation(spark, str(path), "declarations").count()
 
 
+def test_plain_lines_fit(spark):
+    """Lines that Python never sees are lines that it would take; a record costs one reading, not one for each rule."""
+    import pandas as pd
+    from shelfmark.sources import records
+
+    schema = T.StructType.fromDDL(records.JOURNALS["holdings"].schema)
+    sha = "a" * 64
+    good = f'{{"schema_version":1,"library_id":"{LIBRARY}","id":"sha256:{sha}","sha256":"{sha}","bytes":1,"format":"mp3","status":"checked","reason":"","path":"p","titles":["T"],"sources":[{{"kind":"k","recording":{{"source_format":"x","position":1,"tracks":3,"declared_seconds":1.5,"readers":[]}}}}]}}'
+    quick = [good, good.replace('"T"', '"é <b>&\U0001f600\u2028/"'), good.replace('"T"', '"\\u003cb\\u003e\\u0026"'), good.replace('["T"]', "[]"), good.replace('"mp3"', '""'), good.replace('{"kind":"k",', "{")]
+    slow = [good.replace('"T"', x) for x in ('"a\\"b"', '"\\u001f"', '"\\\\"', '"null"', '"\\u003c>"', "null", '"\\n"', '"\\u001F"', '"\\/"', '"a\tb"')] + [good.replace("1.5", x) for x in ("1.50", "15e-1", "NaN", '"NaN"', "01.5")]
+    slow += [good.replace(*x) for x in (('"bytes":1', '"bytes":1,"bytes":1'), ('"bytes":1', '"bytes":1,"other":1'), ('"bytes":1', '"bytes": 1'), ('"bytes":1,', ""), ('"bytes":1', '"bytes":null'), ('"bytes":1', '"bytes":"1"'), ('"bytes":1', '"bytes":1.0'), ('"bytes":1', f'"bytes":{1 << 64}'),
+                                        ('"bytes":1,"format":"mp3"', '"format":"mp3","bytes":1'), ('"mp3"', "3"), ('"sources":[', '"sources":[null,'), ('"readers":[]', '"readers":{}'), ('"reason":""', '"reason":null'))]
+    slow += [good + " ", good + "{}", "\ufeff" + good, good[:-1], "", "{}", "[]", "null", "1"]
+    lines = spark.createDataFrame([(x,) for x in quick + slow], "line string")
+    plain = {r.line: r._plain for r in records._plain(lines, schema).collect()}
+    fits = dict(zip(quick + slow, records._fits(schema).func(pd.Series(quick + slow))))
+    assert all(plain[x] and fits[x] for x in quick) and [x for x in slow if plain[x] and not fits[x]] == []
+    assert sum(fits[x] for x in slow) > 5 and sum(not fits[x] for x in slow) > 15
+    df = records._checked(records._parsed(lines.select(F.lit("f").alias("file"), F.lit(1).alias("line_no"), "line"), schema, "holdings").select("file", "line_no", "r.*"), records.JOURNALS["holdings"])
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 2  # of plain lines, and of all others
+
+
 def test_tracks_beyond_a_recording(spark, sf, tmp_path):
     """A recording holds at most 1000 tracks; longer ones keep their positions in parts, and the rule stands."""
     import __spark_entry__ as entry
